@@ -96,16 +96,14 @@ def parse_names(df: DataFrame, name: str, into: str = "parsed") -> DataFrame:
     working = F.trim(F.regexp_replace(working, r"(?U)\s+", " "))
     df = df.withColumns(
         {
-            t + "ids": F.struct(
-                _none_if_empty(
-                    F.regexp_extract(raw, r"(?i)tmdb[\s._-]*(?:id)?[\s._-]*([0-9]+)", 1)
-                ).alias("tmdb"),
-                _none_if_empty(
-                    F.regexp_extract(raw, r"(?i)tvdb[\s._-]*(?:id)?[\s._-]*([0-9]+)", 1)
-                ).alias("tvdb"),
-                F.lower(
-                    _none_if_empty(F.regexp_extract(raw, r"(?iU)\b(tt[0-9]{7,9})\b", 1))
-                ).alias("imdb"),
+            t + "tmdb": _none_if_empty(
+                F.regexp_extract(raw, r"(?i)tmdb[\s._-]*(?:id)?[\s._-]*([0-9]+)", 1)
+            ),
+            t + "tvdb": _none_if_empty(
+                F.regexp_extract(raw, r"(?i)tvdb[\s._-]*(?:id)?[\s._-]*([0-9]+)", 1)
+            ),
+            t + "imdb": F.lower(
+                _none_if_empty(F.regexp_extract(raw, r"(?iU)\b(tt[0-9]{7,9})\b", 1))
             ),
             t + "edition": edition,
             t + "working": working,
@@ -158,26 +156,27 @@ def parse_names(df: DataFrame, name: str, into: str = "parsed") -> DataFrame:
 
     df = df.withColumn(t + "words", _before_first(_words(c("head")), ends_title))
     bare = F.regexp_replace(F.array_join(c("words"), " "), "^[ \\-–_]+|[ \\-–_]+$", "")
-    title = title_case(bare)
-    df = df.withColumn(
-        into,
-        F.struct(
-            F.coalesce(_none_if_empty(title), title_case(raw)).alias("title"),
-            c("year").cast("int").alias("year"),
-            c("season").alias("season"),
-            c("episode").alias("episode"),
-            title_case(c("tail")).alias("episode_title"),
-            c("edition").alias("edition"),
-            c("ids").alias("ids"),
-            c("season").isNotNull().alias("is_tv"),
-            (
-                (F.size(c("words")) > 0)
-                & ((F.coalesce(c("season"), F.lit(0)) != 0) | c("year").isNotNull())
-            ).alias("confident"),
-            raw.alias("original"),
-        ),
+    df = df.withColumn(t + "bare", bare)
+    df = df.withColumns(
+        {
+            t + "title": title_case(F.when(c("bare") != "", c("bare")).otherwise(raw)),
+            t + "episode_title": title_case(c("tail")),
+            t + "confident": (F.size(c("words")) > 0)
+            & ((F.coalesce(c("season"), F.lit(0)) != 0) | c("year").isNotNull()),
+        }
+    )
+    plain = ["title", "season", "episode", "episode_title", "edition", "confident"]
+    told = F.struct(
+        *[c(f).alias(f) for f in plain],
+        c("year").cast("int").alias("year"),
+        F.struct(*[c(f).alias(f) for f in ("tmdb", "tvdb", "imdb")]).alias("ids"),
+        c("season").isNotNull().alias("is_tv"),
+        raw.alias("original"),
     )
-    return df.drop(*[col for col in df.columns if col.startswith(t)])
+    # Exploding a one-element array keeps filters on the result above this point. Pushed further
+    # down, a filter would be rewritten in terms of every step before and grow without bounds.
+    kept = [name for name in df.columns if not name.startswith(t)]
+    return df.select(*kept, F.explode(F.array(told)).alias(into))
 
 
 def _last_index(text: Column, part: Column) -> Column:
@@ -200,69 +199,81 @@ def id_tag(ids: Column, is_tv: Column, scheme: Column) -> Column:
     return F.coalesce(F.when(scheme == "plex", plex).otherwise(other), F.lit(""))
 
 
-def format_path(parsed: Column, scheme: Column, extension: Column, folders: Column) -> Column:
-    """Relative path a parsed name should live at."""
-    title = safe(parsed["title"])
-    title = F.when(title == "", F.lit("Unknown")).otherwise(title)
+def with_path(
+    df: DataFrame, parsed: str, scheme: Column, extension: Column, folders: Column, into: str
+) -> DataFrame:
+    """Add the relative path a parsed name should live at."""
+    p = F.col(parsed)
+    title = safe(p["title"])
+    df = df.withColumn("__title", F.when(title == "", F.lit("Unknown")).otherwise(title))
     dated = F.when(
-        parsed["year"].isNotNull(),
-        F.concat(title, F.lit(" ("), parsed["year"].cast("string"), F.lit(")")),
-    ).otherwise(title)
-    head = safe(dated)
-    tag = id_tag(parsed["ids"], parsed["is_tv"], scheme)
-    end = F.concat(F.lit("."), extension)
-
-    season = F.when(F.coalesce(parsed["season"], F.lit(0)) == 0, 1).otherwise(parsed["season"])
-    episode_title = F.when(
-        F.coalesce(parsed["episode_title"], F.lit("")) != "",
-        F.concat(F.lit(" - "), safe(parsed["episode_title"])),
-    ).otherwise(F.lit(""))
-    tv_name = F.concat(
-        head,
-        F.format_string(" - S%02dE%02d", season, parsed["episode"]),
-        episode_title,
-        end,
+        p["year"].isNotNull(),
+        F.concat(F.col("__title"), F.lit(" ("), p["year"].cast("string"), F.lit(")")),
+    ).otherwise(F.col("__title"))
+    df = df.withColumns(
+        {
+            "__head": safe(dated),
+            "__tag": id_tag(p["ids"], p["is_tv"], scheme),
+            "__part": safe(p["episode_title"]),
+            "__edition": safe(p["edition"]),
+        }
     )
-    tv_dir = F.concat(head, tag, F.format_string("/Season %02d/", season))
-
-    edition = safe(parsed["edition"])
-    edition_text = F.when(
-        parsed["edition"].isNotNull(),
-        F.when(scheme == "plex", F.concat(F.lit(" {edition-"), edition, F.lit("}"))).otherwise(
-            F.concat(F.lit(" - "), edition)
+    head, tag, end = F.col("__head"), F.col("__tag"), F.concat(F.lit("."), extension)
+    plex = scheme == "plex"
+    nothing = F.lit("")
+
+    season = F.when(F.coalesce(p["season"], F.lit(0)) == 0, 1).otherwise(p["season"])
+    part = F.when(
+        F.coalesce(p["episode_title"], nothing) != "", F.concat(F.lit(" - "), F.col("__part"))
+    ).otherwise(nothing)
+    episode = F.concat(head, F.format_string(" - S%02dE%02d", season, p["episode"]), part)
+    version = F.when(
+        p["edition"].isNotNull(),
+        F.when(plex, F.concat(F.lit(" {edition-"), F.col("__edition"), F.lit("}"))).otherwise(
+            F.concat(F.lit(" - "), F.col("__edition"))
         ),
-    ).otherwise(F.lit(""))
-    film_name = F.concat(
-        head, F.when(scheme == "plex", F.lit("")).otherwise(tag), edition_text, end
-    )
-    film_dir = F.concat(head, tag, F.lit("/"))
+    ).otherwise(nothing)
+    film = F.concat(head, F.when(plex, nothing).otherwise(tag), version)
+    folder = F.when(
+        folders,
+        F.concat(
+            head,
+            tag,
+            F.when(p["is_tv"], F.format_string("/Season %02d/", season)).otherwise(F.lit("/")),
+        ),
+    ).otherwise(nothing)
+    name = F.when(p["is_tv"], episode).otherwise(film)
+    out = df.withColumn(into, F.concat(folder, name, end))
+    return out.drop("__title", "__head", "__tag", "__part", "__edition")
 
-    return (
-        F.when(parsed["is_tv"] & folders, F.concat(tv_dir, tv_name))
-        .when(parsed["is_tv"], tv_name)
-        .when(folders, F.concat(film_dir, film_name))
-        .otherwise(film_name)
-    )
 
+def with_destination(
+    df: DataFrame, path: str, container: Column, library: str, parsed: str, into: str = "destination"
+) -> DataFrame:
+    """Add where a finished file belongs: in place, renamed, mirrored or flat.
 
-def destination(path: Column, container: Column, library: Column, parsed: Column) -> Column:
-    """Where a finished file belongs: in place, renamed, mirrored or flat."""
-    output = F.coalesce(library["output_path"], F.lit(""))
-    rules = library["naming"]
-    rename = F.coalesce(rules["enabled"], F.lit(False)) & (
-        parsed["confident"] | ~F.coalesce(rules["skip_uncertain"], F.lit(True))
-    )
-    renamed = format_path(
+    `library` is a struct column with output_path, watch_path, mirror_folders and naming.
+    """
+    p, lib = F.col(path), F.col(library)
+    rules = lib["naming"]
+    df = with_path(
+        df,
         parsed,
         F.coalesce(rules["scheme"], F.lit("jellyfin")),
         container,
         F.coalesce(rules["folders"], F.lit(True)),
+        "__renamed",
     )
-    name = paths.file_name(path)
-    below = F.coalesce(paths.relative_to(path, library["watch_path"]), name)
-    kept = F.when(F.coalesce(library["mirror_folders"], F.lit(False)), below).otherwise(name)
-    return (
-        F.when(output == "", paths.with_suffix(path, container))
-        .when(rename, paths.join(output, renamed))
-        .otherwise(paths.with_suffix(paths.join(output, kept), container))
+    output = F.coalesce(lib["output_path"], F.lit(""))
+    rename = F.coalesce(rules["enabled"], F.lit(False)) & (
+        F.col(parsed)["confident"] | ~F.coalesce(rules["skip_uncertain"], F.lit(True))
     )
+    name = paths.file_name(p)
+    below = F.coalesce(paths.relative_to(p, lib["watch_path"]), name)
+    kept = F.when(F.coalesce(lib["mirror_folders"], F.lit(False)), below).otherwise(name)
+    return df.withColumn(
+        into,
+        F.when(output == "", paths.with_suffix(p, container))
+        .when(rename, paths.join(output, F.col("__renamed")))
+        .otherwise(paths.with_suffix(paths.join(output, kept), container)),
+    ).drop("__renamed")

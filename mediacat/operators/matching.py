@@ -178,9 +178,9 @@ def enrich(
         episode = F.when(F.col("__en") != "", F.col("__en"))
     hit = F.col("title_id").isNotNull()
     ids = F.struct(
-        F.when(hit, F.col("title_id").cast("string")).otherwise(p["ids.tmdb"]).alias("tmdb"),
-        F.coalesce(tvdb, p["ids.tvdb"]).alias("tvdb"),
-        p["ids.imdb"].alias("imdb"),
+        F.when(hit, F.col("title_id").cast("string")).otherwise(p["ids"]["tmdb"]).alias("tmdb"),
+        F.coalesce(tvdb, p["ids"]["tvdb"]).alias("tvdb"),
+        p["ids"]["imdb"].alias("imdb"),
     )
     new = (
         p.withField("title", F.coalesce(F.col("match_title"), p["title"]))

@@ -201,6 +201,4 @@ def with_destination(files: DataFrame, container: Column | None = None) -> DataF
     """
     parsed = files if "parsed" in files.columns else names.parse_names(files, "path")
     ext = paths.suffix(paths.file_name(F.col("path"))) if container is None else container
-    return parsed.withColumn(
-        "destination", names.destination(F.col("path"), ext, F.col("library"), F.col("parsed"))
-    )
+    return names.with_destination(parsed, "path", ext, "library", "parsed")

@@ -26,8 +26,8 @@ TIER = "case when height>=1600 then 'uhd' when height>=1000 then 'fullhd' when h
 def _items(column: str) -> str:
     """Comma list as lower-case items without leading dots."""
     return (
-        f"list_transform(list_filter(string_split({column},','), x -> x <> ''), "
-        "x -> regexp_replace(lower(x),'^[.]+',''))"
+        f"list_transform(list_filter(string_split({column},','), lambda x: x <> ''), "
+        "lambda x: regexp_replace(lower(x),'^[.]+',''))"
     )
 
 
@@ -47,7 +47,7 @@ DECIDED = (
    case when only_ext<>'' and not list_contains({_items('only_ext')}, ext) then 'only_extensions'
      when list_contains({_items('skip_ext')}, ext) then 'skip_extensions'
      when only_name<>'' and not contains(nm, only_name) then 'only_name_contains'
-     when len(list_filter({_items('skip_name')}, x -> contains(nm, x))) > 0 then 'skip_name_contains'
+     when len(list_filter({_items('skip_name')}, lambda x: contains(nm, x))) > 0 then 'skip_name_contains'
      when min_mb<>0 and mib<min_mb then 'min_size_mb' when max_mb<>0 and mib>max_mb then 'max_size_mb'
    end as cheap,
    case when min_minutes<>0 and mins<>0 and mins<min_minutes then 'min_minutes'
@@ -112,14 +112,14 @@ LADDERS = (
     f"case when steps='' or list_contains(string_split(steps,','),'smaller') then {_rung('base_quality',8)} end,"
     f"case when list_contains(string_split(steps,','),'smallest') then {_rung('base_quality',12)} end,"
     "case when list_contains(string_split(steps,','),'custom') and custom_quality<>0 "
-    "then greatest(1,least(51,custom_quality)) end], x -> x is not null))) end as ladder "
+    "then greatest(1,least(51,custom_quality)) end], lambda x: x is not null))) end as ladder "
     "from v_libraries l join v_retry r on r.library_id=l.library_id)"
 )
 
 # Names: the views build them from p_name, so the tidy title can be had from there.
 TITLE = (
     "array_to_string(list_transform(string_split(p_name,' '), "
-    "x -> concat(upper(substr(x,1,1)),substr(x,2))),' ')"
+    "lambda x: concat(upper(substr(x,1,1)),substr(x,2))),' ')"
 )
 
 STREAM_SPEC = (
@@ -208,9 +208,9 @@ ELIGIBLE = (
     + """, skills as (select distinct node_id, family as codec from v_bench where fps8 is not null
    union select node_id, 'copy' from v_nodes),
  pairs as (select j.id, j.path, j.codec, n.node_id, n.slots, n.enabled, n.mount_server, n.mount_local,
-   coalesce(starts_with(j.path,concat(n.mount_server,'/')),false) as local
+   coalesce(starts_with(j.path,n.mount_server||'/'),false) as local
    from v_jobs j join skills s on s.codec=j.codec join v_nodes n on n.node_id=s.node_id
-   where j.state='queued' and n.enabled=1 and (coalesce(starts_with(j.path,concat(n.mount_server,'/')),false)
+   where j.state='queued' and n.enabled=1 and (coalesce(starts_with(j.path,n.mount_server||'/'),false)
      or (j.codec<>'copy' and (coalesce(j.size_before,0)=0 or j.size_before>=536870912))))
 """
 )
@@ -362,9 +362,10 @@ ORACLES.update(
  path in (select path from v_jobs where state in {ACTIVE}) as busy from v_scan)""",
         "size_stability": ctes("v_scan")
         + """, seen as (select path, scan_s, size-size%100000000 as size from v_scan),
- laid as (select *, lag(size) over (partition by path order by scan_s, size) as before,
-  row_number() over (partition by path order by scan_s desc, size desc) as rn from seen)
- select path, size, coalesce(size=before,false) as stable from laid where rn=1""",
+ laid as (select *, row_number() over (partition by path order by scan_s desc, size desc) as rn from seen)
+ select path, max(case when rn=1 then size end) as size,
+ coalesce(max(case when rn=1 then size end)=max(case when rn=2 then size end),false) as stable
+ from laid where rn<=2 group by path""",
         "view_counts": ctes("v_jobs")
         + " union all ".join(
             f"select '{v}' as view, count(*) as jobs from v_jobs where state in {_list(s)}"
@@ -427,7 +428,7 @@ ORACLES.update(
         "retry_rungs": ctes("v_jobs", "v_libraries", "v_retry")
         + ", " + LADDERS
         + """ select id, array_to_string(ladder,',') as ladder,
- cast(list_filter(ladder, x -> x > quality)[1] as bigint) as next_quality, cast(attempt+1 as bigint) as next_attempt
+ cast(list_filter(ladder, lambda x: x > quality)[1] as bigint) as next_quality, cast(attempt+1 as bigint) as next_attempt
  from v_jobs j join ladders l on l.library_id=j.library_id where state='bloated'""",
         "attempt_chain": ctes("v_jobs")
         + """select path, count(*) as jobs, max(attempt) as attempts, first(id order by attempt desc, id desc) as last_id
@@ -442,7 +443,7 @@ ORACLES.update(
  cases as (select a.*, l.*exclude(library_id), a.path in (select path from busy) as taken,
    a.id%10=0 as salvage, a.id%3<>0 as related, a.id%4=0 as copied,
    a.archived is not null and l.library_name is not null as restored, {VERDICT} as verdict,
-   list_filter(l.ladder, x -> x > a.quality)[1] as rung
+   list_filter(l.ladder, lambda x: x > a.quality)[1] as rung
    from archived a left join ladders l on l.library_id=a.library_id
    where state in ('done','bloated','failed','ignored')),
  routed as (select id, rung, case when state in ('done','bloated') then (case when salvage then 'salvaged'
@@ -476,8 +477,8 @@ ORACLES.update(
  f.path is not null as replacement_ok from v_originals o left join v_inventory a on a.path=o.archived_path
  left join v_inventory f on f.path=o.final_path where o.archived_s<{NOW}-172800""",
         "path_mapping": ctes("v_jobs", "v_nodes")
-        + """select j.id, case when starts_with(j.path,concat(n.mount_server,'/')) then 'local' else 'stream' end as transport,
- case when starts_with(j.path,concat(n.mount_server,'/')) then
+        + """select j.id, case when starts_with(j.path,n.mount_server||'/') then 'local' else 'stream' end as transport,
+ case when starts_with(j.path,n.mount_server||'/') then
  concat(n.mount_local,substr(j.path,length(n.mount_server)+1)) else j.path end as node_path, true as returns
  from v_jobs j join v_nodes n on n.node_id=j.node_id""",
         "job_node_pairs": ELIGIBLE

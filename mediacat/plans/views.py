@@ -176,9 +176,9 @@ ORIGINALS = {
 ARCHIVE = {
     "path": (
         "case job_id%8 when 0 then archived_path "
-        "when 2 then concat('/out/Originals/lib',cast(library_id as varchar(10)),'/',"
+        "when 2 then concat('/out/Originals/lib',cast(coalesce(library_id,9) as varchar(10)),'/',"
         "regexp_replace(archived_path,'^.*/','')) "
-        "when 4 then concat('/out/Originals/lib',cast(library_id as varchar(10)),'/old/',"
+        "when 4 then concat('/out/Originals/lib',cast(coalesce(library_id,9) as varchar(10)),'/old/',"
         "regexp_replace(archived_path,'^.*/','')) end"
     ),
     "size": "size",
