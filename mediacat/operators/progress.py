@@ -34,9 +34,9 @@ def judged(events: DataFrame, slice_s: int = 86400) -> DataFrame:
     df = df.withColumn("accepted", accepted).withColumn(
         "__p", F.when(F.col("kind") == "started", 0.0).when(F.col("accepted"), F.col("progress"))
     )
-    df = last_known(df, ["job_id"], ORDER, "__p", F.floor(F.col("at_s") / slice_s), "__prev")
-    moved = F.col("accepted") & (F.col("progress") > F.coalesce(F.col("__prev"), F.lit(0.0)))
-    return df.withColumn("moved", moved).drop("__before", "__p", "__prev")
+    df = last_known(df, ["job_id"], ORDER, "__p", F.floor(F.col("at_s") / slice_s), "__last")
+    moved = F.col("accepted") & (F.col("progress") > F.coalesce(F.col("__last"), F.lit(0.0)))
+    return df.withColumn("moved", moved).drop("__before", "__p", "__last")
 
 
 def latest_progress(events: DataFrame, slice_s: int = 86400) -> DataFrame:

@@ -163,7 +163,7 @@ CAUSES = (
    from v_loglines),
  kept as (select * from ranked where back<=300),
  cleaned as (select *, case line_no%6 when 0 then 'audio track 2: Error sending frames to consumers: Invalid data found'
-     when 1 then 'Could not write header: Invalid data' when 4 then 'video track 1: Task finished with error code: -22'
+     when 4 then 'video track 1: Task finished with error code: -22'
      else line end as cause, line_no%6<>3 as is_error, line_no%6 in (2,4) as noise, line_no%6=0 as audio from kept),
  firsts as (select *, min(case when is_error then line_no end) over (partition by job_id) as first_no from cleaned),
  hits as (select job_id, cause, min(line_no) as line_no, bool_or(audio) as audio from firsts
