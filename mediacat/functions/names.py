@@ -16,11 +16,14 @@ from mediacat.functions.constants import EDITIONS, JUNK_WORDS, SMALL_WORDS
 
 _MARK = "\u0001"
 _YEAR = r"(19[0-9]{2}|20[0-9]{2})"
-# Text before the marker, season, episode, text after it.
+# Text before the marker, season, episode, text after it; and a cheap sign that it may be there.
 _EPISODE_FORMS = [
-    r"(?isuU)^(.*?)\bs([0-9]{1,2})[\s._-]*e([0-9]{1,3})\b(.*)$",
-    r"(?isuU)^(.*?)\b([0-9]{1,2})x([0-9]{1,3})\b(.*)$",
-    r"(?isuU)^(.*?)\bseason[\s._-]*([0-9]{1,2})[\s._-]*episode[\s._-]*([0-9]{1,3})\b(.*)$",
+    (r"(?isuU)^(.*?)\bs([0-9]{1,2})[\s._-]*e([0-9]{1,3})\b(.*)$", r"[sSſ][0-9]"),
+    (r"(?isuU)^(.*?)\b([0-9]{1,2})x([0-9]{1,3})\b(.*)$", r"[0-9][xX][0-9]"),
+    (
+        r"(?isuU)^(.*?)\bseason[\s._-]*([0-9]{1,2})[\s._-]*episode[\s._-]*([0-9]{1,3})\b(.*)$",
+        r"(?i)season",
+    ),
 ]
 
 
@@ -83,6 +86,8 @@ def parse_names(df: DataFrame, name: str, into: str = "parsed") -> DataFrame:
     raw = c("raw")
 
     lowered = F.translate(F.lower(raw), "._", "  ")
+    # One alternation first: most names carry no edition.
+    marked_edition = lowered.rlike("|".join(marker for marker, _ in EDITIONS))
     edition = reduce(
         lambda chain, kv: chain.when(lowered.rlike(rf"(?U)\b{kv[0]}\b"), kv[1]),
         EDITIONS[1:],
@@ -105,23 +110,19 @@ def parse_names(df: DataFrame, name: str, into: str = "parsed") -> DataFrame:
             t + "imdb": F.lower(
                 _none_if_empty(F.regexp_extract(raw, r"(?iU)\b(tt[0-9]{7,9})\b", 1))
             ),
-            t + "edition": edition,
+            t + "edition": F.when(marked_edition, edition),
             t + "working": working,
         }
     )
 
     # The episode marker is the strongest anchor; the first form that matches wins.
-    marked = [
-        F.split(F.regexp_replace(c("working"), form, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK)
-        for form in _EPISODE_FORMS
-    ]
-    df = df.withColumns({f"{t}m{i}": m for i, m in enumerate(marked)})
-    df = df.withColumn(
-        t + "tv",
-        F.when(F.size(c("m0")) == 4, c("m0"))
-        .when(F.size(c("m1")) == 4, c("m1"))
-        .when(F.size(c("m2")) == 4, c("m2")),
-    )
+    df = df.withColumn(t + "tv", F.lit(None).cast("array<string>"))
+    for form, hint in _EPISODE_FORMS:
+        parts = F.split(
+            F.regexp_replace(c("working"), form, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK
+        )
+        df = df.withColumn(t + "m", F.when(c("tv").isNull() & c("working").rlike(hint), parts))
+        df = df.withColumn(t + "tv", F.coalesce(c("tv"), F.when(F.size(c("m")) == 4, c("m"))))
     tail = _before_first(
         _words(c("tv")[3]),
         lambda w: F.regexp_replace(F.lower(w), "^-+|-+$", "").isin(JUNK_WORDS)

@@ -20,16 +20,22 @@ def parent(path: Column) -> Column:
 
 def suffix(name: Column) -> Column:
     """Extension without its dot; '' for dot-files and names ending in a dot."""
-    return F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1)
+    last = F.substring_index(name, ".", -1)
+    # The dot must neither be missing nor come first.
+    return F.when(F.length(name) - F.length(last) >= 2, last).otherwise(F.lit(""))
 
 
 def stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]+$", "$1")
+    ext = suffix(name)
+    cut = F.length(name) - F.length(ext) - 1
+    return F.when(ext != "", F.substr(name, F.lit(1), cut)).otherwise(name)
 
 
 def with_suffix(path: Column, extension: Column) -> Column:
     """Swap the extension of the last path part, or append one."""
-    bare = F.regexp_replace(path, r"(?s)([^/])\.[^./]+$", "$1")
+    ext = suffix(file_name(path))
+    cut = F.length(path) - F.length(ext) - 1
+    bare = F.when(ext != "", F.substr(path, F.lit(1), cut)).otherwise(path)
     return F.concat(bare, F.lit("."), extension)
 
 

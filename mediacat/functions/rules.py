@@ -29,6 +29,21 @@ def _bare_extension(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"^\.+", "")
 
 
+def tidy_filters(filters: Column) -> Column:
+    """Skip rules with their texts in the form `skip_reason` compares.
+
+    Apply it to the library table, before the settings meet the files.
+    """
+    out = filters
+    for name in ("only_extensions", "skip_extensions"):
+        out = out.withField(name, F.transform(_list(filters[name]), _bare_extension))
+    codecs = F.transform(_list(filters["skip_video_codecs"]), F.lower)
+    out = out.withField("skip_video_codecs", codecs)
+    for name in ("only_name_contains", "skip_name_contains"):
+        out = out.withField(name, _list(filters[name]))
+    return out
+
+
 def skip_reason(
     path: Column,
     size: Column,
@@ -39,14 +54,14 @@ def skip_reason(
 ) -> Column:
     """First skip rule a file breaks, as struct(code, reason); NULL means process it.
 
-    Leave the probe columns out to test only what the listing already tells.
+    Leave the probe columns out to test only what the listing already tells. `filters` is a
+    struct made by `tidy_filters`.
     """
     name = F.lower(paths.file_name(path))
     ext = F.lower(paths.suffix(paths.file_name(path)))
-    only_ext = F.transform(_list(filters["only_extensions"]), _bare_extension)
-    skip_ext = F.transform(_list(filters["skip_extensions"]), _bare_extension)
-    only_name = _list(filters["only_name_contains"])
-    hit_names = F.filter(_list(filters["skip_name_contains"]), lambda t: name.contains(F.lower(t)))
+    only_ext, skip_ext = filters["only_extensions"], filters["skip_extensions"]
+    only_name, skip_name = filters["only_name_contains"], filters["skip_name_contains"]
+    hit_names = F.filter(skip_name, lambda t: name.contains(F.lower(t)))
     mib = F.coalesce(size, F.lit(0)) / K.MIB
 
     def limit(value: Column, bound: Column, low: bool) -> Column:
@@ -71,7 +86,7 @@ def skip_reason(
         ),
         (
             "skip_name_contains",
-            F.size(hit_names) > 0,
+            F.exists(skip_name, lambda t: name.contains(F.lower(t))),
             F.concat(F.lit('name contains "'), F.try_element_at(hit_names, F.lit(1)), F.lit('"')),
         ),
         (
@@ -117,7 +132,7 @@ def skip_reason(
             ),
         ]
     if video_codec is not None:
-        codecs = F.transform(_list(filters["skip_video_codecs"]), F.lower)
+        codecs = filters["skip_video_codecs"]
         tests.append(
             (
                 "skip_video_codecs",

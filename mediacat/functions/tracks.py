@@ -95,19 +95,15 @@ def language_name(code: Column) -> Column:
 
 def language_from_title(title: Column) -> Column:
     """Three-letter code of the first listed language named as a word in a track title."""
-    t = _lower(title)
-    first = {}
+    first: dict[str, str] = {}
     for code, name in K.LANGUAGES:
         if len(code) == 3:
-            first.setdefault(name, code)
-    # One alternation finds whether any name occurs at all, so most titles cost one test.
-    words = "|".join(n.lower() for n in first)
-    some = t.rlike(rf"(?U)\b({words})\b")
-    chain = None
-    for name, code in first.items():
-        hit = t.rlike(rf"(?U)\b{name.lower()}\b")
-        chain = F.when(hit, code) if chain is None else chain.when(hit, code)
-    return F.when(some, chain)
+            first.setdefault(name.lower(), code)
+    words = "|".join(first)
+    named = F.regexp_extract_all(_lower(title), F.lit(rf"(?U)\b({words})\b"), F.lit(1))
+    places = F.create_map(*[F.lit(v) for i, n in enumerate(first) for v in (n, i + 1)])
+    earliest = F.array_min(F.transform(named, lambda n: F.try_element_at(places, n)))
+    return F.try_element_at(F.array(*[F.lit(c) for c in first.values()]), earliest)
 
 
 def track_title(

@@ -31,6 +31,10 @@ def _outer_roots(mounts: Column) -> Column:
     )
 
 
+def _root_rows(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.explode(_outer_roots(F.col("mounts"))).alias("root"))
+
+
 def _streamable(codec: Column, size: Column) -> Column:
     """Worth sending over the network: not a copy, and large or of unknown size."""
     known = F.coalesce(size, F.lit(0))
@@ -55,7 +59,7 @@ def eligible_nodes(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
     )
     out = jobs.withColumn("__path", paths.unify_slashes(F.col("path"))).join(by_codec, "codec", "left")
-    depths = root_depths(by_root, "root")
+    depths = root_depths(_root_rows(nodes), "root")
     for d in depths:
         side = by_root.where(paths.depth(F.col("root")) == d).select(
             F.col("codec"), F.col("root").alias(f"__r{d}"), F.col("n").alias(f"__n{d}"),
@@ -104,7 +108,7 @@ def next_job_per_node(jobs: DataFrame, nodes: DataFrame, active: DataFrame) -> D
     )
     wanted = roots.select("codec", "root").distinct()
     local = None
-    for d in root_depths(roots, "root"):
+    for d in root_depths(_root_rows(nodes), "root"):
         level = (
             queued.select("id", "codec", paths.ancestor_at(F.col("path"), d).alias("root"))
             .groupBy("codec", "root")
@@ -173,20 +177,24 @@ def _preference(encoder: Column) -> Column:
     return F.array_position(F.array(*[F.lit(e) for e in listed]), encoder)
 
 
-def best_encoder(bench: DataFrame, want: str = "match", source_depth: int = 8) -> DataFrame:
+def best_encoder(
+    bench: DataFrame, want: Column, source_depth: Column, by: list[str] | None = None
+) -> DataFrame:
     """Encoder a node should use per codec family for a source of the given depth.
 
     Ranked by measured speed at the depth that would come out; hardware wins a near tie. Without
     any measurement the first listed encoder is taken. Needs node_id, family, encoder, fps8, fps10.
-    All candidates of a group reduce to three maxima, so no window is needed.
+    All candidates of a group reduce to three maxima, so no window is needed. `by` names further
+    columns that set cases apart.
     """
-    depth = output_depth(F.col("fps8"), F.col("fps10"), F.lit(want), F.lit(source_depth))
+    depth = output_depth(F.col("fps8"), F.col("fps10"), want, source_depth)
     scored = bench.withColumns(
         {"__speed": speed_at(F.col("fps8"), F.col("fps10"), depth), "__pref": _preference(F.col("encoder"))}
     )
     rank = F.struct("__speed", -F.col("__pref"), "encoder")
     measured = F.col("__speed") > 0
-    groups = scored.groupBy("node_id", "family").agg(
+    keys = [*(by or []), "node_id", "family"]
+    groups = scored.groupBy(*keys).agg(
         F.max(F.when(measured, rank)).alias("best"),
         F.max(F.when(measured & is_hardware(F.col("encoder")), rank)).alias("hw"),
         F.min(F.struct("__pref", "encoder")).alias("listed"),
@@ -195,8 +203,7 @@ def best_encoder(bench: DataFrame, want: str = "match", source_depth: int = 8) -
         F.col("hw.__speed") >= F.col("best.__speed") * K.HARDWARE_NEAR_TIE, F.lit(False)
     )
     return groups.select(
-        "node_id",
-        "family",
+        *keys,
         F.when(near, F.col("hw.encoder"))
         .otherwise(F.coalesce(F.col("best.encoder"), F.col("listed.encoder")))
         .alias("encoder"),

@@ -32,6 +32,8 @@ def replacement_check(originals: DataFrame, inventory: DataFrame) -> DataFrame:
 def sweep_plan(originals: DataFrame, inventory: DataFrame, now_s: Column, after_days: float) -> DataFrame:
     """Verdict on each original past its age: 'forget', 'keep' or 'delete', and bytes freed.
 
+    `replacement_ok` tells whether the converted file exists at all.
+
     The ledger alone is never trusted: an original goes only when its replacement exists and is
     not empty. `inventory` has one row per existing path.
     """
@@ -48,6 +50,7 @@ def sweep_plan(originals: DataFrame, inventory: DataFrame, now_s: Column, after_
         .join(final, "final_path", "left")
         .withColumn("verdict", verdict)
         .withColumn("freed", F.when(F.col("verdict") == "delete", F.col("__asize")).otherwise(F.lit(0)))
+        .withColumn("replacement_ok", F.col("__fsize").isNotNull())
         .drop("__asize", "__fsize")
     )
 

@@ -144,31 +144,37 @@ def destination_conflicts(files: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def filed_rows(filed: DataFrame, conflicts: DataFrame, jobs: DataFrame) -> DataFrame:
+def filed_rows(marked: DataFrame, jobs: DataFrame) -> DataFrame:
     """Ledger rows for files moved untouched (done) and for those that collided (failed).
 
     A collision is logged once: not for a path that has any job. A filed path is logged unless
-    it has an active job. Inputs: filed(path, destination, size, library_id) and
-    conflicts(path, destination, library_id).
+    it has an active job. `marked` has path, destination, size, library_id and the `conflict` of
+    `destination_conflicts`.
     """
-    any_job = jobs.select("path").distinct()
-    active = jobs.where(F.col("state").isin(K.ACTIVE_STATES)).select("path").distinct()
+    known = jobs.groupBy("path").agg(
+        F.max(F.col("state").isin(K.ACTIVE_STATES)).alias("__active")
+    )
+    stuck = F.col("conflict").isNotNull()
+    logged = F.when(stuck, F.col("__active").isNull()).otherwise(
+        ~F.coalesce(F.col("__active"), F.lit(False))
+    )
     text = F.concat(
         F.lit("Needs no conversion, but couldn't be filed: something is already at "),
         F.col("destination"),
     )
-    stuck = conflicts.join(any_job, "path", "left_anti").select(
-        "path", "library_id", F.lit("failed").alias("state"),
-        F.lit(None).cast("bigint").alias("size_before"),
-        F.lit(None).cast("bigint").alias("size_after"),
-        F.lit(None).cast("string").alias("final_path"), text.alias("error"),
-    ).dropDuplicates(["path"])
-    moved = filed.join(active, "path", "left_anti").select(
-        "path", "library_id", F.lit("done").alias("state"), F.col("size").alias("size_before"),
-        F.col("size").alias("size_after"), F.col("destination").alias("final_path"),
-        F.lit(None).cast("string").alias("error"),
+    return (
+        marked.join(known, "path", "left")
+        .where(logged)
+        .select(
+            "path",
+            "library_id",
+            F.when(stuck, "failed").otherwise("done").alias("state"),
+            F.when(~stuck, F.col("size")).alias("size_before"),
+            F.when(~stuck, F.col("size")).alias("size_after"),
+            F.when(~stuck, F.col("destination")).alias("final_path"),
+            F.when(stuck, text).alias("error"),
+        )
     )
-    return moved.unionByName(stuck)
 
 
 def decide(files: DataFrame) -> DataFrame:

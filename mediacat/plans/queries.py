@@ -37,8 +37,8 @@ def _percent(part: Column, whole: Column) -> Column:
 
 def _with_settings(v: Views) -> DataFrame:
     """Files with their library's settings and probe columns."""
-    settings = v.library_settings().withColumn("library_id", F.col("library_id").cast("bigint"))
-    return v.files().withColumn("audio_codecs", F.array("audio_codec")).join(settings, "library_id")
+    files = v.files().withColumn("audio_codecs", F.array("audio_codec"))
+    return files.join(v.library_settings(), "library_id")
 
 
 def _decided(v: Views) -> DataFrame:
@@ -89,7 +89,7 @@ def skip_reasons(v: Views) -> DataFrame:
 
 
 def _scan_now(v: Views) -> Column:
-    return _max(v.files(), "mtime_s") + 30
+    return _max(v.scan(), "mtime_s") + 30
 
 
 @query
@@ -123,9 +123,9 @@ def scan_funnel(v: Views) -> DataFrame:
 @query
 def scan_report(v: Views) -> DataFrame:
     """What one scan of every enabled library would report."""
-    jobs = v.jobs()
+    jobs = v.jobs(sizes=False)
     df = _decided(v).where("enabled")
-    df = scan.not_stuck(scan.not_processed(df, v.processed()), jobs)
+    df = scan.not_stuck(scan.not_processed(df, v.processed()), v.jobs())
     busy = (
         jobs.where(F.col("state").isin(K.ACTIVE_STATES)).select("path").distinct()
         .withColumn("busy", F.lit(True))
@@ -231,9 +231,8 @@ def filed_rows(v: Views) -> DataFrame:
         paths.suffix(paths.file_name(F.col("path"))),
     )
     df = df.select("path", "size", "library_id", target.alias("destination"))
-    marked = scan.destination_conflicts(df, v.files().select("path"))
-    free, taken = marked.where(F.col("conflict").isNull()), marked.where(F.col("conflict").isNotNull())
-    return scan.filed_rows(free, taken, v.jobs(sizes=False)).select(
+    marked = scan.destination_conflicts(df, v.file_paths().select("path"))
+    return scan.filed_rows(marked, v.jobs(sizes=False)).select(
         "path", "library_id", "state", "size_after", "final_path"
     )
 
@@ -418,7 +417,9 @@ def _library_table(v: Views) -> DataFrame:
 
 
 def _archived(v: Views, jobs: DataFrame) -> DataFrame:
-    return originals.archived_source(jobs, _library_table(v), v.originals(), v.inventory())
+    return originals.archived_source(
+        jobs, _library_table(v), v.originals(sizes=False), v.inventory_paths()
+    )
 
 
 @query
@@ -447,9 +448,9 @@ def outcome_routing(v: Views) -> DataFrame:
 
 @query
 def retry_eligibility(v: Views) -> DataFrame:
-    jobs = v.jobs().where(F.col("state") == "bloated")
-    here = v.inventory().select("path")
-    record = v.originals().select(F.col("job_id").alias("id"), "archived_path")
+    jobs = v.jobs(sizes=False).where(F.col("state") == "bloated")
+    here = v.inventory_paths()
+    record = v.originals(sizes=False).select(F.col("job_id").alias("id"), "archived_path")
     archived = here.select(F.col("path").alias("archived_path"), F.lit(True).alias("archived_here"))
     df = (
         jobs.join(here.withColumn("source_here", F.lit(True)), "path", "left")
@@ -505,8 +506,7 @@ def originals_summary(v: Views) -> DataFrame:
 @query
 def sweep_plan(v: Views) -> DataFrame:
     plan = originals.sweep_plan(v.originals(), v.inventory(), _ledger_now(v), 2)
-    checked = originals.replacement_check(plan, v.inventory())
-    return checked.select("job_id", "verdict", "freed", "replacement_ok")
+    return plan.select("job_id", "verdict", "freed", "replacement_ok")
 
 
 @query
@@ -550,12 +550,14 @@ def next_job_per_node(v: Views) -> DataFrame:
 @query
 def best_encoder(v: Views) -> DataFrame:
     """Choice per node and codec family for 8-bit and 10-bit sources, and with 10-bit asked for."""
-    bench = v.bench()
-    out = None
-    for case, want, depth in (("eight", "match", 8), ("ten", "match", 10), ("forced", "10", 10)):
-        part = nodes.best_encoder(bench, want, depth).withColumn("case", F.lit(case))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cases = F.array(
+        *[
+            F.struct(F.lit(c).alias("case"), F.lit(w).alias("want"), F.lit(d).alias("depth"))
+            for c, w, d in (("eight", "match", 8), ("ten", "match", 10), ("forced", "10", 10))
+        ]
+    )
+    bench = v.bench().select("*", F.inline(cases))
+    return nodes.best_encoder(bench, F.col("want"), F.col("depth"), by=["case"])
 
 
 @query
@@ -632,7 +634,7 @@ def _named_files(v: Views) -> DataFrame:
 @query
 def rename_plan(v: Views) -> DataFrame:
     planned = scan.with_destination(_named_files(v), F.lit("mp4"))
-    marked = scan.destination_conflicts(planned, v.files().select("path"))
+    marked = scan.destination_conflicts(planned, v.file_paths().select("path"))
     return marked.select("file_id", "library_id", "destination", "conflict")
 
 

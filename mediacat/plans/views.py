@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediacat.functions import rules
 from mediacat.functions.constants import CODEC_FAMILIES
 from mediacat.operators.keyed import latest_per_key
 
@@ -326,8 +327,16 @@ class Views:
         parts = newest.selectExpr("*", "file_id div 8 as ord", "file_id % 8 as line")
         return parts.selectExpr(*[f"{_OF_FILE[c]} as {c}" if c in _OF_FILE else c for c in SCAN])
 
+    def file_paths(self) -> DataFrame:
+        """file_id, path and mtime_s of the files, for queries that ask no more of them."""
+        ids = self.table("lineitem").selectExpr(f"{SCAN['file_id']} as file_id").distinct()
+        parts = ids.selectExpr("file_id", "file_id div 8 as ord", "file_id % 8 as line")
+        return parts.selectExpr("file_id", *[f"{_OF_FILE[c]} as {c}" for c in ("path", "mtime_s")])
+
     def processed(self) -> DataFrame:
-        return self.files().where("file_id%4=0").selectExpr(*_columns(PROCESSED))
+        """Path and time of the files handled before."""
+        known = {c: PROCESSED[c] for c in ("path", "mtime_s")}
+        return self.file_paths().where("file_id%4=0").selectExpr(*_columns(known))
 
     def jobs(self, sizes: bool = True) -> DataFrame:
         """The ledger. Without `sizes` the file sizes, and the join that brings them, are left out."""
@@ -338,8 +347,10 @@ class Views:
         keyed = orders.withColumn("file_id", F.expr(_OWN_FILE))
         return keyed.join(own, "file_id", "left").selectExpr(*_columns(JOBS))
 
-    def originals(self) -> DataFrame:
-        return self.jobs().where("state in ('done','bloated') and id%2=0").selectExpr(*_columns(ORIGINALS))
+    def originals(self, sizes: bool = True) -> DataFrame:
+        kept = {c: e for c, e in ORIGINALS.items() if sizes or c != "size"}
+        held = self.jobs(sizes).where("state in ('done','bloated') and id%2=0")
+        return held.selectExpr(*_columns(kept))
 
     def inventory(self) -> DataFrame:
         archived = (
@@ -348,6 +359,12 @@ class Views:
         )
         return self.files().select("path", "size").unionByName(archived)
 
+    def inventory_paths(self) -> DataFrame:
+        archived = self.originals(sizes=False).selectExpr(f"{ARCHIVE['path']} as path")
+        return self.file_paths().select("path").unionByName(
+            archived.where("path is not null").distinct()
+        )
+
     def progress(self) -> DataFrame:
         return self.table("events").selectExpr(*_columns(PROGRESS))
 
@@ -385,9 +402,10 @@ class Views:
 
         rows = self.inline("v_libraries").join(self.inline("v_rules"), "library_id")
         return rows.select(
-            "library_id", "name", "watch_path", (F.col("enabled") == 1).alias("enabled"),
+            F.col("library_id").cast("bigint").alias("library_id"),
+            "name", "watch_path", (F.col("enabled") == 1).alias("enabled"),
             (F.col("skip_matching") == 1).alias("skip_matching"),
-            F.struct(
+            rules.tidy_filters(F.struct(
                 texts("only_ext").alias("only_extensions"),
                 texts("skip_ext").alias("skip_extensions"),
                 texts("only_name").alias("only_name_contains"),
@@ -403,7 +421,7 @@ class Views:
                     F.col("ceil_sd").alias("sd"), F.col("ceil_hd").alias("hd"),
                     F.col("ceil_fullhd").alias("fullhd"), F.col("ceil_uhd").alias("uhd"),
                 ).alias("bitrate_ceiling"),
-            ).alias("filters"),
+            )).alias("filters"),
             F.struct(
                 F.col("want_video").alias("codec"), F.col("want_audio").alias("audio"),
                 F.col("want_container").alias("container"),
