@@ -380,8 +380,8 @@ def human_duration(seconds: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    big = F.concat(F.format_number(n / 1e9, "0.00"), F.lit(" GB"))
-    small = F.concat(F.format_number(n / 1e6, "0"), F.lit(" MB"))
+    big = F.format_string("%.2f GB", n / 1e9)
+    small = F.format_string("%d MB", F.bround(n / 1e6, 0).cast("bigint"))
     return F.when(~_filled(n), F.lit("unknown")).when(n >= 1e9, big).otherwise(small)
 
 

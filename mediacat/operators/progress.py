@@ -18,7 +18,7 @@ def epoch_s(ts: Column) -> Column:
     return days * F.lit(86400).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def judged(events: DataFrame, slice_s: int = 86400) -> DataFrame:
+def judged(events: DataFrame, slice_s: int = 600) -> DataFrame:
     """Events with `accepted` and `moved`.
 
     A progress report is refused once its job has completed or failed, until it is started again.
@@ -39,7 +39,7 @@ def judged(events: DataFrame, slice_s: int = 86400) -> DataFrame:
     return df.withColumn("moved", moved).drop("__before", "__p", "__last")
 
 
-def latest_progress(events: DataFrame, slice_s: int = 86400) -> DataFrame:
+def latest_progress(events: DataFrame, slice_s: int = 600) -> DataFrame:
     """Where each job stands after all its events."""
     df = judged(events, slice_s)
     at = [F.col(c) for c in ORDER]
@@ -79,10 +79,10 @@ def stalled_jobs(
     )
 
 
-def lease_expiries(events: DataFrame, lease_s: int = K.LEASE_S) -> DataFrame:
+def lease_expiries(events: DataFrame, lease_s: int = K.LEASE_S, slice_s: int = 600) -> DataFrame:
     """Moments at which a running job went silent for longer than its lease."""
-    df = judged(events).where((F.col("kind") == "started") | F.col("accepted"))
-    df = previous_value(df, ["job_id"], ORDER, "at_s", F.floor(F.col("at_s") / 86400), "before_s")
+    df = judged(events, slice_s).where((F.col("kind") == "started") | F.col("accepted"))
+    df = previous_value(df, ["job_id"], ORDER, "at_s", F.floor(F.col("at_s") / slice_s), "before_s")
     return df.where(F.col("at_s") - F.col("before_s") > lease_s).select(
         "job_id", (F.col("before_s") + lease_s).alias("expired_s")
     )

@@ -48,7 +48,7 @@ def _decided(v: Views) -> DataFrame:
 @query
 def conversion_plan(v: Views) -> DataFrame:
     return (
-        _decided(v).where(F.col("skip").isNull())
+        _decided(v).where(F.col("skip.code").isNull())
         .groupBy("library_id", F.col("plan.action").alias("action"))
         .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     )
@@ -109,7 +109,7 @@ def scan_funnel(v: Views) -> DataFrame:
         .when(paths.in_skip_dir(F.col("path")), "skipped_folder")
         .when(~scan.is_settled(F.col("mtime_s"), _scan_now(v)), "arriving")
         .when(F.abs(F.col("handled_s") - F.col("mtime_s")) < 1, "handled")
-        .when(F.col("skip").isNotNull(), "skip_rule")
+        .when(F.col("skip.code").isNotNull(), "skip_rule")
         .when(F.col("file_id") % 97 == 0, "unreadable")
         .when(F.col("plan.action") == "skip", "already_right")
         .otherwise("wanted")
@@ -135,7 +135,7 @@ def scan_report(v: Views) -> DataFrame:
     right = (F.col("plan.action") == "skip") & F.col("skip_matching")
     outcome = (
         F.when(~settled, "waiting")
-        .when(F.col("skip").isNotNull(), "filtered_out")
+        .when(F.col("skip.code").isNotNull(), "filtered_out")
         .when(right, "already_ok")
         .when(F.col("busy"), "has_job")
         .otherwise("queued")
@@ -224,7 +224,7 @@ def size_stability(v: Views) -> DataFrame:
 @query
 def filed_rows(v: Views) -> DataFrame:
     """Ledger rows for files that need no conversion and are moved as they are."""
-    df = _decided(v).where(F.col("skip").isNull() & (F.col("plan.action") == "skip"))
+    df = _decided(v).where(F.col("skip.code").isNull() & (F.col("plan.action") == "skip"))
     target = F.concat(
         F.lit("/out/lib"), F.col("library_id").cast("string"), F.lit("/"),
         (F.floor(F.col("file_id") / 16)).cast("string"), F.lit("."),
@@ -796,7 +796,7 @@ def lease_expiries(v: Views) -> DataFrame:
 @query
 def node_sessions(v: Views) -> DataFrame:
     beats = v.progress().select("node_id", progress.epoch_s(F.col("ts")).alias("ts_s"))
-    return keyed.sessions(beats, "node_id", "ts_s", gap_s=600, bucket_s=86400)
+    return keyed.sessions(beats, "node_id", "ts_s", gap_s=600, bucket_s=3600)
 
 
 @query
