@@ -37,7 +37,7 @@ def owning_library(
     The first library among nested folders is worked out on the library side beforehand.
     """
     roots = libraries.select(
-        _trimmed(F.col(root)).alias("root"), F.struct(F.col(order), "library_id").alias("lib")
+        _trimmed(F.col(root)).alias("root"), F.struct(F.col(order).alias("place"), "library_id").alias("lib")
     )
     depths = root_depths(libraries, root)
     same = roots.groupBy("root").agg(F.min("lib").alias("lib"))

@@ -80,7 +80,10 @@ def state_table(spark: SparkSession, path: str, order: str | None = None) -> Dat
 
 def probe_documents(docs: DataFrame) -> DataFrame:
     """Probe output (path, document JSON) with the document parsed; unreadable ones stay NULL."""
-    return docs.withColumn("probe", F.from_json("document", schemas.PROBE))
+    parsed = F.from_json("document", schemas.PROBE)
+    # Unreadable text parses to a struct of NULLs, as an empty document does; only then look twice.
+    filled = parsed["format"].isNotNull() | parsed["streams"].isNotNull()
+    return docs.withColumn("probe", F.when(filled | F.try_parse_json("document").isNotNull(), parsed))
 
 
 def probe_summary(probed: DataFrame) -> DataFrame:
