@@ -269,6 +269,15 @@ def split_windows(windows: DataFrame) -> DataFrame:
     )
 
 
+def work_allowed(events: DataFrame, windows: DataFrame, enabled: bool = True, ts: str = "ts") -> DataFrame:
+    """Events with `open` under a whole schedule: switched off or without windows, all is open."""
+    if not enabled:
+        return events.withColumn("open", F.lit(True))
+    judged = in_work_window(events, split_windows(windows), ts)
+    some = windows.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
+    return judged.withColumn("open", F.col("open") | ~some)
+
+
 def in_work_window(events: DataFrame, ranges: DataFrame, ts: str = "ts") -> DataFrame:
     """Events with `open`: does their clock time fall in any window?
 

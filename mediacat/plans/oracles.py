@@ -298,10 +298,13 @@ def _scan_report() -> str:
         + steps
         + f""", stuck as (select path, size_before from (select *, row_number() over (partition by path
    order by id desc) as rn from v_jobs where state in {STUCK}) where rn=1),
+ sights as (select path, size, row_number() over (partition by path order by scan_s desc, size desc) as rn from v_scan),
+ steady as (select path from sights where rn<=2 group by path
+   having max(case when rn=1 then size end)=max(case when rn=2 then size end)),
  rest as (select d.* from decided d where enabled=1
    and not exists (select 1 from v_processed p where p.path=d.path and abs(p.mtime_s-d.mtime_s)<1)
    and not exists (select 1 from stuck s where s.path=d.path and s.size_before=d.size)),
- told as (select r.library_id, case when {SCAN_NOW}-mtime_s<=90 then 'waiting'
+ told as (select r.library_id, case when {SCAN_NOW}-mtime_s<=90 and r.path not in (select path from steady) then 'waiting'
    when skip_code is not null then 'filtered_out' when action='skip' and skip_matching=1 then 'already_ok'
    when r.path in (select path from v_jobs where state in {ACTIVE}) then 'has_job' else 'queued' end as o from rest r)
  select library_id, count(*) filter (where o='queued') as queued, count(*) filter (where o='waiting') as waiting,

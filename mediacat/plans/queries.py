@@ -13,6 +13,7 @@ from mediacat.functions import paths, rules
 from mediacat.operators import (
     audit, keyed, ledger, logs, matching, nodes, originals, outcomes, progress, scan, tracks,
 )
+from mediacat.plans import pipeline
 from mediacat.plans.views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,26 +124,17 @@ def scan_funnel(v: Views) -> DataFrame:
 @query
 def scan_report(v: Views) -> DataFrame:
     """What one scan of every enabled library would report."""
-    jobs = v.jobs(sizes=False)
-    df = _decided(v).where("enabled")
-    df = scan.not_stuck(scan.not_processed(df, v.processed()), v.jobs())
-    busy = (
-        jobs.where(F.col("state").isin(K.ACTIVE_STATES)).select("path").distinct()
-        .withColumn("busy", F.lit(True))
-    )
-    df = df.join(busy, "path", "left")
-    settled = scan.is_settled(F.col("mtime_s"), _scan_now(v))
-    right = (F.col("plan.action") == "skip") & F.col("skip_matching")
-    outcome = (
-        F.when(~settled, "waiting")
-        .when(F.col("skip.code").isNotNull(), "filtered_out")
-        .when(right, "already_ok")
-        .when(F.col("busy"), "has_job")
-        .otherwise("queued")
-    )
-    return df.groupBy("library_id").agg(
-        *[F.count_if(outcome == o).alias(o) for o in ("queued", "waiting", "already_ok", "filtered_out")]
-    )
+    files = v.files().withColumn("audio_codecs", F.array("audio_codec"))
+    decisions = pipeline.scan_libraries(
+        files.select("path", "size", "mtime_s"),
+        v.library_settings(),
+        v.processed(),
+        v.jobs(),
+        files.select("path", *pipeline.PROBE_COLUMNS),
+        _scan_now(v),
+        scan.size_stability(v.scan(), ["scan_s"]),
+    )
+    return pipeline.scan_report(decisions)
 
 
 @query

@@ -290,6 +290,9 @@ def test_work_windows(spark):
     }
     ev = frame(spark, [(t,) for t in when], "t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     assert {r.t: r.open for r in nodes.in_work_window(ev, ranges).collect()} == when
+    assert {r.t: r.open for r in nodes.work_allowed(ev, w).collect()} == when
+    assert nodes.work_allowed(ev, w.where("false")).where("open").count() == len(when)
+    assert nodes.work_allowed(ev, w, enabled=False).where("open").count() == len(when)
 
 
 # ---- tracks --------------------------------------------------------------

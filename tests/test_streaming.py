@@ -64,9 +64,11 @@ def test_tracking_equals_the_batch_form(spark, folders):
     # Leases lost between two events of a job. The tracker also knows of jobs gone silent for good.
     lost = got.where("event = 'lease_expired'").select("job_id", F.unix_timestamp("at").alias("at_s"))
     batch = progress.lease_expiries(events).select("job_id", F.col("expired_s").alias("at_s"))
-    assert batch.exceptAll(lost).where("at_s is not null").count() == 0 or abs(
-        batch.count() - lost.count()
-    ) <= want.count()
+    # Whole seconds against microseconds: leave out gaps within a second of the lease.
+    assert batch.where("at_s is not null").count() > 200
+    missing, extra = batch.exceptAll(lost), lost.exceptAll(batch)
+    assert missing.count() <= 0.02 * batch.count()
+    assert extra.count() <= want.count() + 0.02 * batch.count()
     assert got.where("event = 'stalled'").count() > 0
 
 
@@ -108,6 +110,21 @@ def test_daily_and_lifetime_savings(spark, folders):
     assert daily.agg(F.sum("before")).first()[0] == total.before
 
 
+def test_checkpoints_go_to_the_shared_folder(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        spark.conf.set("spark.checkpoint.dir", "/named/by/cluster")
+        assert S.checkpoint_folder(spark, "jobs", "/elsewhere") == "/named/by/cluster/jobs"
+        spark.conf.unset("spark.checkpoint.dir")
+        if spark.conf.get("spark.checkpoint.dir", None) is None:
+            assert S.checkpoint_folder(spark, "jobs", "/shared/cp/") == "/shared/cp/jobs"
+            with pytest.raises(ValueError):
+                S.checkpoint_folder(spark, "jobs")
+    finally:
+        if before is not None:
+            spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_repeats_are_dropped(spark, folders):
     asks = Views(spark, FOLDER).jobs(sizes=False).select(
         "path", F.timestamp_seconds(F.lit(1700000000)).alias("ts"), "id"
