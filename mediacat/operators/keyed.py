@@ -136,20 +136,26 @@ def page_of(
         F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("total")
     )
     lo, hi, total = (bounds.select(c).scalar() for c in ("lo", "hi", "total"))
-    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / buckets)).cast("bigint")
-    rank = (F.col(key) - lo) if ascending else (hi - F.col(key))
-    sliced = df.withColumn("__slice", F.floor(rank / width).cast("bigint"))
+    lo_, hi_ = F.col("__lo"), F.col("__hi")
+    width = F.greatest(F.lit(1), F.ceil((hi_ - lo_ + 1) / buckets)).cast("bigint")
+    rank = (F.col(key) - lo_) if ascending else (hi_ - F.col(key))
+    sliced = (
+        df.withColumns({"__lo": lo, "__hi": hi})
+        .withColumn("__slice", F.floor(rank / width).cast("bigint"))
+        .drop("__lo", "__hi")
+    )
 
     pages = F.greatest(F.lit(1), F.ceil(total / per_page)).cast("bigint")
-    first = (F.least(F.lit(page), pages) - 1) * per_page
     counts = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    first = F.col("__first")
     # At most `buckets` rows reach this window.
     running = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, 0)
     touched = (
         counts.withColumn("__upto", F.sum("__n").over(running))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
+        .withColumn("__first", (F.least(F.lit(page), pages) - 1) * per_page)
         .where((F.col("__upto") > first) & (F.col("__before") < first + per_page))
-        .select("__slice", "__before")
+        .select("__slice", "__before", "__first")
     )
     order = F.col(key).asc() if ascending else F.col(key).desc()
     return (
@@ -160,5 +166,5 @@ def page_of(
         )
         .where((F.col("__pos") > first) & (F.col("__pos") <= first + per_page))
         .withColumn("position", F.col("__pos").cast("bigint"))
-        .drop("__slice", "__before", "__pos")
+        .drop("__slice", "__before", "__first", "__pos")
     )

@@ -56,14 +56,16 @@ def lifetime_stats(jobs: DataFrame, completions: DataFrame) -> DataFrame:
         F.coalesce(F.sum("size_before"), F.lit(0)).alias("t_before"),
         F.coalesce(F.sum("size_after"), F.lit(0)).alias("t_after"),
     )
-    files = totals.select("files").scalar()
-    live = job_stats(jobs)
-    return live.select(
-        F.greatest(F.col("done"), files).alias("done"),
+    # Two rows, one from each side, folded into one.
+    both = job_stats(jobs).unionByName(totals, allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    counted = F.col("files") > 0
+    return one.select(
+        F.greatest(F.col("done"), F.col("files")).alias("done"),
         "failed",
         "queued",
-        F.when(files > 0, totals.select("t_before").scalar()).otherwise(F.col("before")).alias("before"),
-        F.when(files > 0, totals.select("t_after").scalar()).otherwise(F.col("after")).alias("after"),
+        F.when(counted, F.col("t_before")).otherwise(F.col("before")).alias("before"),
+        F.when(counted, F.col("t_after")).otherwise(F.col("after")).alias("after"),
     )
 
 

@@ -67,12 +67,15 @@ def stalled_jobs(
     latest: DataFrame, now_s: Column, limit_s: Column, stall_s: Column, lease_s: int = K.LEASE_S
 ) -> DataFrame:
     """Running jobs whose lease ran out, or that run too long or do not move."""
+    # Held in a column, so that a `now_s` looked up from a table is looked up once.
+    now = F.col("__now")
     verdict = rules.overrun_verdict(
-        F.col("state"), F.col("started_s"), F.col("progress_s"), now_s, limit_s, stall_s
+        F.col("state"), F.col("started_s"), F.col("progress_s"), now, limit_s, stall_s
     )
     return (
         latest.where(F.col("state") == "running")
-        .withColumn("lease_expired", F.coalesce(F.col("seen_s") + lease_s < now_s, F.lit(False)))
+        .withColumn("__now", now_s)
+        .withColumn("lease_expired", F.coalesce(F.col("seen_s") + lease_s < now, F.lit(False)))
         .withColumn("code", verdict["code"])
         .where(F.col("lease_expired") | F.col("code").isNotNull())
         .select("job_id", "lease_expired", "code")

@@ -467,7 +467,8 @@ def retry_eligibility(v: Views) -> DataFrame:
 def overrun_jobs(v: Views) -> DataFrame:
     """Limit five days, stall three days; counted from the last job's creation plus an hour."""
     jobs = v.jobs(sizes=False)
-    now = _max(jobs, "created_s") + 3600
+    jobs = jobs.withColumn("now_s", _max(jobs, "created_s") + 3600)
+    now = F.col("now_s")
     limit = rules.limit_seconds(F.lit(True), F.lit(5.0), F.lit("days"))
     stall = rules.stall_seconds(F.lit(True), F.lit(True), F.lit(3 * 24 * 60.0))
     verdict = rules.overrun_verdict(

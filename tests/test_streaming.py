@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,19 +112,14 @@ def test_daily_and_lifetime_savings(spark, folders):
     assert daily.agg(F.sum("before")).first()[0] == total.before
 
 
-def test_checkpoints_go_to_the_shared_folder(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/named/by/cluster")
-        assert S.checkpoint_folder(spark, "jobs", "/elsewhere") == "/named/by/cluster/jobs"
-        spark.conf.unset("spark.checkpoint.dir")
-        if spark.conf.get("spark.checkpoint.dir", None) is None:
-            assert S.checkpoint_folder(spark, "jobs", "/shared/cp/") == "/shared/cp/jobs"
-            with pytest.raises(ValueError):
-                S.checkpoint_folder(spark, "jobs")
-    finally:
-        if before is not None:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_checkpoints_go_to_the_shared_folder():
+    def session(value):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
+
+    assert S.checkpoint_folder(session("/shared/cp/"), "jobs", "/elsewhere") == "/shared/cp/jobs"
+    assert S.checkpoint_folder(session(None), "jobs", "/elsewhere") == "/elsewhere/jobs"
+    with pytest.raises(ValueError):
+        S.checkpoint_folder(session(None), "jobs")
 
 
 def test_repeats_are_dropped(spark, folders):
