@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,14 +41,18 @@ def with_suffix(path: Column, extension: Column) -> Column:
     return F.concat(bare, F.lit("."), extension)
 
 
+# Each test reads its path once: a path that is itself computed is not computed again.
+_VIDEO = rf"(?s)^[^.].*\.(?:{'|'.join(VIDEO_EXTENSIONS)})\z"
+_SKIPPED = rf"(?:^|/)(?:{'|'.join(re.escape(d) for d in SKIP_DIRS)})(?:/|\z)"
+
+
 def is_video(path: Column) -> Column:
-    name = file_name(path)
-    return F.lower(suffix(name)).isin(VIDEO_EXTENSIONS) & ~name.startswith(".")
+    """A known extension, and a name that does not begin with a dot."""
+    return F.lower(file_name(path)).rlike(_VIDEO)
 
 
 def in_skip_dir(path: Column) -> Column:
-    parts = F.split(F.lower(path), "/")
-    return F.arrays_overlap(parts, F.array(*[F.lit(d) for d in SKIP_DIRS]))
+    return F.lower(path).rlike(_SKIPPED)
 
 
 def unify_slashes(path: Column) -> Column:

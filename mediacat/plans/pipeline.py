@@ -42,11 +42,12 @@ def scan_libraries(
         settled = settled | F.coalesce(F.col("stable"), F.lit(False))
     cheap = rules.skip_reason(F.col("path"), F.col("size"), F.col("filters"))
     files = files.withColumn("settled", settled).withColumn(
-        "__probe", F.when(F.col("settled") & cheap["code"].isNull(), F.col("path"))
+        "__look", F.col("settled") & cheap["code"].isNull()
     )
     found = probes.select(F.col("path").alias("__probe"), *PROBE_COLUMNS)
     busy = jobs.where(F.col("state").isin(K.ACTIVE_STATES)).select("path").distinct()
-    df = files.join(found, "__probe", "left").join(busy.withColumn("__busy", F.lit(True)), "path", "left")
+    wanted = (F.col("path") == F.col("__probe")) & F.col("__look")
+    df = files.join(found, wanted, "left").join(busy.withColumn("__busy", F.lit(True)), "path", "left")
     df = scan.decide(df)
     right = (F.col("plan.action") == "skip") & F.col("skip_matching")
     outcome = (
@@ -56,7 +57,7 @@ def scan_libraries(
         .when(F.col("__busy"), "has_job")
         .otherwise("queued")
     )
-    return df.withColumn("outcome", outcome).drop("__probe", "__busy", "filters")
+    return df.withColumn("outcome", outcome).drop("__probe", "__look", "__busy", "filters")
 
 
 def scan_report(decisions: DataFrame) -> DataFrame:
