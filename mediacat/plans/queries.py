@@ -13,7 +13,7 @@ from mediacat.functions import paths, rules
 from mediacat.operators import (
     audit, keyed, ledger, logs, matching, nodes, originals, outcomes, progress, scan, tracks,
 )
-from mediacat.plans import pipeline
+from mediacat.plans import scan_plan
 from mediacat.plans.views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,16 +125,16 @@ def scan_funnel(v: Views) -> DataFrame:
 def scan_report(v: Views) -> DataFrame:
     """What one scan of every enabled library would report."""
     files = v.files().withColumn("audio_codecs", F.array("audio_codec"))
-    decisions = pipeline.scan_libraries(
+    decisions = scan_plan.scan_libraries(
         files.select("path", "size", "mtime_s"),
         v.library_settings(),
         v.processed(),
         v.jobs(),
-        files.select("path", *pipeline.PROBE_COLUMNS),
+        files.select("path", *scan_plan.PROBE_COLUMNS),
         _scan_now(v),
         scan.size_stability(v.scan(), ["scan_s"]),
     )
-    return pipeline.scan_report(decisions)
+    return scan_plan.scan_report(decisions)
 
 
 @query
