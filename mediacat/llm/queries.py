@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import quality, sharding, toxicity
+from mediacat.llm import packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,18 @@ def _by_doc(result: DataFrame) -> DataFrame:
     return result.withColumnRenamed("job_id", "doc_id")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts as token pieces in sequences of at most 4096 ids."""
+    return _by_doc(packing.pack_pieces(packing.token_pieces(_logs(spark, folder), tokenizer_file())))
+
+
 @query
 def op4_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     """Line-first cleaning: line rules, then logs that lose too much text."""
