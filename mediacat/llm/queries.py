@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import packing, quality, sharding, toxicity
+from mediacat.llm import archives, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,31 @@ def op4_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return _by_doc(quality.clean_logs(_logs(spark, folder)).drop("cleaned"))
 
 
+@query
+def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    got = archives.archive_lookups(pages, "page_id", "url", "html")
+    return got.select(
+        F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("kind").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+ORACLES["op7_warc_salvage"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), s AS (
+  SELECT page_id, payload_digest, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+    min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM s
+"""
+
+
 @query
 def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of nearly equal bytes by sampled splitters."""
