@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import archives, packing, quality, sharding, toxicity
+from mediacat.llm import archives, decontamination, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,21 @@ def op4_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return _by_doc(quality.clean_logs(_logs(spark, folder)).drop("cleaned"))
 
 
+def benchmark_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark's texts as questions and answers: the last sentence of each is its answer."""
+    rows = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
+    sentences = F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\w"))
+    most = F.slice(sentences, F.lit(1), F.greatest(F.size(sentences) - 1, F.lit(0)))
+    question = F.when(F.size(sentences) > 1, F.array_join(most, " ")).otherwise(F.col("text"))
+    return rows.select("item_id", question.alias("question"), F.coalesce(F.try_element_at(sentences, F.lit(-1)), F.lit("")).alias("answer"))
+
+
+@query
+def op5_bm25_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items: one row for each document and item."""
+    return _by_doc(decontamination.find_leaks(_logs(spark, folder), benchmark_items(spark, folder)))
+
+
 @query
 def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a WARC record, written and read back."""
