@@ -18,8 +18,11 @@ SEQUENCE = 4096
 END_ID = 1
 NODE_ITEMS = 20_000
 SLACK = 24
-CACHED_WORDS = 400_000
-BLANK = re.compile(r"[^ \t\n\r]+")
+CACHED_RUNS = 900_000
+#: The tokenizer's own split of lower-case text, for code points below U+0250.
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+#: What the split above does not hold for: other code points, signs that are blank to one side only, special tokens.
+OTHER = re.compile(r"[^\x00-\u024f\u2010-\u2027]|[\x1c-\x1f]|<\|")
 
 PIECES = "job_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PART = "struct<job_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -29,9 +32,9 @@ PART_TYPE = pa.struct(
 BINS = pa.schema([("filled", pa.int32()), ("full", pa.bool_()), ("parts", pa.list_(PART_TYPE))])
 
 
-class WordTokens:
-    """Token ids of texts, word by word: the tokenizer never joins what blanks part, so each word is
-    encoded once and looked up afterwards."""
+class Tokens:
+    """Token ids of texts. A run of letters, digits or signs always has the same ids, so each is encoded
+    once and looked up afterwards; texts that need more than that go through the tokenizer whole."""
 
     def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,24 +47,29 @@ class WordTokens:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        lengths = np.array([len(g) for g in got], np.int64)
+    def _learn(self, runs: list[str]) -> None:
+        got = self.tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
+        lengths = np.bincount(np.array(got.word_ids, np.int64), minlength=len(runs))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs))))
+        self.ids = np.concatenate([self.ids, np.array(got.ids, np.uint32)])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [BLANK.findall(t) for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
+        runs = [None if OTHER.search(t) else RUNS.findall(t.lower()) for t in texts]
+        plain = [r for r in runs if r is not None]
+        new = set().union(*plain).difference(self.known)
+        if len(self.known) + len(new) > CACHED_RUNS:
             self.clear()
-            new = set().union(*words)
+            new = set().union(*plain)
         if new:
             self._learn(sorted(new))
         get, out = self.known.__getitem__, []
-        for own in words:
+        for text, own in zip(texts, runs):
+            if own is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array([*ids, END_ID], "<u4"))
+                continue
             at = np.fromiter(map(get, own), np.int64, len(own))
             lengths = self.lengths[at]
             ends = np.cumsum(lengths)
@@ -73,6 +81,16 @@ class WordTokens:
         return out
 
 
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(tokenizer_file: str) -> Tokens:
+    """One per Python worker, which runs task after task."""
+    if tokenizer_file not in _TOKENS:
+        _TOKENS[tokenizer_file] = Tokens(tokenizer_file)
+    return _TOKENS[tokenizer_file]
+
+
 def token_pieces(logs: DataFrame, tokenizer_file: str, job_id: str = "job_id", log: str = "log", length: int = SEQUENCE) -> DataFrame:
     """Each log's token ids with an end id, cut into pieces of `length`; only the last may be shorter.
 
@@ -81,7 +99,7 @@ def token_pieces(logs: DataFrame, tokenizer_file: str, job_id: str = "job_id", l
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_file)
+        tokens = tokens_of(tokenizer_file)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, rows = batch.slice(at, 256), []
