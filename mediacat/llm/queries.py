@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import archives, decontamination, packing, quality, sharding, toxicity
+from mediacat.llm import archives, decontamination, licences, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +89,14 @@ FROM s
 """
 
 
+@query
+def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in all documents, a row for each paragraph."""
+    logs = _logs(spark, folder)
+    classifier = licences.learn_licences(spark, licences.paragraphs_of(logs))
+    return _by_doc(licences.scan_licences(logs, classifier))
+
+
 @query
 def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of nearly equal bytes by sampled splitters."""
