@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import archives, decontamination, licences, packing, quality, sharding, toxicity
+from mediacat.llm import archives, decontamination, jaccard, licences, packing, passages, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,12 @@ def _by_doc(result: DataFrame) -> DataFrame:
     return result.withColumnRenamed("job_id", "doc_id")
 
 
+@query
+def op1_passage_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of 13-word passages that a document with a smaller id has, removed."""
+    return _by_doc(passages.remove_repeats(_logs(spark, folder)).drop("kept"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -64,6 +70,12 @@ def op5_bm25_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return _by_doc(decontamination.find_leaks(_logs(spark, folder), benchmark_items(spark, folder)))
 
 
+@query
+def op6_incidence_product(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked by a shingle similarity of 0.75 or more."""
+    return _by_doc(jaccard.link_logs(_logs(spark, folder)))
+
+
 @query
 def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a WARC record, written and read back."""
