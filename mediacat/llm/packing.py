@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,21 @@ NODE_ITEMS = 20_000
 SLACK = 24
 CACHED_RUNS = 900_000
 #: The tokenizer's own split of lower-case text, for code points below U+0250.
-RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
-#: What the split above does not hold for: other code points, signs that are blank to one side only, special tokens.
-OTHER = re.compile(r"[^\x00-\u024f\u2010-\u2027]|[\x1c-\x1f]|<\|")
+RUNS = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\w\s]+|_+)+")
+OTHER = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
+
+
+def _is_plain(text: str) -> bool:
+    """Whether the split above holds: no other code points, no signs that are blank to one side only, and
+    nothing like a special token."""
+    if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return False
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not OTHER.search(text)
+
 
 PIECES = "job_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PART = "struct<job_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -32,6 +45,14 @@ PART_TYPE = pa.struct(
 BINS = pa.schema([("filled", pa.int32()), ("full", pa.bool_()), ("parts", pa.list_(PART_TYPE))])
 
 
+class _Places(dict):
+    """Run to number; a run that is not there yet gets the next one."""
+
+    def __missing__(self, run: str) -> int:
+        self[run] = place = len(self)
+        return place
+
+
 class Tokens:
     """Token ids of texts. A run of letters, digits or signs always has the same ids, so each is encoded
     once and looked up afterwards; texts that need more than that go through the tokenizer whole."""
@@ -44,40 +65,36 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Places()
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, runs: list[str]) -> None:
+    def _learn(self) -> None:
+        """Encode the runs that have a number but no ids yet."""
+        runs = list(islice(self.known, len(self.starts), None))
+        if not runs:
+            return
         got = self.tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
         lengths = np.bincount(np.array(got.word_ids, np.int64), minlength=len(runs))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs))))
         self.ids = np.concatenate([self.ids, np.array(got.ids, np.uint32)])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [None if OTHER.search(t) else RUNS.findall(t.lower()) for t in texts]
-        plain = [r for r in runs if r is not None]
-        new = set().union(*plain).difference(self.known)
-        if len(self.known) + len(new) > CACHED_RUNS:
+        if len(self.known) > CACHED_RUNS:
             self.clear()
-            new = set().union(*plain)
-        if new:
-            self._learn(sorted(new))
-        get, out = self.known.__getitem__, []
-        for text, own in zip(texts, runs):
-            if own is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array([*ids, END_ID], "<u4"))
-                continue
-            at = np.fromiter(map(get, own), np.int64, len(own))
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(own) else 0
-            ids = np.empty(total + 1, "<u4")
-            ids[:total] = self.ids[np.arange(total) + np.repeat(self.starts[at] - ends + lengths, lengths)]
-            ids[total] = END_ID
-            out.append(ids)
+        runs = [RUNS.findall(t.lower()) if _is_plain(t) else None for t in texts]
+        counts = np.array([len(r or ()) for r in runs], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(r for r in runs if r)), np.int64, int(counts.sum()))
+        self._learn()
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - ends + lengths, lengths)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = []
+        for text, own, a, b in zip(texts, runs, cuts, cuts[1:]):
+            whole = ids[a:b] if own is not None else self.tokenizer.encode(text, add_special_tokens=False).ids
+            out.append(np.append(whole, END_ID).astype("<u4"))
         return out
 
 
@@ -101,8 +118,8 @@ def token_pieces(logs: DataFrame, tokenizer_file: str, job_id: str = "job_id", l
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer_file)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, rows = batch.slice(at, 256), []
+            for at in range(0, len(batch), 1024):
+                part, rows = batch.slice(at, 1024), []
                 names = part.column(0).to_pylist()
                 for name, ids in zip(names, tokens.encode([t or "" for t in part.column(1).to_pylist()])):
                     for n, start in enumerate(range(0, len(ids), length)):
