@@ -58,11 +58,11 @@ def words(paragraph: Column) -> Column:
 
 def grams(tokens: Column) -> Column:
     """Distinct words and pairs of neighbouring words."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i))
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)
     )
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(tokens, F.when(F.size(tokens) > 1, pairs).otherwise(none)))
+    return F.array_distinct(F.concat(tokens, pairs))
 
 
 def _template_rows(spark: SparkSession) -> DataFrame:
@@ -101,9 +101,9 @@ def template_overlap(tokens: Column) -> Column:
     found = []
     for order, (family, texts) in enumerate(TEMPLATES.items()):
         for text in texts:
-            own = grams(words(F.lit(text)))
-            shared = F.size(F.array_intersect(tokens, own))
-            share = F.greatest(F.try_divide(shared, F.size(tokens)), F.try_divide(shared, F.size(own)))
+            own = template_grams(text)
+            shared = F.size(F.array_intersect(tokens, F.lit(own)))
+            share = F.greatest(F.try_divide(shared, F.size(tokens)), shared / len(own))
             found.append(F.struct(F.coalesce(share, F.lit(0.0)).alias("overlap"), F.lit(-order).alias("order"), F.lit(family).alias("template_family")))
     return F.greatest(*found)
 
@@ -115,14 +115,15 @@ class LicenceClassifier:
         self.vectors, self.model, self.least, self.cues = vectors, model, least, cues
 
 
+def template_grams(text: str) -> list[str]:
+    """What grams(words(text)) gives, for a template."""
+    t = re.sub(r"[^a-z0-9.]+|[.](?![0-9])", " ", text.lower()).split()
+    return list(dict.fromkeys([*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))]))
+
+
 def vocabulary() -> list[str]:
     """All words and pairs of the templates. Other words have no weight."""
-    found: set[str] = set()
-    for texts in TEMPLATES.values():
-        for text in texts:
-            t = re.sub(r"[^a-z0-9.]+|[.](?![0-9])", " ", text.lower()).split()
-            found |= set(t) | {f"{a} {b}" for a, b in zip(t, t[1:])}
-    return sorted(found)
+    return sorted({g for texts in TEMPLATES.values() for text in texts for g in template_grams(text)})
 
 
 def cue_words(terms: list[str], model: LogisticRegressionModel) -> list[str]:
