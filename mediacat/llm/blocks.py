@@ -86,10 +86,22 @@ class Distinct:
         self.high = np.maximum.reduceat(owners[order], at) if len(at) else owners[:0]
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte plane by byte plane: the upper planes are nearly all zero
+    and cost little in a compressed shuffle."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def entries(block: int, distinct: Distinct, buckets: int, facts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     ends = np.searchsorted(bucket_of(distinct.keys, buckets), np.arange(buckets + 1))
     rows = [
-        (block, b, distinct.keys[s:e].tobytes(), b"" if facts is None else facts[s:e].tobytes())
+        (block, b, packed_keys(distinct.keys[s:e]), b"" if facts is None else facts[s:e].tobytes())
         for b, (s, e) in enumerate(zip(ends, ends[1:])) if e > s
     ]
     for at in range(0, len(rows), 64):
@@ -108,7 +120,7 @@ def ask(asked: DataFrame, answer: Callable[[np.ndarray, list[bytes]], list[np.nd
     """
 
     def judge(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        keys = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
         rows = answer(np.concatenate(keys), table.column("facts").to_pylist())
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         parts = zip(*[np.split(r, cuts) for r in rows])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import archives, decontamination, jaccard, licences, packing, passages, quality, sharding, toxicity
+from mediacat.llm import archives, decontamination, jaccard, licences, packing, passages, quality, sharding, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,13 @@ def op1_passage_doubling(spark: SparkSession, folder: str) -> DataFrame:
     return _by_doc(passages.remove_repeats(_logs(spark, folder)).drop("kept"))
 
 
+@query
+def op2_cover_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of 400-byte strings that occur a second time anywhere, removed."""
+    found = suffixes.remove_long_repeats(_logs(spark, folder))
+    return _by_doc(found.drop("kept", "span_starts", "span_ends"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
