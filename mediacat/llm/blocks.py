@@ -35,21 +35,25 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
-def in_blocks(logs: DataFrame, folder: str, job_id: str, log: str) -> DataFrame:
-    """A written table of blocks: block, ids (NULL stays), texts (NULL stays)."""
+def in_blocks(logs: DataFrame, folder: str, job_id: str, log: str, carry: list[str] | None = None) -> DataFrame:
+    """A written table of blocks: block, ids, texts (NULLs stay), and, if asked, `carried`: a struct of other
+    columns for each log, which nothing looks into."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 ends = pa.array([0, len(part)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(ends, part.column(0)), pa.ListArray.from_arrays(ends, part.column(1).cast(pa.string()))],
-                    names=["ids", "texts"],
-                )
-
-    rows = logs.select(F.col(job_id).cast("bigint").alias("job_id"), F.col(log).alias("log"))
-    blocks = rows.mapInArrow(gather, "ids array<bigint>, texts array<string>")
-    return written(blocks.select(F.monotonically_increasing_id().alias("block"), "ids", "texts"), folder, "blocks")
+                columns = [part.column(0), part.column(1).cast(pa.string()), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in columns], names=names)
+
+    rows = logs.select(
+        F.col(job_id).cast("bigint").alias("ids"), F.col(log).alias("texts"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
+    )
+    names = rows.columns
+    schema = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema)
+    blocks = rows.mapInArrow(gather, schema)
+    return written(blocks.select(F.monotonically_increasing_id().alias("block"), *names), folder, "blocks")
 
 
 def bucket_count(logs: DataFrame, log: str) -> int:

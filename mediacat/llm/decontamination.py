@@ -155,18 +155,44 @@ def find_leaks(
     looked at. Nothing is shuffled.
     """
     rows = logs.select(F.col(job_id).cast("bigint").alias("job_id"), F.col(log).alias("log"))
-    wanted = items.select(F.col(item_id).cast("bigint"), F.col(question), F.col(answer))
-    total = wanted.count()
     out = None
-    chunks = 1 if total <= CHUNK_ITEMS else -(-total // (CHUNK_ITEMS // 2))
-    for chunk in range(chunks):
-        mine = wanted.where(F.pmod(F.xxhash64(item_id, question, answer), F.lit(chunks)) == chunk)
-        index = build_index([tuple(r) for r in mine.collect() if terms(r[1]) or terms(r[2])])
+    for index in indexes(items.select(item_id, question, answer)):
         found = rows.mapInArrow(_finder(index, threshold, overlap), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes over all items (id, question, answer), none of more than about CHUNK_ITEMS."""
+    wanted = items.toDF("item_id", "question", "answer").withColumn("item_id", F.col("item_id").cast("bigint"))
+    total = wanted.count()
+    chunks = 1 if total <= CHUNK_ITEMS else -(-total // (CHUNK_ITEMS // 2))
+    for chunk in range(chunks):
+        mine = wanted.where(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(chunks)) == chunk)
+        yield build_index([tuple(r) for r in mine.collect() if terms(r[1]) or terms(r[2])])
+
+
+def without_leaks(
+    logs: DataFrame, items: DataFrame, log: str = "log", item_id: str = "item_id", question: str = "question",
+    answer: str = "answer", threshold: float = THRESHOLD, overlap: float = OVERLAP,
+) -> DataFrame:
+    """The rows of `logs` in which find_leaks has no item, as they are: all columns, repeated rows, NULL logs."""
+    place, schema = logs.columns.index(log), logs.schema
+
+    def cleaner(index: Index):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(place)
+                yield batch.filter(pa.array([not leaks_in(index, t.as_py(), threshold, overlap) for t in texts], pa.bool_()))
+
+        return clean
+
+    for index in indexes(items.select(item_id, question, answer)):
+        if index.ids:
+            logs = logs.mapInArrow(cleaner(index), schema)
+    return logs
+
+
 def _finder(index: Index, threshold: float, overlap: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

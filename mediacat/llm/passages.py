@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.llm import blocks as B
-from mediacat.llm.shared import removed, shared_folder, written
+from mediacat.llm.shared import shared_folder
 from mediacat.llm.words import Words, covered, spans
 
 WINDOW = 13
 HALF = (WINDOW + 1) // 2
-CLEANED = (
-    "job_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, block bigint, place int"
-)
+CLEANED = "job_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
 class Block:
@@ -56,11 +54,11 @@ class Block:
         return at, B.Distinct(keys, self.ids[text[at]], check)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, list]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, dict]]:
     for batch in batches:
         for i in range(len(batch)):
-            row = [c[i].as_py() for c in batch.columns]
-            yield row[0], Block(row[1], row[2]), row
+            row = {n: c[i].values if n == "carried" else c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+            yield row["block"], Block(row["ids"], row["texts"]), row
 
 
 def _shared_halves(block: Block, told: list[dict] | None, buckets: int) -> np.ndarray:
@@ -84,7 +82,9 @@ def _first_owner(keys: np.ndarray, facts: list[bytes]) -> list[np.ndarray]:
     return [later, other]
 
 
-def remove_repeats(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> DataFrame:
+def remove_repeats(
+    logs: DataFrame, job_id: str = "job_id", log: str = "log", carry: list[str] | None = None
+) -> DataFrame:
     """Job logs without passages of 13 words or more that a smaller job id's log has.
 
     Words are runs of bytes other than space and 9 to 13. Windows are doubled level by level: those of
@@ -95,57 +95,63 @@ def remove_repeats(logs: DataFrame, job_id: str = "job_id", log: str = "log") ->
 
     Windows are compared by fingerprints of 96 bits. NULL and empty logs keep nothing and lose nothing;
     logs with the same id do not count as earlier than each other; a NULL id is later than all others; no
-    rows give no rows; other columns are not looked at. Returns job_id, n_words, n_removed, kept_sha256, kept
-    (the words left, one space between them).
+    rows give no rows. Other columns are not looked at; those named in `carry` come back in a struct
+    `carried`. Returns job_id, n_words, n_removed, kept_sha256 (of the words left, one space between
+    them), kept (the same words; the log as it was, with its blanks, if it loses none).
     """
     spark = logs.sparkSession
     folder = shared_folder(spark)
     buckets = B.bucket_count(logs, log)
-    rows = B.in_blocks(logs, folder, job_id, log)
+    rows = B.in_blocks(logs, folder, job_id, log, carry)
+    bare = rows.drop("carried")
 
     def ask_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, _ in _rows(batches):
             yield from B.entries(number, block.half_windows()[1], buckets)
 
-    halves = B.ask(rows.mapInArrow(ask_halves, B.ENTRIES), B.held_elsewhere, folder, "halves")
+    halves = B.ask(bare.mapInArrow(ask_halves, B.ENTRIES), B.held_elsewhere, folder, "halves")
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, row in _rows(batches):
-            _, distinct = block.windows(_shared_halves(block, row[3], buckets))
+            _, distinct = block.windows(_shared_halves(block, row["halves"], buckets))
             facts = np.zeros(len(distinct.keys), [("check", "<u4"), ("low", "<i8")])
             facts["check"], facts["low"] = distinct.check, distinct.low
             yield from B.entries(number, distinct, buckets, facts)
 
-    first = rows.join(halves.withColumnRenamed("answers", "halves"), "block", "left")
-    windows = B.ask(first.mapInArrow(ask_windows, B.ENTRIES), _first_owner, folder, "windows")
+    halves = halves.withColumnRenamed("answers", "halves")
+    windows = B.ask(bare.join(halves, "block", "left").mapInArrow(ask_windows, B.ENTRIES), _first_owner, folder, "windows")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, row in _rows(batches):
-            at, distinct = block.windows(_shared_halves(block, row[3], buckets))
-            later, _ = B.answers_for(distinct, row[4], buckets, 2)
+        for _, block, row in _rows(batches):
+            at, distinct = block.windows(_shared_halves(block, row["halves"], buckets))
+            later, _ = B.answers_for(distinct, row["windows"], buckets, 2)
             own = block.ids[block.words.text[at]]
             gone = covered(len(block.hashes), at[later[distinct.back] | (own > distinct.low[distinct.back])], WINDOW)
-            yield from _kept(row[1], row[2], block.words, gone, number)
+            yield from _kept(row, block.words, gone)
 
-    both = first.join(windows.withColumnRenamed("answers", "windows"), "block", "left")
-    return both.mapInArrow(clean, CLEANED).drop("block", "place")
+    both = rows.join(halves, "block", "left").join(windows.withColumnRenamed("answers", "windows"), "block", "left")
+    carried = f", carried {rows.schema['carried'].dataType.elementType.simpleString()}" if carry else ""
+    return both.mapInArrow(clean, CLEANED + carried)
 
 
-def _kept(ids: list, texts: list, words: Words, gone: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
+def _kept(row: dict, words: Words, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ids, texts = row["ids"], row["texts"]
     totals = np.concatenate([[0], np.cumsum(gone)])
     lost = totals[words.first[1:]] - totals[words.first[:-1]]
     stay = (~gone).tolist()
     for at in range(0, len(ids), 500):
-        kept = []
+        kept, prints = [], []
         for i in range(at, min(at + 500, len(ids))):
             own = (texts[i] or "").encode().split()
-            kept.append(b" ".join(compress(own, stay[words.first[i] : words.first[i + 1]]) if lost[i] else own))
+            left = b" ".join(compress(own, stay[words.first[i] : words.first[i + 1]]) if lost[i] else own)
+            prints.append(hashlib.sha256(left).hexdigest())
+            kept.append(left.decode() if lost[i] else texts[i])
         part = slice(at, at + 500)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[part], pa.int64()), pa.array(words.counts[part].astype(np.int64)), pa.array(lost[part].astype(np.int64)),
-                pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary()).cast(pa.string()),
-                pa.array([number] * len(kept), pa.int64()), pa.array(range(at, at + len(kept)), pa.int32()),
-            ],
-            names=["job_id", "n_words", "n_removed", "kept_sha256", "kept", "block", "place"],
-        )
+        columns = {
+            "job_id": pa.array(ids[part], pa.int64()), "n_words": pa.array(words.counts[part].astype(np.int64)),
+            "n_removed": pa.array(lost[part].astype(np.int64)), "kept_sha256": pa.array(prints, pa.string()),
+            "kept": pa.array(kept, pa.string()),
+        }
+        if "carried" in row:
+            columns["carried"] = row["carried"][part]
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

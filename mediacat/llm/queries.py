@@ -126,11 +126,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def training_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity labels that may be learnt from: job_id and doc_id (the same), toxic."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out())
+    return labels.select(F.col("doc_id").alias("job_id"), "doc_id", "toxic")
+
+
 @query
 def op10_factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every text; labels of held-out rows are not learnt from."""
-    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out())
-    labels = labels.select(F.col("doc_id").alias("job_id"), "toxic")
     logs = _logs(spark, folder)
-    scores = _by_doc(toxicity.score_logs(logs, toxicity.learn_machine(logs, labels)))
+    machine = toxicity.learn_machine(logs, training_labels(spark, folder))
+    scores = _by_doc(toxicity.score_logs(logs, machine))
     return scores.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

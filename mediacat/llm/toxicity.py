@@ -172,3 +172,16 @@ def score_logs(logs: DataFrame, machine: Machine, job_id: str = "job_id", log: s
 
     rows = logs.select(F.col(job_id).cast("bigint").alias("job_id"), F.col(log).alias("log"))
     return rows.mapInArrow(scored, "job_id bigint, score double, predicted int")
+
+
+def without_toxic(logs: DataFrame, machine: Machine, log: str = "log") -> DataFrame:
+    """The rows of `logs` whose score is below 0.5, as they are: all columns, repeated rows, NULL logs."""
+    place = logs.columns.index(log)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                yield part.filter(pa.array(machine.score(part.column(place).to_pylist()) < 0.5))
+
+    return logs.mapInArrow(clean, logs.schema)
