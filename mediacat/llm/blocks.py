@@ -19,7 +19,6 @@ from mediacat.llm.shared import written
 BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 128
-BLOCKS = "block bigint, ids array<bigint>, texts array<string>"
 ENTRIES = "block bigint, bucket int, keys binary, facts binary"
 ANSWERS = "block bigint, bucket int, bits binary"
 LAST = np.iinfo(np.int64).max
@@ -35,25 +34,41 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def squeezed(texts: pa.Array) -> tuple[bytes, bytes]:
+    """Lengths of the texts in bytes, -1 for NULL, and all their bytes, compressed."""
+    parts = texts.cast(pa.binary()).to_pylist()
+    sizes = np.array([-1 if p is None else len(p) for p in parts], "<i8")
+    return sizes.tobytes(), pa.compress(b"".join(p or b"" for p in parts), "zstd", asbytes=True)
+
+
+def texts_of(sizes: bytes, body: bytes) -> list[bytes | None]:
+    each = np.frombuffer(sizes, "<i8")
+    ends = np.cumsum(np.maximum(each, 0)).tolist()
+    data = pa.decompress(body, ends[-1] if ends else 0, "zstd", asbytes=True)
+    return [None if n < 0 else data[e - n : e] for n, e in zip(each.tolist(), ends)]
+
+
 def in_blocks(logs: DataFrame, folder: str, job_id: str, log: str, carry: list[str] | None = None) -> DataFrame:
-    """A written table of blocks: block, ids, texts (NULLs stay), and, if asked, `carried`: a struct of other
-    columns for each log, which nothing looks into."""
+    """A written table of blocks: block, ids, sizes and body (the logs, see texts_of; NULLs stay), and, if
+    asked, `carried`: a struct of other columns for each log, which nothing looks into."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 ends = pa.array([0, len(part)], pa.int32())
-                columns = [part.column(0), part.column(1).cast(pa.string()), *part.columns[2:]]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in columns], names=names)
+                sizes, body = squeezed(part.column(1))
+                lists = [pa.ListArray.from_arrays(ends, c) for c in [part.column(0), *part.columns[2:]]]
+                packed = [pa.array([sizes], pa.binary()), pa.array([body], pa.binary())]
+                yield pa.RecordBatch.from_arrays([lists[0], *packed, *lists[1:]], names=["ids", "sizes", "body", *names[2:]])
 
     rows = logs.select(
         F.col(job_id).cast("bigint").alias("ids"), F.col(log).alias("texts"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
     )
     names = rows.columns
-    schema = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema)
-    blocks = rows.mapInArrow(gather, schema)
-    return written(blocks.select(F.monotonically_increasing_id().alias("block"), *names), folder, "blocks")
+    carried = f", carried array<{rows.schema['carried'].dataType.simpleString()}>" if carry else ""
+    blocks = rows.mapInArrow(gather, f"ids array<bigint>, sizes binary, body binary{carried}")
+    return written(blocks.select(F.monotonically_increasing_id().alias("block"), *blocks.columns), folder, "blocks")
 
 
 def bucket_count(logs: DataFrame, log: str) -> int:
@@ -102,11 +117,14 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def entries(block: int, distinct: Distinct, buckets: int, facts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def entries(
+    block: int, distinct: Distinct, buckets: int, facts: np.ndarray | None = None, turn: tuple[int, int] = (0, 1)
+) -> Iterator[pa.RecordBatch]:
+    """A block's keys by bucket; of (turn, turns) only the buckets whose turn it is."""
     ends = np.searchsorted(bucket_of(distinct.keys, buckets), np.arange(buckets + 1))
     rows = [
         (block, b, packed_keys(distinct.keys[s:e]), b"" if facts is None else facts[s:e].tobytes())
-        for b, (s, e) in enumerate(zip(ends, ends[1:])) if e > s
+        for b, (s, e) in enumerate(zip(ends, ends[1:])) if e > s and b % turn[1] == turn[0]
     ]
     for at in range(0, len(rows), 64):
         c = list(zip(*rows[at : at + 64]))

@@ -24,7 +24,7 @@ CLEANED = "job_id bigint, n_words bigint, n_removed bigint, kept_sha256 string,
 class Block:
     """A block's words, and the windows that each level looks at."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[bytes | None]):
         self.ids = np.array([B.LAST if i is None else i for i in ids], np.int64)
         self.words = Words(texts)
         self.hashes = self.words.hashes()
@@ -58,6 +58,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, dict]
     for batch in batches:
         for i in range(len(batch)):
             row = {n: c[i].values if n == "carried" else c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+            row["texts"] = B.texts_of(row.pop("sizes"), row.pop("body"))
             yield row["block"], Block(row["ids"], row["texts"]), row
 
 
@@ -142,15 +143,15 @@ def _kept(row: dict, words: Words, gone: np.ndarray) -> Iterator[pa.RecordBatch]
     for at in range(0, len(ids), 500):
         kept, prints = [], []
         for i in range(at, min(at + 500, len(ids))):
-            own = (texts[i] or "").encode().split()
+            own = (texts[i] or b"").split()
             left = b" ".join(compress(own, stay[words.first[i] : words.first[i + 1]]) if lost[i] else own)
             prints.append(hashlib.sha256(left).hexdigest())
-            kept.append(left.decode() if lost[i] else texts[i])
+            kept.append(left if lost[i] else texts[i])
         part = slice(at, at + 500)
         columns = {
             "job_id": pa.array(ids[part], pa.int64()), "n_words": pa.array(words.counts[part].astype(np.int64)),
             "n_removed": pa.array(lost[part].astype(np.int64)), "kept_sha256": pa.array(prints, pa.string()),
-            "kept": pa.array(kept, pa.string()),
+            "kept": pa.array(kept, pa.binary()).cast(pa.string()),
         }
         if "carried" in row:
             columns["carried"] = row["carried"][part]

@@ -14,6 +14,8 @@ from mediacat.llm.shared import shared_folder
 from mediacat.llm.words import covered, spans
 
 LENGTH = 400
+#: The suffixes' buckets are sorted in so many turns, one range of them at a time.
+TURNS = 2
 #: A perfect difference cover: every number modulo PERIOD is the difference of two of these.
 PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
@@ -34,8 +36,8 @@ ARROW = pa.schema([
 class Block:
     """The bytes of a block's logs, one after another. start, end: of each byte's own log."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
-        parts = [(t or "").encode() for t in texts]
+    def __init__(self, ids: list[int | None], texts: list[bytes | None]):
+        parts = [t or b"" for t in texts]
         self.ids, self.data = ids, b"".join(parts)
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -60,11 +62,11 @@ class Block:
         return at, B.Distinct(spans(self.values, at, at + LENGTH, 0), at, check)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, list]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, dict]]:
     for batch in batches:
         for i in range(len(batch)):
-            row = [c[i].as_py() for c in batch.columns]
-            yield row[0], Block(row[1], row[2]), row
+            row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+            yield row["block"], Block(row["ids"], B.texts_of(row["sizes"], row["body"])), row
 
 
 def _tied_sample(block: Block, told: list[dict] | None, buckets: int) -> np.ndarray:
@@ -91,8 +93,9 @@ def remove_long_repeats(logs: DataFrame, job_id: str = "job_id", log: str = "log
     difference cover, a twelfth of all: their order up to 268 bytes says which of them tie. Two equal
     400-byte strings have a sampled place at the same distance, below 133, from their starts, and those
     samples tie; so any suffix without a tied sample close by is settled, and only the rest is sorted, one
-    bucket of keys at a time, where ties are the repeats. Memory is a block or a bucket, each of a few MB,
-    and between them go keys and bits, never texts. A string that a third of all logs share is one key
+    bucket of keys at a time, where ties are the repeats. Memory is a block or a bucket, each of a few MB;
+    between them go keys and bits, never texts; and buckets are taken in TURNS, so that a part of the
+    suffixes is on disk at a time. A string that a third of all logs share is one key
     for each block.
 
     Strings are compared by 80-bit fingerprints; any order that puts equal strings together serves. Strings
@@ -111,22 +114,30 @@ def remove_long_repeats(logs: DataFrame, job_id: str = "job_id", log: str = "log
 
     sample = B.ask(rows.mapInArrow(ask_sample, B.ENTRIES), B.held_elsewhere, folder, "sample")
 
-    def ask_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, row in _rows(batches):
-            _, distinct = block.suffixes(_tied_sample(block, row[3], buckets))
-            yield from B.entries(number, distinct, buckets, distinct.check)
-
     known = rows.join(sample.withColumnRenamed("answers", "sample"), "block", "left")
-    ties = B.ask(known.mapInArrow(ask_suffixes, B.ENTRIES), _tied, folder, "suffixes")
+
+    def ask_suffixes(turn: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, block, row in _rows(batches):
+                _, distinct = block.suffixes(_tied_sample(block, row["sample"], buckets))
+                yield from B.entries(number, distinct, buckets, distinct.check, (turn, TURNS))
+
+        return ask
+
+    ties = known
+    for turn in range(TURNS):
+        told = B.ask(known.mapInArrow(ask_suffixes(turn), B.ENTRIES), _tied, folder, f"suffixes{turn}")
+        ties = ties.join(told.withColumnRenamed("answers", f"turn{turn}"), "block", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, row in _rows(batches):
-            at, distinct = block.suffixes(_tied_sample(block, row[3], buckets))
-            (elsewhere,) = B.answers_for(distinct, row[4], buckets)
+            at, distinct = block.suffixes(_tied_sample(block, row["sample"], buckets))
+            told = [t for turn in range(TURNS) for t in row[f"turn{turn}"] or []]
+            (elsewhere,) = B.answers_for(distinct, told, buckets)
             again = at[(elsewhere | (distinct.low != distinct.high))[distinct.back]]
             yield from _kept(block, covered(len(block.data), again, LENGTH) if len(block.data) else np.zeros(0, bool))
 
-    return known.join(ties.withColumnRenamed("answers", "suffixes"), "block", "left").mapInArrow(clean, CLEANED)
+    return ties.mapInArrow(clean, CLEANED)
 
 
 def _kept(block: Block, gone: np.ndarray) -> Iterator[pa.RecordBatch]:

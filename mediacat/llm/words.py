@@ -56,8 +56,8 @@ class Words:
     data. text: the number of its text. first: the number of each text's first word, and the total.
     """
 
-    def __init__(self, texts: Iterable[str | None], table: np.ndarray | None = None):
-        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: Iterable[str | bytes | None], table: np.ndarray | None = None):
+        parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         raw = np.frombuffer(self.data, np.uint8)
         if table is not None:
