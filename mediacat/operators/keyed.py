@@ -122,49 +122,58 @@ def sessions(df: DataFrame, key: str, ts_s: str, gap_s: int, bucket_s: int) -> D
     return inner.unionByName(joined)
 
 
+def _slice_of(bounds: Column, key: Column, buckets: int) -> Column:
+    """How many of the sorted bounds are <= key, by halving."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(buckets.bit_length()))])
+
+    def halve(found: Column, step: Column) -> Column:
+        fits = (found + step <= F.size(bounds)) & (F.get(bounds, found + step - 1) <= key)
+        return F.when(fits, found + step).otherwise(found)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), halve), F.lit(0))
+
+
 def page_of(
-    df: DataFrame, key: str, page: int, per_page: int, ascending: bool, buckets: int = 4096
+    df: DataFrame, key: str, page: int, per_page: int, ascending: bool, buckets: int = 1024, levels: int = 2
 ) -> DataFrame:
     """One page of rows in the order of a unique integer `key`, however deep.
 
-    `per_page` is held to 1..100 and `page` to the pages there are. Counts per key range decide
-    which ranges the page touches; only those are sorted.
+    `per_page` is held to 1..100 and `page` to the pages there are. Rows fall into slices of about equal
+    counts, however ids cluster: approximate quantiles bound them, exact counts say which the page
+    touches. Those are sliced again, and only what is then left, about the `buckets`-th part of the
+    `buckets`-th part of all rows, is sorted.
     """
     per_page = max(1, min(100, int(per_page)))
     page = max(1, int(page))
-    bounds = df.agg(
-        F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("total")
-    )
-    lo, hi, total = (bounds.select(c).scalar() for c in ("lo", "hi", "total"))
-    lo_, hi_ = F.col("__lo"), F.col("__hi")
-    width = F.greatest(F.lit(1), F.ceil((hi_ - lo_ + 1) / buckets)).cast("bigint")
-    rank = (F.col(key) - lo_) if ascending else (hi_ - F.col(key))
-    sliced = (
-        df.withColumns({"__lo": lo, "__hi": hi})
-        .withColumn("__slice", F.floor(rank / width).cast("bigint"))
-        .drop("__lo", "__hi")
-    )
-
+    order = F.col(key) if ascending else -F.col(key)
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     pages = F.greatest(F.lit(1), F.ceil(total / per_page)).cast("bigint")
-    counts = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    first = F.col("__first")
-    # At most `buckets` rows reach this window.
-    running = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, 0)
-    touched = (
-        counts.withColumn("__upto", F.sum("__n").over(running))
-        .withColumn("__before", F.col("__upto") - F.col("__n"))
-        .withColumn("__first", (F.least(F.lit(page), pages) - 1) * per_page)
-        .where((F.col("__upto") > first) & (F.col("__before") < first + per_page))
-        .select("__slice", "__before", "__first")
-    )
-    order = F.col(key).asc() if ascending else F.col(key).desc()
-    return (
-        sliced.join(touched, "__slice")
-        .withColumn(
-            "__pos",
-            F.col("__before") + F.row_number().over(W.partitionBy("__slice").orderBy(order)),
+    rows = df.withColumns({"__order": order, "__first": (F.least(F.lit(page), pages) - 1) * per_page, "__before": F.lit(0).cast("bigint"), "__slice": F.lit(0)})
+    cuts = [i / buckets for i in range(1, buckets)]
+    for level in range(levels):
+        by = ["__slice", "__before"]
+        bounds = rows.groupBy(*by).agg(F.percentile_approx("__order", cuts, 10 * buckets).alias("__bounds"))
+        sliced = (
+            rows.join(bounds, by).withColumn("__sub", _slice_of(F.array_distinct("__bounds"), F.col("__order"), buckets))
+            .drop("__bounds")
         )
-        .where((F.col("__pos") > first) & (F.col("__pos") <= first + per_page))
-        .withColumn("position", F.col("__pos").cast("bigint"))
-        .drop("__slice", "__before", "__first", "__pos")
+        counts = sliced.groupBy(*by, "__first", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+        # At most `buckets` rows of each touched slice reach this window.
+        running = W.partitionBy(*by).orderBy("__sub").rowsBetween(W.unboundedPreceding, 0)
+        touched = (
+            counts.withColumn("__upto", F.col("__before") + F.sum("__n").over(running))
+            .withColumn("__start", F.col("__upto") - F.col("__n"))
+            .where((F.col("__upto") > F.col("__first")) & (F.col("__start") < F.col("__first") + per_page))
+            .select(*by, "__sub", "__start")
+        )
+        rows = (
+            sliced.join(touched, [*by, "__sub"]).drop("__slice", "__before")
+            .withColumnsRenamed({"__sub": "__slice", "__start": "__before"})
+        )
+    inside = W.partitionBy("__slice", "__before").orderBy("__order")
+    position = F.col("__before") + F.row_number().over(inside)
+    return (
+        rows.withColumn("position", position.cast("bigint"))
+        .where((F.col("position") > F.col("__first")) & (F.col("position") <= F.col("__first") + per_page))
+        .drop("__order", "__first", "__before", "__slice")
     )

@@ -87,6 +87,16 @@ def running_totals(completions: DataFrame) -> DataFrame:
     )
 
 
+def savings(jobs: DataFrame, by: list[str]) -> DataFrame:
+    """Finished jobs, bytes before and after, and whole percent saved, by any columns (library, codec, tier, encoder)."""
+    before, after = F.col("before"), F.col("after")
+    return (
+        jobs.where(F.col("state") == "done").groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("jobs"), F.sum("size_before").alias("before"), F.sum("size_after").alias("after"))
+        .withColumn("percent", F.floor(F.try_divide((before - after).cast("double") * 100, before)).cast("bigint"))
+    )
+
+
 def jobs_page(
     jobs: DataFrame, view: str = "active", page: int = 1, per_page: int = 20,
     library_id: int | None = None,
@@ -98,8 +108,8 @@ def jobs_page(
     return page_of(rows, "id", page, per_page, ascending=view == "active")
 
 
-def list_jobs(jobs: DataFrame, states: list[str] | None = None, limit: int = 200) -> DataFrame:
-    """The first jobs in running order (active states) or newest first (anything else)."""
+def list_jobs(jobs: DataFrame, states: list[str] | None, limit: int) -> DataFrame:
+    """The first `limit` jobs in running order (active states) or newest first (anything else)."""
     rows = jobs if states is None else jobs.where(F.col("state").isin(states))
     oldest_first = states is not None and set(states) <= set(ACTIVE_STATES)
     return rows.orderBy(F.col("id").asc() if oldest_first else F.col("id").desc()).limit(limit)

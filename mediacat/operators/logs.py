@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediacat.functions import logs as L
-from mediacat.functions.constants import LOG_TAIL_LINES
 
 
 def progress_updates(lines: DataFrame) -> DataFrame:
@@ -28,27 +27,32 @@ def latest_figures(updates: DataFrame) -> DataFrame:
     return updates.groupBy("job_id").agg(*[last(n) for n in ("progress", "size_now", "fps", "speed")])
 
 
-def log_lines(lines: DataFrame, tail: int | None = LOG_TAIL_LINES) -> DataFrame:
-    """Stripped, non-blank lines among the last `tail` lines of each job's log."""
+def log_lines(lines: DataFrame, tail: int | None = None) -> DataFrame:
+    """Stripped, non-blank lines of each job's log; with `tail`, of its last so many lines only."""
     if tail is not None:
         back = W.partitionBy("job_id").orderBy(F.desc("line_no"))
         lines = lines.withColumn("__n", F.row_number().over(back)).where(F.col("__n") <= tail).drop("__n")
     return lines.withColumn("line", L.strip(F.col("line"))).where(F.col("line") != "")
 
 
-def failure_causes(lines: DataFrame) -> DataFrame:
+def failure_causes(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """What made each job fail: job_id, causes (at most two), audio_related, last_line, returncode.
 
-    `lines` holds stripped lines (job_id, line_no, line, returncode). A generic line only counts
-    as the first error of its job. Equal causes are taken once; causes come before consequences.
+    `lines` holds whole logs (job_id, line_no, line, returncode), blank lines included; `failed` the failed
+    jobs (job_id, returncode), without which the jobs that have lines are taken. Every failed job has a
+    row, also with a blank log or none at all (no causes, no last line). A generic line only counts as
+    the first error of its job. Equal causes are taken once; causes come before consequences.
     Everything reduces by aggregates, so a job with a huge log is not gathered anywhere.
     """
     line = F.col("line")
-    jobs = lines.groupBy("job_id").agg(
+    if failed is None:
+        failed = lines.groupBy("job_id").agg(F.max(F.struct("line_no", "returncode"))["returncode"].alias("returncode"))
+    lines = log_lines(lines)
+    told = lines.groupBy("job_id").agg(
         F.max(F.struct("line_no", "line"))["line"].alias("last_line"),
-        F.max(F.struct("line_no", "returncode"))["returncode"].alias("returncode"),
         F.min(F.when(L.is_error(line), F.col("line_no"))).alias("__first"),
     )
+    jobs = failed.select("job_id", "returncode").join(told, "job_id", "left").select("job_id", "last_line", "returncode", "__first")
     errors = (
         lines.where(L.is_error(line))
         .withColumn("cause", L.clean_line(line))
@@ -76,11 +80,7 @@ def failure_causes(lines: DataFrame) -> DataFrame:
     )
 
 
-AUDIO_HINT = (
-    ". This usually means one audio track is damaged or uses something FFmpeg can't decode. "
-    "Try setting this library's audio to \"Leave audio alone\" to see whether the rest of the "
-    "file is fine."
-)
+AUDIO_HINT = " (an audio track could not be decoded: copying the audio unchanged shows whether the rest is sound)"
 
 
 def failure_messages(causes: DataFrame) -> DataFrame:

@@ -97,9 +97,10 @@ def archived_source(jobs: DataFrame, libraries: DataFrame, originals: DataFrame,
         per_depth.append(
             there.withColumn("__home", paths.ancestor_at(F.col("path"), d)).join(at, "__home", "left_semi")
         )
-    below_home = per_depth[0]
-    for more in per_depth[1:]:
-        below_home = below_home.unionByName(more)
+    # Where no library archives, nothing is below an originals folder.
+    below_home = there.select("path", F.lit(None).cast("string").alias("__home")).where(F.lit(False))
+    for more in per_depth:
+        below_home = below_home.unionByName(more.select("path", "__home"))
     searched = below_home.groupBy("__home", paths.file_name(F.col("path")).alias("__name")).agg(
         F.min("path").alias("__searched")
     )

@@ -57,7 +57,9 @@ def owning_library(
             F.col("root").alias(f"__r{d}"), F.col("lib").alias(f"__l{d}")
         )
         out = out.join(side, paths.ancestor_at(F.col(path), d) == F.col(f"__r{d}"), "left")
-    deepest = F.coalesce(*[F.col(f"__l{d}") for d in depths])
+    # With no library at all there is no depth to look at.
+    none = F.lit(None).cast(roots.schema["lib"].dataType)
+    deepest = F.coalesce(none, *[F.col(f"__l{d}") for d in depths])
     return out.withColumn("library_id", deepest["library_id"]).drop(
         *[f"__{x}{d}" for d in depths for x in "rl"]
     )
@@ -120,15 +122,17 @@ def size_stability(scans: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def destination_conflicts(files: DataFrame, existing: DataFrame) -> DataFrame:
+def destination_conflicts(files: DataFrame, existing: DataFrame, first_wins: bool = False) -> DataFrame:
     """Files (path, destination) with what stands in the way of their destination.
 
     `conflict` is 'exists' when another file is already there, 'shared' when several files
-    resolve to the same place, NULL when the way is free.
+    resolve to the same place, NULL when the way is free. With `first_wins` the first path of those
+    that share a free place gets it.
     """
     shared = (
-        files.groupBy("destination").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-        .select("destination", F.lit(True).alias("__shared"))
+        files.groupBy("destination").agg(F.count(F.lit(1)).alias("__n"), F.min("path").alias("__winner"))
+        .where(F.col("__n") > 1)
+        .select("destination", F.lit(True).alias("__shared"), "__winner")
     )
     taken = existing.select(F.col("path").alias("destination"), F.lit(True).alias("__taken")).distinct()
     return (
@@ -137,13 +141,25 @@ def destination_conflicts(files: DataFrame, existing: DataFrame) -> DataFrame:
         .withColumn(
             "conflict",
             F.when(F.col("__taken") & (F.col("destination") != F.col("path")), "exists").when(
-                F.col("__shared"), "shared"
+                F.col("__shared") & ~(F.lit(first_wins) & (F.col("path") == F.col("__winner"))), "shared"
             ),
         )
-        .drop("__taken", "__shared")
+        .drop("__taken", "__shared", "__winner")
     )
 
 
+def files_to_file(decided: DataFrame) -> DataFrame:
+    """Decided files (see `decide`) that need no conversion but belong elsewhere, with their `destination`.
+
+    Only where the library leaves matching files alone (`skip_matching`), has an output folder, and the
+    file is not in its place already: all others are queued or done with. Needs the struct `library` of
+    `with_destination`.
+    """
+    right = F.col("skip.code").isNull() & (F.col("plan.action") == "skip") & F.col("skip_matching")
+    placed = F.coalesce(F.col("library.output_path"), F.lit("")) != ""
+    return with_destination(decided.where(right & placed)).where(F.col("destination") != F.col("path"))
+
+
 def filed_rows(marked: DataFrame, jobs: DataFrame) -> DataFrame:
     """Ledger rows for files moved untouched (done) and for those that collided (failed).
 
@@ -159,8 +175,7 @@ def filed_rows(marked: DataFrame, jobs: DataFrame) -> DataFrame:
         ~F.coalesce(F.col("__active"), F.lit(False))
     )
     text = F.concat(
-        F.lit("Needs no conversion, but couldn't be filed: something is already at "),
-        F.col("destination"),
+        F.lit("Already in the wanted form, but its place is taken: "), F.col("destination"),
     )
     return (
         marked.join(known, "path", "left")

@@ -158,13 +158,11 @@ STREAM_SPEC = (
 
 # Log lines of the fixed six kinds, cleaned by hand.
 CAUSES = (
-    ctes("v_loglines")
-    + """, ranked as (select *, row_number() over (partition by job_id order by line_no desc) as back
-   from v_loglines),
- kept as (select * from ranked where back<=300),
- cleaned as (select *, case line_no%6 when 0 then 'audio track 2: Error sending frames to consumers: Invalid data found'
+    ctes("v_loglines", "v_failed")
+    + """, kept as (select * from v_loglines where kind<>-1),
+ cleaned as (select *, case kind when 0 then 'audio track 2: Error sending frames to consumers: Invalid data found'
      when 4 then 'video track 1: Task finished with error code: -22'
-     else line end as cause, line_no%6<>3 as is_error, line_no%6 in (2,4) as noise, line_no%6=0 as audio from kept),
+     else line end as cause, kind<>3 as is_error, kind in (2,4) as noise, kind=0 as audio from kept),
  firsts as (select *, min(case when is_error then line_no end) over (partition by job_id) as first_no from cleaned),
  hits as (select job_id, cause, min(line_no) as line_no, bool_or(audio) as audio from firsts
    where is_error and (not noise or line_no=first_no) group by job_id, cause),
@@ -172,7 +170,10 @@ CAUSES = (
      case when contains(cause,'audio track') or contains(cause,'video track') then 0 else 1 end, line_no) as n from hits),
  pairs as (select job_id, max(case when n=1 then cause end) as cause_1, max(case when n=2 then cause end) as cause_2,
      bool_or(audio) as audio_related from placed group by job_id),
- jobs as (select job_id, max(returncode) as returncode, arg_max(line,line_no) as last_line from kept group by job_id),
+ said as (select job_id, arg_max(line,line_no) as last_line, arg_max(kind,line_no) as last_kind from kept group by job_id),
+ jobs as (select f.job_id, f.returncode, case last_kind when 0 then 'audio track 2: Error sending frames to consumers: Invalid data found'
+     when 1 then 'Could not write header: Invalid data' when 4 then 'video track 1: Task finished with error code: -22'
+     else last_line end as last_line from v_failed f left join said s on s.job_id=f.job_id),
  causes as (select j.job_id, p.cause_1, p.cause_2, coalesce(p.audio_related,false) as audio_related, j.last_line,
      cast(case when j.returncode>2147483648 then j.returncode-4294967296 else j.returncode end as bigint) as exit_code
    from jobs j left join pairs p on p.job_id=j.job_id)
@@ -282,8 +283,10 @@ ORACLES: dict[str, str] = {
     + "select library_id, case when cheap is not null then 'listing' else 'probe' end as phase, "
     "skip_code as code, count(*) as files from decided where skip_code is not null group by 1,2,3",
     "scan_funnel": DECIDED
-    + f""", staged as (select d.library_id, case when enabled=0 then 'paused'
- when {SCAN_NOW}-mtime_s<=90 then 'arriving' when file_id%8=0 then 'handled'
+    + f""", staged as (select case when file_id%83<>5 then d.library_id end as library_id,
+ case when file_id%83=5 then 'no_library' when enabled=0 then 'paused'
+ when file_id%89=6 then 'not_video' when file_id%79=7 then 'skipped_folder'
+ when {SCAN_NOW}-mtime_s<=90 then 'arriving' when file_id%12=0 then 'handled'
  when skip_code is not null then 'skip_rule' when file_id%97=0 then 'unreadable'
  when action='skip' then 'already_right' else 'wanted' end as stage from decided d)
  select library_id, stage, count(*) as files from staged group by 1,2""",
@@ -314,19 +317,25 @@ def _scan_report() -> str:
 
 
 def _filed_rows() -> str:
+    """Libraries 0 and 1 leave matching files alone and have an output folder. 0 keeps the names, which tell
+    nothing; 1 renames whatever they tell: a folder and a file in title case."""
     views = ctes("v_files", "v_rules", "v_libraries", "v_jobs")
-    steps = DECIDED[len(ctes("v_files", "v_rules", "v_libraries")) :]
     return (
         views
-        + steps
-        + f""", targets as (select path, size, library_id, concat('/out/lib',cast(library_id as varchar),'/',
-   cast(cast(floor(file_id/16.0) as bigint) as varchar),'.',ext) as destination from decided
-   where skip_code is null and action='skip'),
- marked as (select *, count(*) over (partition by destination)>1 as shared from targets)
+        + ", moved as (select * replace (case when file_id%4=3 then concat('/media/lib',library_id,'/d',file_id%2,'/g',"
+        "cast(floor(file_id/64.0) as bigint),'.',regexp_replace(path,'^.*[.]','')) else path end as path) from v_files)"
+        + DECIDED[len(ctes("v_files", "v_rules", "v_libraries")) :].replace("from v_files f", "from moved f")
+        + f""", wanted as (select path, size, library_id, ext, regexp_replace(nm,'[.][^.]*$','') as bare from decided
+   where skip_code is null and action='skip' and library_id in (0,1)),
+ targets as (select *, case when library_id=0 then concat('/out/lib0/',bare,'.',ext) else
+   concat('/out/lib1/',upper(bare[1:1]),bare[2:],'/',upper(bare[1:1]),bare[2:],'.',ext) end as destination from wanted),
+ taken as (select distinct concat('/out/lib',cast(floor(file_id/8.0) as bigint)%5,'/f',file_id,'.',regexp_replace(path,'^.*[.]','')) as path
+   from v_files where file_id%41=0),
+ marked as (select *, destination in (select path from taken) or path<>min(path) over (partition by destination) as stuck from targets)
  select path, library_id, 'done' as state, size as size_after, destination as final_path from marked
- where not shared and path not in (select path from v_jobs where state in {ACTIVE})
+ where not stuck and path not in (select path from v_jobs where state in {ACTIVE})
  union all
- select path, library_id, 'failed', null, null from marked where shared and path not in (select path from v_jobs)"""
+ select path, library_id, 'failed', null, null from marked where stuck and path not in (select path from v_jobs)"""
     )
 
 
@@ -428,6 +437,11 @@ ORACLES.update(
  cast(floor(cast(sum(size_before)-sum(size_after) as double)*100/cast(sum(size_before) as double)) as bigint) as percent
  from v_jobs j left join v_libraries l on l.library_id=j.library_id left join v_nodes n on n.node_id=j.node_id
  where state='done' group by 1,2,3""",
+        "savings_by_tier": ctes("v_jobs", "v_files")
+        + f"""select {TIER} as tier, encoder, count(*) as jobs, cast(sum(size_before) as bigint) as before,
+ cast(sum(size_after) as bigint) as after,
+ cast(floor(cast(sum(size_before)-sum(size_after) as double)*100/cast(sum(size_before) as double)) as bigint) as percent
+ from v_jobs j left join (select path, height from v_files) f on f.path=j.path where state='done' group by 1,2""",
         "retry_rungs": ctes("v_jobs", "v_libraries", "v_retry")
         + ", " + LADDERS
         + """ select id, array_to_string(ladder,',') as ladder,
@@ -489,10 +503,15 @@ ORACLES.update(
  cast(min(p.node_id) as bigint) as first_node from v_jobs j left join pairs p on p.id=j.id
  where j.state='queued' group by 1,2""",
         "next_job_per_node": ELIGIBLE
-        + """select cast(node_id as bigint) as node_id, id as job_id,
+        + """, working as (select node_id, count(*) as n from v_jobs where state in ('leased','running') group by 1),
+ room as (select f.node_id, coalesce(w.n,0) as active,
+   floor(coalesce(w.n,0)*(case when f.node_id=0 then 2 else 4 end)/3.0)+f.slots as slots
+   from v_nodes f left join working w on w.node_id=f.node_id)
+ select cast(node_id as bigint) as node_id, id as job_id,
  case when local then 'local' else 'stream' end as transport,
  case when local then concat(mount_local,substr(path,length(mount_server)+1)) else path end as node_path
- from (select *, row_number() over (partition by node_id order by id) as rn from pairs where slots>=1) where rn=1""",
+ from (select *, row_number() over (partition by node_id order by id) as rn from pairs
+ where node_id in (select node_id from room where slots>=1 and active<slots)) where rn=1""",
         "best_encoder": ctes("v_bench")
         + " union all ".join(_best(*c) for c in (("eight", "match", 8), ("ten", "match", 10), ("forced", "10", 10))),
         "encoder_ranking": ctes("v_bench")
@@ -558,8 +577,8 @@ ORACLES.update(
         "failure_messages": CAUSES
         + """select concat(case exit_code when -1094995529 then 'FFmpeg gave up — the data in the file wasn''t valid'
  when -28 then 'FFmpeg gave up — the disk is full' else concat('FFmpeg exited ',cast(exit_code as varchar)) end, ': ',
- case when cause_1 is null then last_line when cause_2 is null then cause_1 else concat(cause_1,' — ',cause_2) end,
- case when audio_related then '. This usually means one audio track is damaged or uses something FFmpeg can''t decode. Try setting this library''s audio to "Leave audio alone" to see whether the rest of the file is fine.' else '' end)
+ case when cause_1 is null then coalesce(last_line,'no output') when cause_2 is null then cause_1 else concat(cause_1,' — ',cause_2) end,
+ case when audio_related then ' (an audio track could not be decoded: copying the audio unchanged shows whether the rest is sound)' else '' end)
  as message, count(*) as jobs from causes group by 1""",
         "failure_cause_counts": CAUSES
         + "select cause, count(*) as jobs from (select cause_1 as cause from causes union all "

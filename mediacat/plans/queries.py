@@ -95,8 +95,17 @@ def _scan_now(v: Views) -> Column:
 
 @query
 def scan_funnel(v: Views) -> DataFrame:
-    """First stage at which each file leaves the scan. Every 97th file has no readable probe."""
-    files = v.files().drop("library_id")
+    """First stage at which each file leaves the scan. Every 97th file has no readable probe; some lie outside
+    all libraries, are no videos or lie among originals.
+    """
+    n, path = F.col("file_id"), F.col("path")
+    placed = (
+        F.when(n % 83 == 5, F.regexp_replace(path, "^/media/", "/elsewhere/"))
+        .when(n % 89 == 6, F.concat(path, F.lit(".txt")))
+        .when(n % 79 == 7, F.regexp_replace(path, "/f", "/originals/f"))
+        .otherwise(path)
+    )
+    files = v.files().drop("library_id").withColumn("path", placed)
     owned = scan.owning_library(files, v.inline("v_libraries"))
     settings = v.library_settings()
     df = owned.join(settings, "library_id", "left").withColumn("audio_codecs", F.array("audio_codec"))
@@ -215,15 +224,23 @@ def size_stability(v: Views) -> DataFrame:
 
 @query
 def filed_rows(v: Views) -> DataFrame:
-    """Ledger rows for files that need no conversion and are moved as they are."""
-    df = _decided(v).where(F.col("skip.code").isNull() & (F.col("plan.action") == "skip"))
-    target = F.concat(
-        F.lit("/out/lib"), F.col("library_id").cast("string"), F.lit("/"),
-        (F.floor(F.col("file_id") / 16)).cast("string"), F.lit("."),
-        paths.suffix(paths.file_name(F.col("path"))),
-    )
-    df = df.select("path", "size", "library_id", target.alias("destination"))
-    marked = scan.destination_conflicts(df, v.file_paths().select("path"))
+    """Ledger rows for files that need no conversion and are moved as they are.
+
+    A quarter of the files lie in folders where several have the same name; every 41st file's place is taken.
+    """
+    end = F.substring_index("path", ".", -1)
+    shared = F.format_string(
+        "/media/lib%d/d%d/g%d.%s", "library_id", F.col("file_id") % 2, F.floor(F.col("file_id") / 64).cast("bigint"), end
+    )
+    files = v.files().withColumns({
+        "audio_codecs": F.array("audio_codec"),
+        "path": F.when(F.col("file_id") % 4 == 3, shared).otherwise(F.col("path")),
+    })
+    df = scan.decide(files.join(v.library_settings(), "library_id"))
+    df = scan.files_to_file(df.join(_named_library(v), "library_id"))
+    at = F.format_string("/out/lib%d/f%d.%s", F.floor(F.col("file_id") / 8).cast("bigint") % 5, "file_id", end)
+    taken = v.file_paths().where(F.col("file_id") % 41 == 0).select(at.alias("path"))
+    marked = scan.destination_conflicts(df, v.file_paths().select("path").unionByName(taken), first_wins=True)
     return scan.filed_rows(marked, v.jobs(sizes=False)).select(
         "path", "library_id", "state", "size_after", "final_path"
     )
@@ -344,24 +361,24 @@ def savings_rollup(v: Views) -> DataFrame:
     nodes_ = v.inline("v_nodes").select(
         F.col("node_id").cast("bigint"), F.col("name").alias("node")
     )
-    done = (
-        v.jobs().where(F.col("state") == "done")
-        .groupBy("library_id", "codec", "node_id")
-        .agg(
-            F.count(F.lit(1)).alias("jobs"),
-            F.sum("size_before").alias("before"),
-            F.sum("size_after").alias("after"),
-        )
-    )
+    done = ledger.savings(v.jobs(), ["library_id", "codec", "node_id"])
     return (
         done.join(libs, "library_id", "left").join(nodes_, "node_id", "left")
         .select(
-            F.col("name").alias("library"), "codec", "node", "jobs", "before", "after",
-            _percent(F.col("before") - F.col("after"), F.col("before")).alias("percent"),
+            F.col("name").alias("library"), "codec", "node", "jobs", "before", "after", "percent",
         )
     )
 
 
+@query
+def savings_by_tier(v: Views) -> DataFrame:
+    """Bytes before and after by the source's resolution tier and the encoder used."""
+    seen = v.files().select("path", rules.tier(F.col("height")).alias("tier"))
+    jobs = v.jobs().where(F.col("state") == "done").join(seen, "path", "left")
+    tiered = jobs.withColumn("tier", F.coalesce("tier", rules.tier(F.lit(None).cast("int"))))
+    return ledger.savings(tiered, ["tier", "encoder"])
+
+
 def _retry_settings(v: Views) -> DataFrame:
     texts = F.filter(F.split("steps", ","), lambda t: t != "")
     return (
@@ -531,12 +548,16 @@ def job_node_pairs(v: Views) -> DataFrame:
 
 @query
 def next_job_per_node(v: Views) -> DataFrame:
+    """Slots are two thirds of a node's working jobs for the first and a third more than them for the others."""
     jobs = v.jobs()
     active = (
-        jobs.where(F.col("state").isin("leased", "running") & (F.col("id") % 1000 == 0))
+        jobs.where(F.col("state").isin("leased", "running"))
         .groupBy("node_id").agg(F.count(F.lit(1)).alias("active"))
     )
-    fleet = v.nodes().withColumn("slots", F.col("slots") * 100000)
+    working = active.withColumnRenamed("active", "working")
+    share = F.when(F.col("node_id") == 0, 2).otherwise(4)
+    room = F.floor(F.coalesce("working", F.lit(0)) * share / 3) + F.col("slots")
+    fleet = v.nodes().join(working, "node_id", "left").withColumn("slots", room.cast("bigint")).drop("working")
     return nodes.next_job_per_node(jobs, fleet, active)
 
 
@@ -717,7 +738,7 @@ def progress_figures(v: Views) -> DataFrame:
 def failure_causes(v: Views) -> DataFrame:
     from mediacat.functions.logs import signed_exit
 
-    causes = logs.failure_causes(logs.log_lines(v.loglines()))
+    causes = logs.failure_causes(v.loglines(), v.failed())
     return causes.select(
         "job_id", "cause_1", "cause_2", "audio_related", signed_exit(F.col("returncode")).alias("exit_code")
     )
@@ -725,13 +746,13 @@ def failure_causes(v: Views) -> DataFrame:
 
 @query
 def failure_messages(v: Views) -> DataFrame:
-    causes = logs.failure_causes(logs.log_lines(v.loglines()))
+    causes = logs.failure_causes(v.loglines(), v.failed())
     return logs.failure_messages(causes).groupBy("message").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 @query
 def failure_cause_counts(v: Views) -> DataFrame:
-    return logs.cause_counts(logs.failure_causes(logs.log_lines(v.loglines())))
+    return logs.cause_counts(logs.failure_causes(v.loglines(), v.failed()))
 
 
 @query

@@ -59,11 +59,12 @@ JOBS = {
         "then 'leased' else 'queued' end) else (case when o_custkey%4=0 then 'cancelled' else 'done' end) end"
     ),
     "size_before": "coalesce(f_size, cast(floor(o_totalprice*10000) as bigint))",
-    "size_after": "cast(floor(o_totalprice*(3000+(o_custkey%10)*900)) as bigint)",
+    "size_after": "case when o_custkey%13=0 then 0 else cast(floor(o_totalprice*(3000+(o_custkey%10)*900)) as bigint) end",
     "codec": "case when o_custkey%7=0 then 'copy' when o_custkey%7<5 then 'hevc' else 'h264' end",
     "quality": "18+2*(o_custkey%8)",
     "attempt": "1+o_orderkey%2",
     "node_id": "case when o_custkey%4=3 then null else o_custkey%4 end",
+    "encoder": "case o_custkey%3 when 0 then 'libx265' when 1 then 'hevc_nvenc' else 'hevc_qsv' end",
     "created_s": "1700000000+o_orderkey*60",
     "started_s": (
         "case when o_orderstatus='O' and o_custkey%3=2 then null else 1700000000+o_orderkey*60+300 end"
@@ -95,12 +96,19 @@ PLINES = {
         "when 3 then concat('total_size=',cast(event_id*4096 as varchar(20))) else 'speed=N/A' end"
     ),
 }
+# A fifth of the errors belong to one job, whose log is long and fails early; a tenth are blank lines.
+_LOGGED = {
+    "job": "case when user_id%5=1 then 1 else user_id end",
+    "kind": "case when user_id%10=2 then -1 when user_id%5=1 and event_id>=300 then 3 else event_id%6 end",
+}
+_RETURNCODE = "case {0}%3 when 0 then 3199971767 when 1 then 1 else 4294967268 end"
 LOGLINES = {
-    "job_id": "user_id",
+    "job_id": "job",
     "line_no": "event_id",
-    "returncode": "case user_id%3 when 0 then 3199971767 when 1 then 1 else 4294967268 end",
+    "kind": "kind",
+    "returncode": _RETURNCODE.format("job"),
     "line": (
-        "case event_id%6 when 0 then '[af#0:1 @ 0x2] Error sending frames to consumers: Invalid data found' "
+        "case kind when -1 then (case when event_id%2=0 then '' else '   ' end) when 0 then '[af#0:1 @ 0x2] Error sending frames to consumers: Invalid data found' "
         "when 1 then '[out#0/matroska @ 0x1] Could not write header: Invalid data' "
         "when 2 then 'Error opening output files: Invalid argument' "
         "when 3 then 'Stream #0:0: Video: h264' "
@@ -108,6 +116,8 @@ LOGLINES = {
         "else 'No space left on device' end"
     ),
 }
+# Failed jobs: all with events, and some that left no line.
+FAILED = {"job_id": "job", "returncode": _RETURNCODE.format("job")}
 NAMES = {
     "file_id": "p_partkey",
     "name": (
@@ -161,7 +171,7 @@ SPECS = {
 }
 PROCESSED = {
     "path": "path",
-    "mtime_s": "case when file_id%8=0 then mtime_s else mtime_s-2 end",
+    "mtime_s": "case when file_id%3=0 then mtime_s else mtime_s-2 end",
     "size": "size",
     "library_id": "library_id",
 }
@@ -214,7 +224,7 @@ INLINE = {
  (0,'hevc','aac','mkv',1,1,0,0,0,9000,'','','','',0,0,0,0,0,0,''),
  (1,'hevc','ac3','mkv',1,0,0,0,0,0,'mkv,.MP4','','','',100,0,0,0,0,0,''),
  (2,'av1','dts','mp4',1,1,1000,2000,4000,8000,'','AVI','','f1,F22',0,600,0,90,0,0,''),
- (3,'copy','aac','mkv',0,0,0,0,0,0,'','','f','',0,0,10,0,0,6000,'av1'),
+ (3,'copy','aac','mkv',0,0,0,0,0,0,'','','1','',0,0,10,0,0,6000,'av1'),
  (4,'h264','copy','avi',0,1,0,3000,0,0,'','','','',0,0,0,0,500,0,'VP9'))
  as t(library_id,want_video,want_audio,want_container,skip_matching,ceiling_on,ceil_sd,ceil_hd,
  ceil_fullhd,ceil_uhd,only_ext,skip_ext,only_name,skip_name,min_mb,max_mb,min_minutes,max_minutes,
@@ -235,7 +245,7 @@ INLINE = {
 
 
 def _select(columns: dict[str, str], source: str) -> str:
-    return "select " + ", ".join(f"{e} as {c}" for c, e in columns.items()) + f" from {source}"
+    return "select " + ", ".join(f"{e} as {c}" if e else c for c, e in columns.items()) + f" from {source}"
 
 
 _OWN_FILE = "(o_orderkey-o_orderkey%2)*8+1"
@@ -267,7 +277,14 @@ SQL: dict[str, tuple[list[str], str]] = {
     ),
     "v_progress": ([], _select(PROGRESS, "events")),
     "v_plines": ([], _select(PLINES, "events")),
-    "v_loglines": ([], _select(LOGLINES, "events where event_type='error'")),
+    "v_loglines": (
+        [], _select(LOGLINES, "(" + _select({"*": "", **_LOGGED}, "events where event_type='error'") + ")"),
+    ),
+    "v_failed": (
+        [],
+        _select(FAILED, "(select distinct " + _LOGGED["job"] + " as job from events where event_type='error'"
+                " union all select distinct user_id+1000000 as job from events where user_id%7=0)"),
+    ),
     "v_names": ([], _select(NAMES, "part")),
     "v_titles": ([], _select(TITLES, "part")),
     "v_streams": ([], _select(STREAMS, "documents")),
@@ -372,7 +389,14 @@ class Views:
         return self.table("events").selectExpr(*_columns(PLINES))
 
     def loglines(self) -> DataFrame:
-        return self.table("events").where("event_type='error'").selectExpr(*_columns(LOGLINES))
+        errors = self.table("events").where("event_type='error'").selectExpr("*", *_columns(_LOGGED))
+        return errors.selectExpr(*_columns(LOGLINES)).drop("kind")
+
+    def failed(self) -> DataFrame:
+        events = self.table("events")
+        logged = events.where("event_type='error'").selectExpr(f"{_LOGGED['job']} as job")
+        silent = events.where("user_id%7=0").selectExpr("user_id+1000000 as job")
+        return logged.distinct().unionByName(silent.distinct()).selectExpr(*_columns(FAILED))
 
     def names(self) -> DataFrame:
         return self.table("part").selectExpr(*_columns(NAMES))

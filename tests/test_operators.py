@@ -162,7 +162,7 @@ def test_conflicts_and_filing(spark):
     jobs = frame(spark, [(1, "/in/b", "failed", 1, 1), (2, "/out/d", "done", 1, 1)], JOBS)
     rows = {r.path: r for r in scan.filed_rows(marked, jobs).collect()}
     assert {p: r.state for p, r in rows.items()} == {"/in/a": "failed", "/in/c": "failed", "/out/d": "done"}
-    assert rows["/out/d"].final_path == "/out/d" and "already at /out/a" in rows["/in/a"].error
+    assert rows["/out/d"].final_path == "/out/d" and "/out/a" in rows["/in/a"].error
 
 
 # ---- originals -----------------------------------------------------------
