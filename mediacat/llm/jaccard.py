@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediacat.llm import blocks as B
 from mediacat.llm.links import components
 from mediacat.llm.shared import shared_folder, written
 from mediacat.llm.words import LOWER, Words, mix, spans
@@ -24,7 +25,7 @@ SEEDS = (0x1B873593, 0xCC9E2D51, 0x85EBCA6B, 0x27D4EB2F)
 
 ENTRIES = "bucket int, ids binary, owners binary, keys binary, facts binary"
 COUNTS = "job_id bigint, shared bigint, n bigint, digest binary"
-SETS = "job_id bigint, n bigint, keys array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
+SETS = "job_id bigint, n bigint, u bigint, keys array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
 
 
 def least_overlap(n):
@@ -36,7 +37,7 @@ def extra(n):
     return np.maximum(1, -(-EXTRA_PERCENT * n // 100))
 
 
-def incidence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def incidence(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The incidence rows of a batch: owner and key of each distinct shingle, by owner and key; set sizes.
 
     A shingle is five words in a row, A-Z in lower case; a shorter text is one shingle, one without words
@@ -148,21 +149,47 @@ def _count_shared(table: pa.Table) -> pa.Table:
     )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, 1):
-            owners, keys, n = incidence(part.column(1).to_pylist())
-            offsets = np.concatenate([[0], np.cumsum(n)])
+def _keys_of(blocks: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in blocks:
+        for i in range(len(batch)):
+            row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+            yield row, *incidence(B.texts_of(row["sizes"], row["body"]))
+
+
+def _shared_sets(candidates: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """Of each candidate the keys that others have too, where they are enough for a link: job_id, n, u
+    (how many), keys, and the smallest key under four hash orders."""
+    blocks = B.in_blocks(candidates, folder, "job_id", "log")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, owners, keys, _ in _keys_of(batches):
+            yield from B.entries(row["block"], B.Distinct(keys, owners), buckets)
+
+    told = B.ask(blocks.mapInArrow(ask, B.ENTRIES), B.held_elsewhere, folder, "columns")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, owners, keys, n in _keys_of(batches):
+            distinct = B.Distinct(keys, owners)
+            (elsewhere,) = B.answers_for(distinct, row["answers"], buckets)
+            shared = (elsewhere | (distinct.low != distinct.high))[distinct.back]
+            u = np.bincount(owners[shared], minlength=len(n))
+            enough = (u >= least_overlap(n)) & (n > 0)
+            shared &= enough[owners]
+            keys, u, n = keys[shared], u[enough], n[enough]
+            offsets = np.concatenate([[0], np.cumsum(u)])
             least = []
             for seed in SEEDS:
                 order = mix(keys ^ np.uint64(seed)).view(np.int64)
-                least.append(np.array([order[a:b].min() if b > a else 0 for a, b in zip(offsets, offsets[1:])], np.int64))
+                least.append(np.minimum.reduceat(order, offsets[:-1]) if len(u) else order)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
+            ids = np.array(row["ids"], np.int64)[enough]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n.astype(np.int64)), lists, *[pa.array(m) for m in least]],
-                names=["job_id", "n", "keys", "m0", "m1", "m2", "m3"],
+                [pa.array(ids), pa.array(n.astype(np.int64)), pa.array(u.astype(np.int64)), lists, *[pa.array(m) for m in least]],
+                names=["job_id", "n", "u", "keys", "m0", "m1", "m2", "m3"],
             )
 
+    return written(blocks.join(told, "block", "left").mapInArrow(keep, SETS), folder, "sets")
+
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     values = lists.flatten().to_numpy()
@@ -180,7 +207,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair, key = pair[order], key[order]
             both = (pair[1:] == pair[:-1]) & (key[1:] == key[:-1])
             overlap = np.bincount(pair[1:][both], minlength=len(part))
-            na, nb = np.bincount(pa_, minlength=len(part)), np.bincount(pb, minlength=len(part))
+            na, nb = part.column(4).to_numpy(), part.column(5).to_numpy()
             linked = 100 * overlap >= PERCENT * (na + nb - overlap)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], names=["a", "b"]
@@ -189,40 +216,45 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that link, by their exact overlap."""
-    own = sets.select("job_id", "keys")
+    own = sets.select("job_id", "n", "keys")
     return (
-        pairs.join(own.withColumnsRenamed({"job_id": "a", "keys": "ka"}), "a")
-        .join(own.withColumnsRenamed({"job_id": "b", "keys": "kb"}), "b")
-        .select("a", "b", "ka", "kb").mapInArrow(_overlaps, "a bigint, b bigint")
+        pairs.join(own.withColumnsRenamed({"job_id": "a", "n": "na", "keys": "ka"}), "a")
+        .join(own.withColumnsRenamed({"job_id": "b", "n": "nb", "keys": "kb"}), "b")
+        .select("a", "b", "ka", "kb", "na", "nb").mapInArrow(_overlaps, "a bigint, b bigint")
     )
 
 
-def _rest_of_pairs(sets: DataFrame, groups: DataFrame) -> DataFrame:
+def _may_link(n: str, u: str, m: str, w: str) -> Column:
+    """Whether sets of sizes n and m, with u and w keys that others have, can link: the overlap is at most
+    the smaller of u and w."""
+    return F.least(F.col(u), F.col(w)) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
+
+
+def _rest_of_pairs(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
     """Pairs of different groups that may link: those that share a key among each one's rarest.
 
     A set's keys in order of frequency, rarest first: two sets that link share one of the first
-    n - least overlap + 1 of each. Keys that one set alone has are counted, not joined.
+    n - least overlap + 1 of each. Keys that no other set has come before those listed.
     """
-    entries = sets.select("job_id", "n", F.explode("keys").alias("key"))
-    common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    entries = sets.select("job_id", "n", "u", F.explode("keys").alias("key"))
+    frequency = entries.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     ordered = (
-        entries.join(common, "key").groupBy("job_id", "n")
+        entries.join(frequency, "key").groupBy("job_id", "n", "u")
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     )
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("keys"))
+    length = F.col("u") - F.ceil(F.col("n") * PERCENT / 100) + 1
     rarest = (
-        ordered.where(length > 0)
-        .select("job_id", "n", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
-        .select("job_id", "n", "k.key")
+        ordered.select("job_id", "n", "u", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
+        .select("job_id", "n", "u", "k.key")
         .join(groups, F.col("job_id") == F.col("node"), "left")
-        .select("key", "job_id", "n", F.coalesce("component", "job_id").alias("g"))
+        .select("key", "job_id", "n", "u", F.coalesce("component", "job_id").alias("g"))
     )
+    rarest = written(rarest, folder, "rarest")
     mixed = rarest.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
     rarest = rarest.join(mixed, "key")
-    x = rarest.withColumnsRenamed({"job_id": "a", "n": "na", "g": "ga"})
-    y = rarest.withColumnsRenamed({"job_id": "b", "n": "nb", "g": "gb"})
-    sizes = (F.col("na") * PERCENT <= F.col("nb") * 100) & (F.col("nb") * PERCENT <= F.col("na") * 100)
-    return x.join(y, "key").where((F.col("ga") < F.col("gb")) & sizes).select("a", "b").distinct()
+    x = rarest.withColumnsRenamed({"job_id": "a", "n": "na", "u": "ua", "g": "ga"})
+    y = rarest.withColumnsRenamed({"job_id": "b", "n": "nb", "u": "ub", "g": "gb"})
+    return x.join(y, "key").where((F.col("ga") < F.col("gb")) & _may_link("na", "ua", "nb", "ub")).select("a", "b").distinct()
 
 
 def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> DataFrame:
@@ -232,11 +264,13 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
     sizes allow a link. (1) Columns, cut into blocks by key: only the first keys of each log, in hash
     order, that no linked log can miss (n - least overlap, and EXTRA_PERCENT more), are looked at; a log
     that has fewer of them in common with all others together than any link needs is done. (2) Logs
-    with the same set are one row of the matrix. (3) Rows that share a smallest key under one of four
-    hash orders are multiplied with the first such row: the large groups fall together without their
-    pairs being formed. (4) What may still link two different groups shares one of its rarest keys:
-    those pairs, within the size bounds, are multiplied too. Every link is counted exactly (64-bit keys
-    stand for shingles); component_id is the smallest job id that links lead to.
+    with the same set are one row of the matrix, and of a row only the keys that another row has
+    matter: rows with fewer than a link needs are done too. (3) Rows that share a smallest key under
+    one of four hash orders are multiplied with the one of them that has most in common with others:
+    the large groups fall together without their pairs being formed. (4) What may still link two
+    different groups shares one of its rarest keys: those pairs, where sizes and common keys allow a
+    link, are multiplied too. Every link is counted exactly (64-bit keys stand for shingles);
+    component_id is the smallest job id that links lead to.
 
     NULL, empty and blank logs have no shingles and no links. Rows with the same job id give one row and
     link as any of them does. No rows give no rows; other columns are not looked at.
@@ -258,16 +292,20 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
     other = -(-F.col("n") * PERCENT / 100)
     needed = F.greatest(F.lit(1), F.ceil(F.ceil(other) * EXTRA_PERCENT / 100))
     rows = classes.where(F.col("shared") >= needed).select(F.col("first").alias("job_id"))
-    sets = written(logs.join(rows, "job_id").mapInArrow(_sets, SETS), folder, "sets")
+    sets = _shared_sets(logs.join(rows, "job_id"), folder, buckets)
 
     stars = None
+    rank = F.struct((F.col("u") / F.col("n")).alias("share"), "u", (-F.col("job_id")).alias("neg"), "job_id", "n")
     for m in ("m0", "m1", "m2", "m3"):
-        leaders = sets.groupBy(m).agg(F.min("job_id").alias("a"))
-        star = sets.select(m, F.col("job_id").alias("b")).join(leaders, m).where("a <> b").select("a", "b")
+        centres = sets.groupBy(m).agg(F.max(rank).alias("c")).select(
+            m, F.col("c.job_id").alias("a"), F.col("c.n").alias("na"), F.col("c.u").alias("ua")
+        )
+        star = sets.select(m, F.col("job_id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub")).join(centres, m)
+        star = star.where((F.col("a") != F.col("b")) & _may_link("na", "ua", "nb", "ub")).select("a", "b")
         stars = star if stars is None else stars.union(star)
     links = written(_verified(stars.distinct(), sets), folder, "stars")
     groups = components(links, folder, "star-groups")
-    more = written(_verified(_rest_of_pairs(sets, groups), sets), folder, "rest")
+    more = written(_verified(_rest_of_pairs(sets, groups, folder), sets), folder, "rest")
     final = components(links.union(more), folder, "groups")
 
     named = classes.join(final, classes["first"] == final["node"], "left").select(
