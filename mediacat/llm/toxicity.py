@@ -134,7 +134,7 @@ def learn_machine(
     """Fit on at most `sample_rows` labelled logs: those whose job ids hash lowest.
 
     Labels other than 0 and 1 and labels without a log are passed over. Without any usable row the
-    machine says 0.5 of everything.
+    machine calls nothing toxic.
     """
     chosen = (
         labels.select(F.col(job_id).alias("job_id"), F.col(toxic).cast("int").alias("toxic"))
@@ -147,7 +147,7 @@ def learn_machine(
         .groupBy(F.lit(0).alias("all")).applyInPandas(_trained, "bias double, w binary, v binary").first()
     )
     if got is None:
-        return Machine(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
+        return Machine(-1.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
     return Machine(got["bias"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(-1, FACTORS))
 
 
