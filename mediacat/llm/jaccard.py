@@ -21,6 +21,8 @@ EXTRA_PERCENT = 15
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 128
 BATCH_BYTES = 4 << 20
+TILE = 512
+COLUMNS = 2048
 SEEDS = (0x1B873593, 0xCC9E2D51, 0x85EBCA6B, 0x27D4EB2F)
 
 ENTRIES = "bucket int, ids binary, owners binary, keys binary, facts binary"
@@ -230,8 +232,8 @@ def _may_link(n: str, u: str, m: str, w: str) -> Column:
     return F.least(F.col(u), F.col(w)) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
 
 
-def _rest_of_pairs(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
-    """Pairs of different groups that may link: those that share a key among each one's rarest.
+def _rarest(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
+    """key, job_id, g (its group so far): of each set the rarest keys, of which any link needs one.
 
     A set's keys in order of frequency, rarest first: two sets that link share one of the first
     n - least overlap + 1 of each. Keys that no other set has come before those listed.
@@ -243,18 +245,80 @@ def _rest_of_pairs(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     )
     length = F.col("u") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    rarest = (
-        ordered.select("job_id", "n", "u", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
-        .select("job_id", "n", "u", "k.key")
+    rows = (
+        ordered.select("job_id", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
         .join(groups, F.col("job_id") == F.col("node"), "left")
-        .select("key", "job_id", "n", "u", F.coalesce("component", "job_id").alias("g"))
+        .select("k.key", "job_id", F.coalesce("component", "job_id").alias("g"))
     )
-    rarest = written(rarest, folder, "rarest")
+    return written(rows, folder, "rarest")
+
+
+def _tile_product(table: pa.Table) -> pa.Table:
+    """The incidence product of a tile's rows (side 0) and columns (side 1): pairs with overlap enough.
+
+    Only keys that both sides have are looked at, in blocks of columns; overlap counts add up over the
+    blocks, and pairs below what their sizes require are discarded.
+    """
+    side = table.column("side").to_numpy()
+    ids, n = table.column("job_id").to_numpy(), table.column("n").to_numpy()
+    lists = table.column("keys").combine_chunks()
+    owner, keys = _flat(lists)
+    row_of = np.cumsum(side == 0) - 1
+    column_of = np.cumsum(side == 1) - 1
+    common = np.intersect1d(keys[side[owner] == 0], keys[side[owner] == 1])
+    place = np.searchsorted(common, keys)
+    place[place == len(common)] = 0
+    used = common[place] == keys if len(common) else np.zeros(len(keys), bool)
+    owner, place = owner[used], place[used]
+    overlap = np.zeros((int((side == 0).sum()), int((side == 1).sum())), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        mine = (place >= at) & (place < at + COLUMNS)
+        parts = []
+        for s, number in ((0, row_of), (1, column_of)):
+            own = mine & (side[owner] == s)
+            part = np.zeros((overlap.shape[s], COLUMNS), np.float32)
+            part[number[owner[own]], place[own] - at] = 1
+            parts.append(part)
+        overlap += parts[0] @ parts[1].T
+    sizes = n[side == 0][:, None] + n[side == 1][None, :]
+    r, c = np.nonzero(overlap * (100 + PERCENT) >= PERCENT * sizes)
+    return pa.table([pa.array(ids[side == 0][r]), pa.array(ids[side == 1][c])], names=["a", "b"])
+
+
+def _links_between(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
+    """Links of different groups (a, b): every set of a smaller group against those of a larger one that
+    has one of its rarest keys.
+
+    No pairs are formed: a group's sets and all sets asked against it meet in tiles of TILE by TILE, and
+    only links come out of a tile.
+    """
+    rarest = _rarest(sets, groups, folder)
+    placed = sets.join(groups, F.col("job_id") == F.col("node"), "left").select(
+        "job_id", "n", "keys", F.coalesce("component", "job_id").alias("g")
+    )
+    size = placed.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
     mixed = rarest.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    rarest = rarest.join(mixed, "key")
-    x = rarest.withColumnsRenamed({"job_id": "a", "n": "na", "u": "ua", "g": "ga"})
-    y = rarest.withColumnsRenamed({"job_id": "b", "n": "nb", "u": "ub", "g": "gb"})
-    return x.join(y, "key").where((F.col("ga") < F.col("gb")) & _may_link("na", "ua", "nb", "ub")).select("a", "b").distinct()
+    x = rarest.join(mixed, "key").join(size, "g")
+    large = x.select("key", F.col("g").alias("into"), F.col("members").alias("many")).distinct()
+    asked = (
+        x.join(large, "key")
+        .where(F.struct("members", "g") < F.struct("many", F.col("into").alias("g")))
+        .select("job_id", "into", "many").distinct()
+    )
+    asked = written(asked, folder, "asked")
+    shape = asked.groupBy("into").agg(
+        F.ceil(F.max("many") / TILE).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("across")
+    )
+
+    def spread(sides: int, own: str, other: str) -> list[Column]:
+        mine = F.pmod(F.xxhash64("job_id"), F.col(own)).cast("int").alias(own[0])
+        return [mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]), F.lit(sides).alias("side")]
+
+    rows = placed.join(shape, F.col("g") == F.col("into")).select("into", "job_id", "n", "keys", *spread(0, "down", "across"))
+    columns = asked.select("job_id", "into").join(shape, "into").join(placed.drop("g"), "job_id")
+    columns = columns.select("into", "job_id", "n", "keys", *spread(1, "across", "down"))
+    tiles = rows.unionByName(columns).groupBy("into", "d", "a")
+    return tiles.applyInArrow(_tile_product, "a bigint, b bigint")
 
 
 def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> DataFrame:
@@ -268,8 +332,8 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
     matter: rows with fewer than a link needs are done too. (3) Rows that share a smallest key under
     one of four hash orders are multiplied with the one of them that has most in common with others:
     the large groups fall together without their pairs being formed. (4) What may still link two
-    different groups shares one of its rarest keys: those pairs, where sizes and common keys allow a
-    link, are multiplied too. Every link is counted exactly (64-bit keys stand for shingles);
+    different groups shares one of its rarest keys: there the smaller group's rows are multiplied
+    with the larger group, tile by tile. Every link is counted exactly (64-bit keys stand for shingles);
     component_id is the smallest job id that links lead to.
 
     NULL, empty and blank logs have no shingles and no links. Rows with the same job id give one row and
@@ -305,7 +369,7 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
         stars = star if stars is None else stars.union(star)
     links = written(_verified(stars.distinct(), sets), folder, "stars")
     groups = components(links, folder, "star-groups")
-    more = written(_verified(_rest_of_pairs(sets, groups, folder), sets), folder, "rest")
+    more = written(_links_between(sets, groups, folder), folder, "rest")
     final = components(links.union(more), folder, "groups")
 
     named = classes.join(final, classes["first"] == final["node"], "left").select(
