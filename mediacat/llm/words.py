@@ -25,10 +25,9 @@ def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
         base = _BASE[lane] | 1
         back, out = pow(base, -1, 2**64), []
         for b in (base, back):
-            powers = np.ones(1, U)
-            while len(powers) < n:
-                powers = np.concatenate([powers, powers * U(pow(b, len(powers), 2**64))])
-            out.append(powers)
+            powers = np.full(n + n // 16, b, U)
+            powers[0] = 1
+            out.append(np.cumprod(powers))
         _POWERS[lane] = have = (out[0], out[1])
     return have
 
