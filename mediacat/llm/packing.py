@@ -19,7 +19,8 @@ SEQUENCE = 4096
 END_ID = 1
 NODE_ITEMS = 20_000
 SLACK = 24
-CACHED_RUNS = 900_000
+#: Runs remembered at most, and how many of the first seen, among them the frequent ones, outlast a trimming.
+CACHED_RUNS, KEPT_RUNS = 400_000, 150_000
 #: The tokenizer's own split of lower-case text, for code points below U+0250.
 RUNS = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\w\s]+|_+)+")
 OTHER = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
@@ -62,12 +63,14 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.clear()
-
-    def clear(self) -> None:
         self.known = _Places()
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _trim(self) -> None:
+        self.known = _Places(islice(self.known.items(), KEPT_RUNS))
+        self.starts, self.lengths = self.starts[:KEPT_RUNS].copy(), self.lengths[:KEPT_RUNS].copy()
+        self.ids = self.ids[: int(self.lengths.sum())].copy()
+
     def _learn(self) -> None:
         """Encode the runs that have a number but no ids yet."""
         runs = list(islice(self.known, len(self.starts), None))
@@ -81,7 +84,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED_RUNS:
-            self.clear()
+            self._trim()
         runs = [RUNS.findall(t.lower()) if _is_plain(t) else None for t in texts]
         counts = np.array([len(r or ()) for r in runs], np.int64)
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(r for r in runs if r)), np.int64, int(counts.sum()))

@@ -26,6 +26,15 @@ def test_ids_are_the_tokenizers(tokens):
         assert got.tolist() == [*e.ids, 1], repr(text)
 
 
+def test_forgetting_changes_nothing(tokens, monkeypatch):
+    monkeypatch.setattr(P, "CACHED_RUNS", 50)
+    monkeypatch.setattr(P, "KEPT_RUNS", 20)
+    own = P.Tokens(tokenizer_file())
+    for n in range(30):
+        text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + (i + n) % 26)}" for i in range(40))
+        assert own.encode([text])[0].tolist() == [*own.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_best_fit_fills_the_tightest_bin():
     assert P.best_fit([5, 4, 3, 3, 2, 2, 1], 10) == [[0, 1, 6], [2, 3, 4, 5]]
     rng = random.Random(1)
