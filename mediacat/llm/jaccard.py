@@ -233,7 +233,7 @@ def _may_link(n: str, u: str, m: str, w: str) -> Column:
 
 
 def _rarest(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
-    """key, job_id, g (its group so far): of each set the rarest keys, of which any link needs one.
+    """key, job_id, n, u, g (its group so far): of each set the rarest keys, of which any link needs one.
 
     A set's keys in order of frequency, rarest first: two sets that link share one of the first
     n - least overlap + 1 of each. Keys that no other set has come before those listed.
@@ -246,9 +246,9 @@ def _rarest(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
     )
     length = F.col("u") - F.ceil(F.col("n") * PERCENT / 100) + 1
     rows = (
-        ordered.select("job_id", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
+        ordered.select("job_id", "n", "u", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
         .join(groups, F.col("job_id") == F.col("node"), "left")
-        .select("k.key", "job_id", F.coalesce("component", "job_id").alias("g"))
+        .select("k.key", "job_id", "n", "u", F.coalesce("component", "job_id").alias("g"))
     )
     return written(rows, folder, "rarest")
 
@@ -294,15 +294,19 @@ def _links_between(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame
     """
     rarest = _rarest(sets, groups, folder)
     placed = sets.join(groups, F.col("job_id") == F.col("node"), "left").select(
-        "job_id", "n", "keys", F.coalesce("component", "job_id").alias("g")
+        "job_id", "n", "u", "keys", F.coalesce("component", "job_id").alias("g")
+    )
+    size = placed.groupBy("g").agg(
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("u").alias("most_u")
     )
-    size = placed.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
     mixed = rarest.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
     x = rarest.join(mixed, "key").join(size, "g")
-    large = x.select("key", F.col("g").alias("into"), F.col("members").alias("many")).distinct()
+    large = x.select(
+        "key", F.col("g").alias("into"), F.col("members").alias("many"), F.col("least_n").alias("into_n"), F.col("most_u").alias("into_u")
+    ).distinct()
+    smaller = F.struct("members", "g") < F.struct("many", F.col("into").alias("g"))
     asked = (
-        x.join(large, "key")
-        .where(F.struct("members", "g") < F.struct("many", F.col("into").alias("g")))
+        x.join(large, "key").where(smaller & _may_link("n", "u", "into_n", "into_u"))
         .select("job_id", "into", "many").distinct()
     )
     asked = written(asked, folder, "asked")
