@@ -6,7 +6,7 @@ executors half-way leaves the old version whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.operators.keyed import latest_per_key
@@ -65,3 +65,66 @@ def upsert_batches(folder: str, keys: list[str], order: list[str], kept: list[st
         merged.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/v={batch_id + 1}")
 
     return write
+
+
+def _below(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def _current_buckets(spark: SparkSession, folder: str, upto: int | None = None) -> dict[int, tuple[int, str]]:
+    """The newest finished version of each bucket, of those up to `upto`: bucket -> (version, path)."""
+    found: dict[int, tuple[int, str]] = {}
+    for name in _below(spark, folder):
+        version = int(name.removeprefix("v=")) if name.startswith("v=") else -1
+        wanted = version >= 0 and (upto is None or version <= upto)
+        inside = _below(spark, f"{folder}/{name}") if wanted else []
+        if "_SUCCESS" in inside:
+            for b in (int(i.removeprefix("b=")) for i in inside if i.startswith("b=")):
+                found[b] = max(found.get(b, (-1, "")), (version, f"{folder}/{name}/b={b}"))
+    return found
+
+
+def read_buckets(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table that `upsert_buckets` keeps, as of its last finished batch."""
+    paths = [path for _, path in _current_buckets(spark, folder.rstrip("/")).values()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_buckets(
+    folder: str, keys: list[str], order: list[str], kept: list[str] | None = None, buckets: int = 64
+):
+    """`foreachBatch` function that keeps a table, cut into buckets by a hash of the key, up to date.
+
+    A batch rewrites only the buckets that it has keys of, as `v=<batch id + 1>/b=<bucket>`; the files of
+    all others stay as they are. A bucket's rows are those of its newest version with a _SUCCESS mark, so
+    a batch that fails half-way changes nothing and its repetition overwrites its own output. Versions
+    that a bucket has left two or more behind are deleted. Bucket 0 .. `buckets` - 1 fix the layout: do
+    not change the number.
+    """
+    folder = folder.rstrip("/")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        held = _current_buckets(spark, folder, upto=batch_id)
+        paths = [held[b][1] for b in touched if b in held]
+        old = spark.read.schema(batch.schema).parquet(*paths) if paths else batch.limit(0)
+        merged = upsert(old, batch, keys, order, kept).withColumn("b", bucket)
+        merged.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{folder}/v={batch_id + 1}")
+        for b in touched:
+            _drop_before(spark, folder, b, held[b][0] if b in held else 0)
+
+    return write
+
+
+def _drop_before(spark: SparkSession, folder: str, bucket: int, version: int) -> None:
+    for name in _below(spark, folder):
+        if name.startswith("v=") and int(name.removeprefix("v=")) < version:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/b={bucket}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mediacat.functions.constants import ACTIVE_STATES, LEASE_S
 
+#: How long a finished job's state and a path's last size are kept, in seconds.
+KEEP_S = 86_400
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _REPORT = (
@@ -33,6 +35,9 @@ def checkpoint_folder(spark: SparkSession, name: str, fallback: str | None = Non
     shared = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not shared:
         raise ValueError("set spark.checkpoint.dir, or pass a folder")
+    on_one_machine = shared == fallback and (shared.startswith("file:") or "://" not in shared)
+    if on_one_machine and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{shared} lies on one machine: name a folder that all executors share")
     return f"{shared.rstrip('/')}/{name}"
 
 
@@ -40,11 +45,12 @@ class JobTracker(StatefulProcessor):
     """Where one job stands: last figures, when they last moved, whether its lease still runs.
 
     Emits a row per accepted report ('report') and refused one ('refused'), and one each time the
-    lease runs out ('lease_expired') or progress stands still for too long ('stalled').
+    lease runs out ('lease_expired') or progress stands still for too long ('stalled'). A job that has
+    ended is forgotten `keep_s` after its last event, until when late reports are refused.
     """
 
-    def __init__(self, lease_s: int = LEASE_S, stall_s: int = 1800):
-        self.lease_us, self.stall_us = lease_s * 10**6, stall_s * 10**6
+    def __init__(self, lease_s: int = LEASE_S, stall_s: int = 1800, keep_s: int = KEEP_S):
+        self.lease_us, self.stall_us, self.keep_us = (s * 10**6 for s in (lease_s, stall_s, keep_s))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -52,7 +58,7 @@ class JobTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = self._load()
-        # Rows of one job within one micro-batch, which the source's rate limit bounds.
+        # Rows of one job within one micro-batch: give the source a rate limit (maxFilesPerTrigger and the like).
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
         for row in batch.itertuples():
@@ -74,13 +80,17 @@ class JobTracker(StatefulProcessor):
                     size_now=int(row.size_now) if pd.notna(row.size_now) else None,
                 )
                 out.append(self._row(key[0], "report", at, now))
-        self._store(now)
+        self._store(now, at)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = self._load()
-        out = self._silences(key[0], now, expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1000)
-        self._store(now)
+        now, due = self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if now["state"] != "running":
+            self.state.clear()
+            yield _frame([])
+            return
+        out = self._silences(key[0], now, due + 1000)
+        self._store(now, due)
         yield _frame(out)
 
     def close(self) -> None:
@@ -113,12 +123,14 @@ class JobTracker(StatefulProcessor):
                 out.append(self._row(job_id, event, due, now))
         return out
 
-    def _store(self, now: dict) -> None:
+    def _store(self, now: dict, at_us: int) -> None:
         self.state.update(tuple(now.values()))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         due = self._deadlines(now)
-        if due:
+        if now["state"] != "running":
+            self.handle.registerTimer((at_us + self.keep_us) // 1000 + 1)
+        elif due:
             # Timers count milliseconds; one more makes the comparison strict.
             self.handle.registerTimer(due[0][0] // 1000 + 1)
 
@@ -141,14 +153,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def track_jobs(
-    events: DataFrame, lease_s: int = LEASE_S, stall_s: int = 1800, lateness: str = "1 minute"
+    events: DataFrame, lease_s: int = LEASE_S, stall_s: int = 1800, lateness: str = "1 minute", keep_s: int = KEEP_S
 ) -> DataFrame:
     """Progress, refusals, lost leases and stalls of a stream of events."""
     return (
         events.withWatermark("ts", lateness)
         .groupBy("job_id")
         .transformWithStateInPandas(
-            JobTracker(lease_s, stall_s), outputStructType=_REPORT, outputMode="Append", timeMode="EventTime"
+            JobTracker(lease_s, stall_s, keep_s), outputStructType=_REPORT, outputMode="Append", timeMode="EventTime"
         )
     )
 
@@ -177,10 +189,13 @@ def node_sessions(beats: DataFrame, gap_s: int = 45, lateness: str = "1 minute")
 
 
 class SizeWatch(StatefulProcessor):
-    """Whether a path shows the same size in two scans running."""
+    """Whether a path shows the same size in two scans running. A path not seen for `keep_s` is forgotten."""
+
+    def __init__(self, keep_s: int = 7 * KEEP_S):
+        self.keep_ms = keep_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("size", "size bigint")
+        self.seen = handle.getValueState("size", "size bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["scan_s", "size"])
@@ -200,7 +215,7 @@ def arrivals(scans: DataFrame) -> DataFrame:
     """Each sighting of a path with whether its size has settled."""
     return scans.groupBy("path").transformWithStateInPandas(
         SizeWatch(), outputStructType="path string, scan_s bigint, size bigint, stable boolean",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="ProcessingTime",  # which the time to live of the state needs
     )
 
 

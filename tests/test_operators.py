@@ -342,14 +342,15 @@ def test_failure_text(spark):
         4: ["Invalid a", "Invalid a", "Invalid b", "Invalid c", "Task finished with error code: -22 (audio)"],
     }
     rows = [(j, n, line, 1) for j, ls in logs_.items() for n, line in enumerate(ls)]
-    lines = logs.log_lines(frame(spark, rows, "job_id int, line_no int, line string, returncode bigint"))
+    lines = frame(spark, rows, "job_id int, line_no int, line string, returncode bigint")
     got = {r.job_id: r.message for r in logs.failure_messages(logs.failure_causes(lines)).collect()}
-    assert got[1].startswith("FFmpeg exited 1: audio track 2: Error sending") and "Leave audio alone" in got[1]
+    assert got[1].startswith("FFmpeg exited 1: audio track 2: Error sending") and "copying the audio unchanged" in got[1]
     assert got[2] == "FFmpeg exited 1: Error opening output files: nothing — No such file here"
     assert got[3] == "FFmpeg exited 1: just chatter"
     assert got[4] == "FFmpeg exited 1: Invalid a — Invalid b"
     many = frame(spark, [(1, n, f"error {n}", 1) for n in range(400)], "job_id int, line_no int, line string, returncode bigint")
-    assert logs.failure_causes(logs.log_lines(many)).first().cause_1 == "error 100"
+    assert logs.failure_causes(many).first().cause_1 == "error 0"
+    assert logs.failure_causes(logs.log_lines(many, tail=300)).first().cause_1 == "error 100"
 
 
 def test_settings(spark):
@@ -447,6 +448,81 @@ def test_upserts(spark, tmp_path):
     assert {r.id: (r.name, r.slots) for r in spark.read.parquet(f"{base}/v=1").collect()} == got
 
 
+def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    import os
+
+    base, schema = str(tmp_path / "t"), "id bigint, at bigint, name string, slots int"
+    write = tables.upsert_buckets(base, ["id"], ["at"], ["slots"], buckets=8)
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(base) for f in fs if f.startswith("part-")}
+
+    write(frame(spark, [(i, 1, f"n{i}", i) for i in range(40)], schema), 0)
+    first = files()
+    change = frame(spark, [(3, 2, "new", None), (3, 1, "older", 9)], schema)
+    write(change, 1)
+    write(change, 1)  # a repeated batch
+    assert {f: t for f, t in files().items() if f in first} == first
+    assert len({os.path.dirname(f) for f in set(files()) - set(first)}) == 1
+    rows = {r.id: (r.name, r.slots) for r in tables.read_buckets(spark, base, schema).collect()}
+    assert rows == {**{i: (f"n{i}", i) for i in range(40)}, 3: ("new", 3)}
+    write(frame(spark, [(3, 3, "last", 1)], schema), 2)
+    rows = tables.read_buckets(spark, base, schema).where("id = 3").collect()
+    assert [(r.name, r.slots) for r in rows] == [("last", 3)] and tables.read_buckets(spark, base, schema).count() == 40
+    assert len([f for f in set(files()) - set(first)]) == 2 and len(files()) == len(first) + 1
+
+
+def test_failed_jobs_all_have_a_row(spark):
+    lines = [(1, i, "frame ok", 1) for i in range(2, 402)] + [(1, 1, "No space left on device", 1), (2, 1, "", 1), (2, 2, "  ", 1)]
+    failed = frame(spark, [(1, 1), (2, 1), (3, 7)], "job_id int, returncode bigint")
+    got = logs.failure_causes(frame(spark, lines, "job_id int, line_no int, line string, returncode bigint"), failed)
+    rows = {r.job_id: r for r in got.collect()}
+    assert rows[1].cause_1 == "No space left on device" and rows[1].last_line == "frame ok"
+    assert rows[2].cause_1 is None and rows[2].last_line is None and rows[3].returncode == 7
+    texts = {r.job_id: r.message for r in logs.failure_messages(got).collect()}
+    assert texts[2].endswith("no output") and texts[3].endswith("no output") and set(texts) == {1, 2, 3}
+
+
+def test_filing_rules(spark):
+    """Only where matching files are left alone and there is an output folder; the first of several wins."""
+    from pyspark.sql.types import Row
+
+    def file(path, skip_matching=True, out="/out", action="skip"):
+        naming = Row(enabled=False, scheme="plex", skip_uncertain=True, folders=True)
+        return Row(path=path, size=5, library_id=1, skip_matching=skip_matching, skip=Row(code=None), plan=Row(action=action),
+                   library=Row(output_path=out, watch_path="/in", mirror_folders=False, naming=naming))
+
+    rows = [file("/in/b/x.mkv"), file("/in/a/x.mkv"), file("/in/y.mkv", skip_matching=False), file("/in/z.mkv", out=""),
+            file("/in/q.mkv", out=None), file("/out/w.mkv"), file("/in/v.mkv", action="remux"), file("/in/t.mkv")]
+    schema = ("path string, size bigint, library_id bigint, skip_matching boolean, skip struct<code:string>, plan struct<action:string>, "
+              "library struct<output_path:string,watch_path:string,mirror_folders:boolean,naming:struct<enabled:boolean,scheme:string,skip_uncertain:boolean,folders:boolean>>")
+    ready = scan.files_to_file(spark.createDataFrame(rows, schema))
+    marked = scan.destination_conflicts(ready, frame(spark, [("/out/t.mkv",)], "path string"), first_wins=True)
+    got = {r.path: r.conflict for r in marked.collect()}
+    assert got == {"/in/a/x.mkv": None, "/in/b/x.mkv": "shared", "/in/t.mkv": "exists"}
+
+
+def test_empty_tables(spark):
+    libraries = frame(spark, [], "library_id bigint, name string, watch_path string, output_path string, original_action string, originals_path string")
+    files = frame(spark, [("/in/a.mkv", 1)], "path string, size bigint")
+    assert [r.library_id for r in scan.owning_library(files, libraries).collect()] == [None]
+    jobs = frame(spark, [(1, "/in/a.mkv", 3)], "id bigint, path string, library_id bigint")
+    ledger_rows = frame(spark, [], "job_id bigint, archived_path string")
+    found = originals.archived_source(jobs, libraries, ledger_rows, files)
+    assert [(r.archived, r.found_by) for r in found.collect()] == [(None, None)]
+
+
+def test_pages_of_clustered_ids(spark):
+    ids = [10**15 + i for i in range(300)] + list(range(700)) + [5 * 10**17]
+    df = frame(spark, [(i,) for i in ids], "id bigint").repartition(5)
+    for ascending in (True, False):
+        order = sorted(ids, reverse=not ascending)
+        for page in (1, 8, 37, 51, 9999):
+            rows = keyed.page_of(df, "id", page, 20, ascending, buckets=16).orderBy("position").collect()
+            start = (min(page, 51) - 1) * 20
+            assert [r.id for r in rows] == order[start : start + 20] and rows[0].position == start + 1
+
+
 def test_path_depths(spark):
     r = spark.range(1).select(paths.ancestor_at(F.lit("/a/b/c"), 2).alias("a"), paths.ancestor_at(F.lit("/a"), 2).alias("b"),
                               paths.ancestor_at(F.lit("/a/b"), 3).alias("c")).first()

@@ -113,13 +113,41 @@ def test_daily_and_lifetime_savings(spark, folders):
 
 
 def test_checkpoints_go_to_the_shared_folder():
-    def session(value):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
+    def session(value, master="local[2]"):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value), sparkContext=SimpleNamespace(master=master))
 
     assert S.checkpoint_folder(session("/shared/cp/"), "jobs", "/elsewhere") == "/shared/cp/jobs"
     assert S.checkpoint_folder(session(None), "jobs", "/elsewhere") == "/elsewhere/jobs"
     with pytest.raises(ValueError):
         S.checkpoint_folder(session(None), "jobs")
+    for place in ("/elsewhere", "file:///elsewhere"):
+        with pytest.raises(ValueError):
+            S.checkpoint_folder(session(None, "spark://a:1"), "jobs", place)
+    assert S.checkpoint_folder(session(None, "spark://a:1"), "jobs", "hdfs://a/b") == "hdfs://a/b/jobs"
+
+
+def test_finished_jobs_are_forgotten(spark, tmp_path):
+    """State of a job that ended is gone once the watermark is past its last event by the keeping time."""
+    from datetime import datetime
+
+    def batch(n, rows):
+        events = spark.createDataFrame(
+            [(i, job, 0, datetime.fromisoformat(f"2024-01-01 {at}"), kind, 1.0, 1) for i, (job, at, kind) in enumerate(rows)],
+            "event_id bigint, job_id bigint, node_id bigint, ts timestamp, kind string, progress double, size_now bigint",
+        )
+        events.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        q = (
+            S.track_jobs(src, keep_s=600).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append")
+            .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        )
+        q.awaitTermination(120)
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "job").load()
+        return {r.key.job_id for r in state.select("key").collect()}
+
+    assert batch(0, [(1, "10:00", "started"), (1, "10:01", "complete"), (2, "10:01", "started")]) == {1, 2}
+    batch(1, [(3, "10:30", "started")])
+    assert batch(2, [(3, "10:31", "progress")]) == {2, 3}
 
 
 def test_repeats_are_dropped(spark, folders):
