@@ -77,27 +77,27 @@ def skip_reason(
         (
             "skip_extensions",
             F.array_contains(skip_ext, ext),
-            F.concat(ext, F.lit(" files are set to be skipped")),
+            F.concat(F.lit("extension left out: "), ext),
         ),
         (
             "only_name_contains",
             (F.size(only_name) > 0) & ~F.exists(only_name, lambda t: name.contains(F.lower(t))),
-            F.lit("name doesn't match the required text"),
+            F.lit("name has none of the required texts"),
         ),
         (
             "skip_name_contains",
             F.exists(skip_name, lambda t: name.contains(F.lower(t))),
-            F.concat(F.lit('name contains "'), F.try_element_at(hit_names, F.lit(1)), F.lit('"')),
+            F.concat(F.lit("name has the text: "), F.try_element_at(hit_names, F.lit(1))),
         ),
         (
             "min_size_mb",
             limit(mib, filters["min_size_mb"], True),
-            F.concat(F.lit("smaller than "), _plain(filters["min_size_mb"]), F.lit(" MB")),
+            F.concat(F.lit("under the least size, MB: "), _plain(filters["min_size_mb"])),
         ),
         (
             "max_size_mb",
             limit(mib, filters["max_size_mb"], False),
-            F.concat(F.lit("larger than "), _plain(filters["max_size_mb"]), F.lit(" MB")),
+            F.concat(F.lit("over the greatest size, MB: "), _plain(filters["max_size_mb"])),
         ),
     ]
     if duration_s is not None:
@@ -106,12 +106,12 @@ def skip_reason(
             (
                 "min_minutes",
                 (minutes != 0) & limit(minutes, filters["min_minutes"], True),
-                F.concat(F.lit("shorter than "), _plain(filters["min_minutes"]), F.lit(" minutes")),
+                F.concat(F.lit("under the least minutes: "), _plain(filters["min_minutes"])),
             ),
             (
                 "max_minutes",
                 (minutes != 0) & limit(minutes, filters["max_minutes"], False),
-                F.concat(F.lit("longer than "), _plain(filters["max_minutes"]), F.lit(" minutes")),
+                F.concat(F.lit("over the greatest minutes: "), _plain(filters["max_minutes"])),
             ),
         ]
     if video_bitrate is not None:
@@ -121,13 +121,13 @@ def skip_reason(
             (
                 "min_bitrate_kbps",
                 (kbps != 0) & limit(kbps, filters["min_bitrate_kbps"], True),
-                F.concat(F.lit("already efficient ("), shown, F.lit(" kbps)")),
+                F.concat(F.lit("rate low enough, kbps: "), shown),
             ),
             (
                 "max_bitrate_kbps",
                 (kbps != 0) & limit(kbps, filters["max_bitrate_kbps"], False),
                 F.concat(
-                    F.lit("bitrate above "), _plain(filters["max_bitrate_kbps"]), F.lit(" kbps")
+                    F.lit("rate over the greatest, kbps: "), _plain(filters["max_bitrate_kbps"])
                 ),
             ),
         ]
@@ -138,11 +138,7 @@ def skip_reason(
                 "skip_video_codecs",
                 (F.coalesce(video_codec, F.lit("")) != "")
                 & F.array_contains(codecs, F.lower(video_codec)),
-                F.concat(
-                    F.lit("already "),
-                    video_codec,
-                    F.lit(" (skipped entirely — audio not checked)"),
-                ),
+                F.concat(F.lit("video codec left out, whatever the audio: "), video_codec),
             )
         )
 
@@ -231,14 +227,14 @@ def conversion_plan(
         .otherwise("full")
     )
     why = (
-        F.when(video_ok & audio_ok & container_ok, F.lit("already exactly right"))
-        .when(video_ok & audio_ok, F.concat(F.lit("repackaging into "), F.upper(want_container)))
+        F.when(video_ok & audio_ok & container_ok, F.lit("nothing to change"))
+        .when(video_ok & audio_ok, F.concat(F.lit("new container: "), F.upper(want_container)))
         .when(
             video_ok,
             F.concat(
-                F.lit("video is already "),
+                F.lit("video stays "),
                 F.coalesce(video_codec, F.lit("None")),
-                F.lit(", converting audio "),
+                F.lit(", audio from "),
                 heard,
                 F.lit(" to "),
                 F.upper(want_audio),
@@ -247,14 +243,14 @@ def conversion_plan(
         .when(
             audio_ok,
             F.concat(
-                F.lit("audio is already "),
+                F.lit("audio stays "),
                 F.upper(want_audio),
-                F.lit(", converting video to "),
+                F.lit(", video to "),
                 F.upper(want_video),
             ),
         )
         .otherwise(
-            F.concat(F.lit("converting to "), F.upper(want_video), F.lit(" / "), F.upper(want_audio))
+            F.concat(F.lit("video to "), F.upper(want_video), F.lit(", audio to "), F.upper(want_audio))
         )
     )
     return F.struct(
@@ -325,15 +321,14 @@ def savings_verdict(before: Column, after: Column, min_percent: Column) -> Colum
         .otherwise("worth_it")
         .alias("code"),
         percent.alias("percent"),
-        F.when(grew, F.concat(F.lit("came out "), whole, F.lit("% larger")))
+        F.when(grew, F.concat(F.lit("grew by "), whole, F.lit(" percent")))
         .when(
             short,
             F.concat(
-                F.lit("only saved "),
+                F.lit("saves "),
                 F.bround(percent, 0).cast("bigint").cast("string"),
-                F.lit("%, below the "),
+                F.lit(" percent, wanted "),
                 F.bround(wanted, 0).cast("bigint").cast("string"),
-                F.lit("% you asked for"),
             ),
         )
         .alias("reason"),
@@ -401,14 +396,13 @@ def overrun_verdict(
         F.coalesce(F.when(_filled(progress_s), progress_s), started_s)
     ) & (idle > stall_s)
     over_text = F.concat(
-        F.lit("Ran for "),
+        F.lit("Over its time limit: ran "),
         human_duration(ran),
-        F.lit(", longer than the limit of "),
+        F.lit(", allowed "),
         human_duration(limit_s),
-        F.lit(". Given up on automatically."),
     )
     stuck_text = F.concat(
-        F.lit("Made no progress for "), human_duration(idle), F.lit(". Given up on automatically.")
+        F.lit("Stands still: no progress in "), human_duration(idle)
     )
     return F.when(
         F.coalesce(over, F.lit(False)),

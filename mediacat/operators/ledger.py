@@ -238,7 +238,7 @@ def accept(jobs: DataFrame, ids: DataFrame) -> DataFrame:
         {
             "state": F.when(take, "done").otherwise(F.col("state")),
             "outcome": F.when(
-                take, F.concat(F.coalesce(F.col("outcome"), F.lit("")), F.lit(" — kept anyway"))
+                take, F.concat(F.coalesce(F.col("outcome"), F.lit("")), F.lit(" (accepted by hand)"))
             ).otherwise(F.col("outcome")),
         }
     ).select(*jobs.columns)

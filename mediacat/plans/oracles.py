@@ -271,11 +271,11 @@ ORACLES: dict[str, str] = {
     + f"select library_id, action, count(*) as files, {_bigint_sum('size')} as bytes from decided "
     "where skip_code is null group by 1,2",
     "plan_reasons": DECIDED
-    + """select coalesce(skip_code, case action when 'skip' then 'already exactly right'
- when 'remux' then concat('repackaging into ',upper(want_container))
- when 'audio_only' then concat('video is already ',video_codec,', converting audio ',audio_codec,' to ',upper(want_audio))
- when 'video_only' then concat('audio is already ',upper(want_audio),', converting video to ',upper(want_video))
- else concat('converting to ',upper(want_video),' / ',upper(want_audio)) end) as reason, count(*) as files
+    + """select coalesce(skip_code, case action when 'skip' then 'nothing to change'
+ when 'remux' then concat('new container: ',upper(want_container))
+ when 'audio_only' then concat('video stays ',video_codec,', audio from ',audio_codec,' to ',upper(want_audio))
+ when 'video_only' then concat('audio stays ',upper(want_audio),', video to ',upper(want_video))
+ else concat('video to ',upper(want_video),', audio to ',upper(want_audio)) end) as reason, count(*) as files
  from decided group by 1""",
     "inventory_latest": ctes("v_files")
     + "select file_id, path, scan_s, size, height, video_codec, audio_codec, duration_s from v_files",

@@ -77,4 +77,4 @@ def test_the_six_example_files(spark):
     got = scan.decide(files.withColumns({"filters": rules.tidy_filters(filters), "spec": spec})).collect()
     for r in got:
         assert (r.plan.action if r.skip is None else None) == r.want, r.path
-    assert {r.skip.reason for r in got if r.skip} == {'name contains "sample"'}
+    assert {r.skip.reason for r in got if r.skip} == {"name has the text: sample"}

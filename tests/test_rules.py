@@ -40,22 +40,22 @@ def skip(path, size=10**9, dur=None, rate=None, codec=None, **on):
 def test_skip_rules(spark):
     cases = [
         (skip("/m/a.mkv", skip_extensions=["mp4"]), None),
-        (skip("/m/a.MP4", skip_extensions=[".mp4"]), "mp4 files are set to be skipped"),
+        (skip("/m/a.MP4", skip_extensions=[".mp4"]), "extension left out: mp4"),
         (skip("/m/a.mkv", only_extensions=["avi", ".MP4"]), "not one of avi, mp4"),
-        (skip("/m/Show.mkv", only_name_contains=["film"]), "name doesn't match the required text"),
-        (skip("/m/A.Sample.mkv", skip_name_contains=["nope", "SAMPLE"]), 'name contains "SAMPLE"'),
-        (skip("/m/a.mkv", size=1048576, min_size_mb=2), "smaller than 2 MB"),
+        (skip("/m/Show.mkv", only_name_contains=["film"]), "name has none of the required texts"),
+        (skip("/m/A.Sample.mkv", skip_name_contains=["nope", "SAMPLE"]), "name has the text: SAMPLE"),
+        (skip("/m/a.mkv", size=1048576, min_size_mb=2), "under the least size, MB: 2"),
         (skip("/m/a.mkv", size=1048576, min_size_mb=1), None),
-        (skip("/m/a.mkv", size=3 * 1048576, max_size_mb=2.5), "larger than 2.5 MB"),
-        (skip("/m/a.mkv", dur=600, min_minutes=11), "shorter than 11 minutes"),
+        (skip("/m/a.mkv", size=3 * 1048576, max_size_mb=2.5), "over the greatest size, MB: 2.5"),
+        (skip("/m/a.mkv", dur=600, min_minutes=11), "under the least minutes: 11"),
         (skip("/m/a.mkv", dur=0, min_minutes=11), None),
         (skip("/m/a.mkv", dur=None, max_minutes=1), None),
-        (skip("/m/a.mkv", dur=6000, max_minutes=90), "longer than 90 minutes"),
-        (skip("/m/a.mkv", rate=2500500, min_bitrate_kbps=3000), "already efficient (2500 kbps)"),
-        (skip("/m/a.mkv", rate=9000000, max_bitrate_kbps=8000), "bitrate above 8000 kbps"),
+        (skip("/m/a.mkv", dur=6000, max_minutes=90), "over the greatest minutes: 90"),
+        (skip("/m/a.mkv", rate=2500500, min_bitrate_kbps=3000), "rate low enough, kbps: 2500"),
+        (skip("/m/a.mkv", rate=9000000, max_bitrate_kbps=8000), "rate over the greatest, kbps: 8000"),
         (skip("/m/a.mkv", rate=0, min_bitrate_kbps=3000), None),
         (skip("/m/a.mkv", codec="HEVC", skip_video_codecs=["hevc"]),
-         "already HEVC (skipped entirely — audio not checked)"),
+         "video codec left out, whatever the audio: HEVC"),
         (skip("/m/a.mkv", min_size_mb=0, max_size_mb=0, min_minutes=0), None),
     ]
     got = values(spark, *[c["reason"] for c, _ in cases])
@@ -71,19 +71,19 @@ def plan(path, codec, audio, efficient=True, want=("hevc", "aac", "mkv")):
 
 def test_conversion_plan(spark):
     cases = [
-        (plan("/m/a.mkv", "hevc", ["ac3"]), "audio_only", "video is already hevc, converting audio ac3 to AAC"),
-        (plan("/m/a.mkv", "hevc", ["aac", "aac"]), "skip", "already exactly right"),
-        (plan("/m/a.MKV", "hevc", ["aac"]), "skip", "already exactly right"),
-        (plan("/m/a.mp4", "hevc", ["aac"]), "remux", "repackaging into MKV"),
-        (plan("/m/a.mkv", "h264", ["aac"]), "video_only", "audio is already AAC, converting video to HEVC"),
-        (plan("/m/a.mkv", "h264", ["dts", "aac"]), "full", "converting to HEVC / AAC"),
+        (plan("/m/a.mkv", "hevc", ["ac3"]), "audio_only", "video stays hevc, audio from ac3 to AAC"),
+        (plan("/m/a.mkv", "hevc", ["aac", "aac"]), "skip", "nothing to change"),
+        (plan("/m/a.MKV", "hevc", ["aac"]), "skip", "nothing to change"),
+        (plan("/m/a.mp4", "hevc", ["aac"]), "remux", "new container: MKV"),
+        (plan("/m/a.mkv", "h264", ["aac"]), "video_only", "audio stays AAC, video to HEVC"),
+        (plan("/m/a.mkv", "h264", ["dts", "aac"]), "full", "video to HEVC, audio to AAC"),
         (plan("/m/a.mkv", "hevc", ["aac"], efficient=False), "video_only",
-         "audio is already AAC, converting video to HEVC"),
-        (plan("/m/a.mkv", "hevc", []), "audio_only", "video is already hevc, converting audio ? to AAC"),
-        (plan("/m/a.mkv", "hevc", []  , want=("hevc", "copy", "mkv")), "skip", "already exactly right"),
-        (plan("/m/a.mkv", None, None), "full", "converting to HEVC / AAC"),
+         "audio stays AAC, video to HEVC"),
+        (plan("/m/a.mkv", "hevc", []), "audio_only", "video stays hevc, audio from ? to AAC"),
+        (plan("/m/a.mkv", "hevc", []  , want=("hevc", "copy", "mkv")), "skip", "nothing to change"),
+        (plan("/m/a.mkv", None, None), "full", "video to HEVC, audio to AAC"),
         (plan("/m/a.mkv", "av1", ["opus", "dts", "dts"], want=("copy", "aac", "mkv")), "audio_only",
-         "video is already av1, converting audio dts/opus to AAC"),
+         "video stays av1, audio from dts/opus to AAC"),
     ]
     got = values(spark, *[F.struct(c["action"], c["why"]) for c, _, _ in cases])
     assert [tuple(r) for r in got] == [(a, w) for _, a, w in cases]
@@ -141,8 +141,8 @@ def test_quality_and_savings(spark):
     got = values(spark, v(1000, 400), v(1000, 1200), v(1000, 970, 10), v(0, 5), v(5, None), v(10, 10))
     assert [g.ok for g in got] == [True, False, False, True, True, False]
     assert [g.code for g in got] == ["worth_it", "larger", "below_minimum", "unknown", "unknown", "larger"]
-    assert got[1].percent < 0 and got[1].reason == "came out 20% larger"
-    assert got[2].reason == "only saved 3%, below the 10% you asked for"
+    assert got[1].percent < 0 and got[1].reason == "grew by 20 percent"
+    assert got[2].reason == "saves 3 percent, wanted 10"
     assert values(spark, R.projected_ratio(F.lit(200000000), F.lit(50.0), F.lit(10**9)),
                   R.projected_ratio(F.lit(1), F.lit(0.0), F.lit(9))) == [0.4, None]
 
@@ -158,10 +158,10 @@ def test_run_limits(spark):
         o("queued", None, None), o("done", 0, 0), o("running", now - 3000, now - 2700, stall=None),
         o("running", now - 9000, now, limit=None), o("running", now - 7200, now - 1800),
     )
-    over = "Ran for 2.5 hours, longer than the limit of 2 hours. Given up on automatically."
+    over = "Over its time limit: ran 2.5 hours, allowed 2 hours"
     assert got == [
-        None, over, over, "Made no progress for 45 minutes. Given up on automatically.",
-        "Made no progress for 50 minutes. Given up on automatically.", None, None, None, None, None, None,
+        None, over, over, "Stands still: no progress in 45 minutes",
+        "Stands still: no progress in 50 minutes", None, None, None, None, None, None,
     ]
     limit = lambda on, n, unit: R.limit_seconds(F.lit(on), F.lit(n).cast("double"), F.lit(unit))
     assert values(spark, limit(True, 90, "minutes"), limit(True, 2, "days"), limit(True, 0, "hours"),
