@@ -233,10 +233,11 @@ def _may_link(n: str, u: str, m: str, w: str) -> Column:
 
 
 def _rarest(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
-    """key, job_id, n, u, g (its group so far): of each set the rarest keys, of which any link needs one.
+    """key, job_id, n, u, g (its group so far), short: of each set the rarest keys, of which any link needs one.
 
     A set's keys in order of frequency, rarest first: two sets that link share one of the first
-    n - least overlap + 1 of each. Keys that no other set has come before those listed.
+    n - least overlap + 1 of each. Keys that no other set has come before those listed. With a set of its own
+    size or more a set has more in common, so there its first few will do: those are `short`.
     """
     entries = sets.select("job_id", "n", "u", F.explode("keys").alias("key"))
     frequency = entries.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
@@ -245,10 +246,11 @@ def _rarest(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     )
     length = F.col("u") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    few = F.col("u") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT))
     rows = (
-        ordered.select("job_id", "n", "u", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("k"))
+        ordered.select("job_id", "n", "u", F.posexplode(F.slice("keys", F.lit(1), length.cast("int"))).alias("at", "k"))
         .join(groups, F.col("job_id") == F.col("node"), "left")
-        .select("k.key", "job_id", "n", "u", F.coalesce("component", "job_id").alias("g"))
+        .select("k.key", "job_id", "n", "u", F.coalesce("component", "job_id").alias("g"), (F.col("at") <= few).alias("short"))
     )
     return written(rows, folder, "rarest")
 
@@ -297,16 +299,18 @@ def _links_between(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame
         "job_id", "n", "u", "keys", F.coalesce("component", "job_id").alias("g")
     )
     size = placed.groupBy("g").agg(
-        F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("u").alias("most_u")
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("u").alias("most_u")
     )
     mixed = rarest.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
     x = rarest.join(mixed, "key").join(size, "g")
-    large = x.select(
-        "key", F.col("g").alias("into"), F.col("members").alias("many"), F.col("least_n").alias("into_n"), F.col("most_u").alias("into_u")
-    ).distinct()
+    large = x.groupBy("key", F.col("g").alias("into")).agg(
+        F.max("members").alias("many"), F.max("least_n").alias("into_n"), F.max("most_n").alias("into_most"),
+        F.max("most_u").alias("into_u"), F.max("short").alias("into_short"),
+    )
     smaller = F.struct("members", "g") < F.struct("many", F.col("into").alias("g"))
+    near = (F.col("short") & (F.col("n") <= F.col("into_most"))) | (F.col("into_short") & (F.col("n") >= F.col("into_n")))
     asked = (
-        x.join(large, "key").where(smaller & _may_link("n", "u", "into_n", "into_u"))
+        x.join(large, "key").where(smaller & near & _may_link("n", "u", "into_n", "into_u"))
         .select("job_id", "into", "many").distinct()
     )
     asked = written(asked, folder, "asked")
