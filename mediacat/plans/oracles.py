@@ -442,6 +442,18 @@ ORACLES.update(
  cast(sum(size_after) as bigint) as after,
  cast(floor(cast(sum(size_before)-sum(size_after) as double)*100/cast(sum(size_before) as double)) as bigint) as percent
  from v_jobs j left join (select path, height from v_files) f on f.path=j.path where state='done' group by 1,2""",
+        "refused_reports": ctes("v_jobs")
+        + """select case when state not in ('leased','running') then state end as progress_refused_by,
+ case when state in ('cancelled','queued') then state end as completion_refused_by, count(*) as jobs from v_jobs group by 1,2""",
+        "picture_streams": ctes("v_streams")
+        + """select pix_fmt, count(*) as streams, count(*) filter (where color_transfer='smpte2084') as hdr,
+ count(*) filter (where file_id%9=0) as images,
+ count(*) filter (where color_transfer='smpte2084' and file_id%9<>0) as hdr_pictures
+ from v_streams where codec_type='video' group by 1""",
+        "resolved_specs": ctes("v_specs")
+        + """select video as codec, container, case when audio='' then 'aac' else audio end as audio, subtitle_mode,
+ bit_depth, downmix, '160k' as audio_bitrate, cast(22 as bigint) as quality, 'eng' as languages, count(*) as jobs
+ from v_specs group by all""",
         "retry_rungs": ctes("v_jobs", "v_libraries", "v_retry")
         + ", " + LADDERS
         + """ select id, array_to_string(ladder,',') as ladder,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediacat.functions import constants as K
 from mediacat.functions import names as N
 from mediacat.functions import paths, rules
+from mediacat.functions import tracks as T
 from mediacat.operators import (
     audit, keyed, ledger, logs, matching, nodes, originals, outcomes, progress, scan, tracks,
 )
@@ -497,6 +498,16 @@ def overrun_jobs(v: Views) -> DataFrame:
     )
 
 
+@query
+def refused_reports(v: Views) -> DataFrame:
+    """What a progress report and a completion would meet now, for every job: the state that refuses them."""
+    jobs = v.jobs(sizes=False)
+    return jobs.select(
+        outcomes.refused(F.col("state"), False).alias("progress_refused_by"),
+        outcomes.refused(F.col("state"), True).alias("completion_refused_by"),
+    ).groupBy("progress_refused_by", "completion_refused_by").agg(F.count(F.lit(1)).alias("jobs"))
+
+
 # ---- originals -----------------------------------------------------------
 
 
@@ -719,6 +730,21 @@ def track_titles(v: Views) -> DataFrame:
     return tracks.track_titles(v.streams())
 
 
+@query
+def picture_streams(v: Views) -> DataFrame:
+    """High dynamic range and cover art among the video streams; in every ninth file the picture is attached art."""
+    attached = (F.col("file_id") % 9 == 0).cast("int")
+    video = v.streams().where("codec_type = 'video'")
+    flags = video.select(
+        "pix_fmt", T.is_hdr(F.col("color_transfer")).alias("hdr"),
+        T.is_image(F.col("codec_type"), F.col("codec_name"), attached).alias("image"),
+    )
+    return flags.groupBy("pix_fmt").agg(
+        F.count(F.lit(1)).alias("streams"), F.count_if("hdr").alias("hdr"), F.count_if("image").alias("images"),
+        F.count_if(F.col("hdr") & ~F.col("image")).alias("hdr_pictures"),
+    )
+
+
 # ---- logs and settings ---------------------------------------------------
 
 
@@ -778,6 +804,25 @@ def spec_audit(v: Views) -> DataFrame:
     return audit.rule_counts(mended).unionByName(repaired)
 
 
+@query
+def resolved_specs(v: Views) -> DataFrame:
+    """Job specs that library settings expand to; blank settings fall back."""
+    specs = v.specs().withColumnsRenamed({"audio": "audio_codec", "video": "video_codec"})
+    kinds = {"audio_languages_list": "array<string>", "subtitle_languages": "array<string>", "min_saving_percent": "double",
+             "crf_override": "int", "quality_level": "string", "audio_language_mode": "string", "hdr_mode": "string",
+             "audio_bitrate": "string"}
+
+    def field(name: str) -> Column:
+        return F.col(name) if name in specs.columns else F.lit(None).cast(kinds.get(name, "boolean"))
+
+    return (
+        specs.withColumn("s", audit.resolve_profile(field))
+        .groupBy("s.codec", "s.container", "s.audio", "s.subtitle_mode", "s.bit_depth", "s.downmix", "s.audio_bitrate",
+                 F.col("s.quality").cast("bigint").alias("quality"), F.array_join("s.audio_languages", ",").alias("languages"))
+        .agg(F.count(F.lit(1)).alias("jobs"))
+    )
+
+
 # ---- events --------------------------------------------------------------
 
 
