@@ -1,10 +1,10 @@
 """Fuzzy matching of parsed titles against a title catalogue.
 
-A catalogue title is a candidate when it contains more than half of the query's words. To find
-those without comparing every pair, a query looks up only the rarer half of its words: a title
-that shared none of them could not reach the majority. Strings are compared once per distinct
-pair; years and popularity are brought in afterwards from per-year summaries, so that repeated
-titles on either side do not multiply.
+A catalogue title is a candidate when it has more than half of the query's words, a slip in each allowed, or
+is the query with other word breaks. To find those without comparing every pair, a query looks up only
+the rarer half of its words, and of each the forms that a slip leaves in common: a title that shared none of
+them could not reach the majority. Strings are compared once per distinct pair; years and popularity are
+brought in afterwards from per-year summaries, so that repeated titles on either side do not multiply.
 """
 
 from __future__ import annotations
@@ -29,12 +29,31 @@ def _ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
     )
 
 
+def _variants(word: Column) -> Column:
+    """The word, and from five letters on all that it becomes by losing one: words one slip apart share one."""
+    places = F.sequence(F.lit(1), F.length(word))
+    lost = F.transform(
+        places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.length(word)))
+    )
+    return F.when(F.length(word) >= 5, F.array_distinct(F.concat(F.array(word), lost))).otherwise(F.array(word))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Equal, or one letter changed, missing, extra or swapped with its neighbour, in words of five or more."""
+    close = F.levenshtein(a, b) <= 2
+    return F.when(a == b, F.lit(True)).when(close, F.arrays_overlap(_variants(a), _variants(b))).otherwise(F.lit(False))
+
+
 def candidate_pairs(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """Distinct (is_tv, q, t) where t contains more than half of q's words."""
+    """Distinct (is_tv, q, t) where t has more than half of q's words, give or take a slip in each, or is q
+    with other word breaks (and a slip at most)."""
 
     def words(text: str) -> Column:
         return F.array_distinct(F.split(F.col(text), " "))
 
+    def squeezed(text: str) -> Column:
+        return F.replace(F.col(text), F.lit(" "), F.lit(""))
+
     q = queries.select("is_tv", "q").distinct()
     t = titles.select("is_tv", "t").distinct()
     title_words = t.select("is_tv", "t", F.explode(words("t")).alias("w"))
@@ -44,16 +63,17 @@ def candidate_pairs(queries: DataFrame, titles: DataFrame) -> DataFrame:
     ).join(frequency, ["is_tv", "w"], "left")
     rarest = W.partitionBy("is_tv", "q").orderBy(F.coalesce(F.col("n"), F.lit(0)), "w")
     probes = query_words.withColumn("__k", F.row_number().over(rarest)).where(
-        (F.col("__k") <= F.ceil(F.col("total") / 2)) & F.col("n").isNotNull()
-    )
-    shared = F.size(F.array_intersect(words("q"), words("t")))
-    return (
-        probes.select("is_tv", "w", "q", "total")
-        .join(title_words, ["is_tv", "w"])
-        .where(shared * 2 > F.col("total"))
-        .select("is_tv", "q", "t")
-        .distinct()
+        F.col("__k") <= F.ceil(F.col("total") / 2)
     )
+    asked = probes.select("is_tv", "q", "w").unionByName(q.select("is_tv", "q", squeezed("q").alias("w")))
+    held = title_words.unionByName(t.select("is_tv", "t", squeezed("t").alias("w")))
+
+    def keyed(df: DataFrame, text: str) -> DataFrame:
+        return df.select("is_tv", text, F.explode(_variants(F.col("w"))).alias("v")).distinct()
+
+    shared = F.size(F.filter(words("q"), lambda a: F.exists(words("t"), lambda b: _near(a, b))))
+    found = keyed(asked, "q").join(keyed(held, "t"), ["is_tv", "v"]).select("is_tv", "q", "t").distinct()
+    return found.where((shared * 2 > F.size(words("q"))) | _near(squeezed("q"), squeezed("t")))
 
 
 def _year_term(year: Column, want: Column) -> Column:

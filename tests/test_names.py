@@ -127,6 +127,45 @@ def test_matching_equals_brute_force(spark):
     assert len(got) > 60 and all(0.62 <= r.confidence <= 1.0 for r in got)
 
 
+def test_titles_with_slips_are_found(spark):
+    """A slip in a word, a missing word, other word breaks: what comparing with every title finds."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnoprstuvw"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 9))) for _ in range(700)]
+    catalogue = [(i, " ".join(rng.sample(words, rng.randint(1, 4))), None, 1.0, False) for i in range(400)]
+    wanted = []
+    for i, name, *_ in catalogue[:320]:
+        own = name.split(" ")
+        k, w = rng.randrange(len(own)), None
+        w, at = own[k], rng.randrange(len(own[k]) - 1)
+        kind = i % 6
+        if kind == 0:
+            own[k] = w[:at] + w[at + 1 :]
+        elif kind == 1:
+            own[k] = w[:at] + rng.choice(letters) + w[at:]
+        elif kind == 2:
+            own[k] = w[:at] + w[at + 1] + w[at] + w[at + 2 :]
+        elif kind == 3:
+            own[k] = w[:at] + rng.choice(letters) + w[at + 1 :]
+        elif kind == 4 and len(own) > 2:
+            own.pop(k)
+        else:
+            own = ["".join(own)] if len(own) < 3 else [own[0] + own[1], *own[2:]]
+        wanted.append((" ".join(own), None, False))
+    got = matching.match_titles(
+        spark.createDataFrame(wanted, "title string, year int, is_tv boolean"),
+        spark.createDataFrame(catalogue, "title_id bigint, title string, year int, popularity double, is_tv boolean"),
+    ).collect()
+    want = {}
+    for q, _, _ in wanted:
+        score = {i: difflib.SequenceMatcher(None, name, q).ratio() + 0.001 for i, name, *_ in catalogue}
+        best = min(score, key=lambda i: (-score[i], i))
+        if score[best] >= 0.62:
+            want[q] = best
+    found = {r.q: r.title_id for r in got}
+    assert len(want) > 300 and {q: found.get(q) for q in want} == want
+
+
 def test_enrichment(spark):
     names = spark.createDataFrame(
         [(1, "The.Show.S02E05.1080p.mkv"), (2, "Nothing.Like.It.2001.mkv"), (3, "Old.Film.1999.mkv")], "i int, name string"
