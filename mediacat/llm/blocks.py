@@ -24,7 +24,7 @@ ANSWERS = "block bigint, bucket int, bits binary"
 LAST = np.iinfo(np.int64).max
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text each."""
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64)
     part = np.cumsum(sizes) // limit
@@ -52,9 +52,11 @@ def in_blocks(logs: DataFrame, folder: str, job_id: str, log: str, carry: list[s
     """A written table of blocks: block, ids, sizes and body (the logs, see texts_of; NULLs stay), and, if
     asked, `carried`: a struct of other columns for each log, which nothing looks into."""
 
+    limit = BLOCK_BYTES
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, limit):
                 ends = pa.array([0, len(part)], pa.int32())
                 sizes, body = squeezed(part.column(1))
                 lists = [pa.ListArray.from_arrays(ends, c) for c in [part.column(0), *part.columns[2:]]]

@@ -59,25 +59,13 @@ def incidence(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray,
     return owners, keys, np.bincount(owners, minlength=len(texts))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about `limit` bytes of text each."""
-    texts = batch.column(column)
-    at, held = 0, 0
-    for i in range(len(batch)):
-        held += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-        if held >= limit:
-            yield batch.slice(at, i + 1 - at)
-            at, held = i + 1, 0
-    if at < len(batch):
-        yield batch.slice(at)
-
-
 def _column_blocks(buckets: int):
     """Incidence columns of each batch, cut into blocks by key, prefixes only."""
+    limit = BATCH_BYTES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in B.slices(batch, 1, limit):
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 owners, keys, n = incidence(part.column(1).to_pylist())
                 first = np.cumsum(n) - n
