@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mediacat.llm.shared import written
 
-BLOCK_BYTES = 3 << 19
+BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 128
 ENTRIES = "block bigint, bucket int, keys binary, facts binary"

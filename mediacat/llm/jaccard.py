@@ -20,7 +20,7 @@ PERCENT = 75
 EXTRA_PERCENT = 15
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 128
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 1 << 20
 TILE = 512
 COLUMNS = 2048
 SEEDS = (0x1B873593, 0xCC9E2D51, 0x85EBCA6B, 0x27D4EB2F)

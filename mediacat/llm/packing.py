@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -102,15 +103,28 @@ class Tokens:
 
 
 _TOKENS: dict[str, Tokens] = {}
+_FORGET: list[threading.Timer] = []
+IDLE_S = 4.0
 
 
 def tokens_of(tokenizer_file: str) -> Tokens:
-    """One per Python worker, which runs task after task."""
+    """One per Python worker, which runs task after task; see `idle`."""
+    while _FORGET:
+        _FORGET.pop().cancel()
     if tokenizer_file not in _TOKENS:
         _TOKENS[tokenizer_file] = Tokens(tokenizer_file)
     return _TOKENS[tokenizer_file]
 
 
+def idle() -> None:
+    """A task is done. Unless another begins within IDLE_S, the worker forgets its runs, so that they take no
+    memory from what it does next."""
+    timer = threading.Timer(IDLE_S, _TOKENS.clear)
+    timer.daemon = True
+    timer.start()
+    _FORGET.append(timer)
+
+
 def token_pieces(logs: DataFrame, tokenizer_file: str, job_id: str = "job_id", log: str = "log", length: int = SEQUENCE) -> DataFrame:
     """Each log's token ids with an end id, cut into pieces of `length`; only the last may be shorter.
 
@@ -130,6 +144,7 @@ def token_pieces(logs: DataFrame, tokenizer_file: str, job_id: str = "job_id", l
                         rows.append((name, n, start, len(piece), zlib.crc32(piece.tobytes())))
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, PART_TYPE)], names=[f.name for f in PART_TYPE])
+        idle()
 
     return logs.select(F.col(job_id).cast("bigint").alias("job_id"), F.col(log).alias("log")).mapInArrow(cut, PIECES)
 

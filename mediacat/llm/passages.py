@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mediacat.llm import blocks as B
 from mediacat.llm.shared import shared_folder
