@@ -243,36 +243,98 @@ def _rarest(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
     return written(rows, folder, "rarest")
 
 
-def _tile_product(table: pa.Table) -> pa.Table:
-    """The incidence product of a tile's rows (side 0) and columns (side 1): pairs with overlap enough.
+def _linked(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The incidence product of the sets `rows` and the sets `columns`: where the overlap is enough for a link.
 
     Only keys that both sides have are looked at, in blocks of columns; overlap counts add up over the
     blocks, and pairs below what their sizes require are discarded.
     """
-    side = table.column("side").to_numpy()
-    ids, n = table.column("job_id").to_numpy(), table.column("n").to_numpy()
-    lists = table.column("keys").combine_chunks()
-    owner, keys = _flat(lists)
-    row_of = np.cumsum(side == 0) - 1
-    column_of = np.cumsum(side == 1) - 1
-    common = np.intersect1d(keys[side[owner] == 0], keys[side[owner] == 1])
+    number = np.full((2, len(n)), -1)
+    number[0, rows], number[1, columns] = np.arange(len(rows)), np.arange(len(columns))
+    common = np.intersect1d(keys[number[0, owner] >= 0], keys[number[1, owner] >= 0])
     place = np.searchsorted(common, keys)
     place[place == len(common)] = 0
     used = common[place] == keys if len(common) else np.zeros(len(keys), bool)
     owner, place = owner[used], place[used]
-    overlap = np.zeros((int((side == 0).sum()), int((side == 1).sum())), np.float32)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    overlap = np.zeros((len(rows), len(columns)), np.float32)
     for at in range(0, len(common), COLUMNS):
-        mine = (place >= at) & (place < at + COLUMNS)
+        low, high = np.searchsorted(place, (at, at + COLUMNS))
         parts = []
-        for s, number in ((0, row_of), (1, column_of)):
-            own = mine & (side[owner] == s)
-            part = np.zeros((overlap.shape[s], COLUMNS), np.float32)
-            part[number[owner[own]], place[own] - at] = 1
+        for side in (0, 1):
+            mine = number[side, owner[low:high]]
+            part = np.zeros((overlap.shape[side], COLUMNS), np.float32)
+            part[mine[mine >= 0], place[low:high][mine >= 0] - at] = 1
             parts.append(part)
         overlap += parts[0] @ parts[1].T
-    sizes = n[side == 0][:, None] + n[side == 1][None, :]
-    r, c = np.nonzero(overlap * (100 + PERCENT) >= PERCENT * sizes)
-    return pa.table([pa.array(ids[side == 0][r]), pa.array(ids[side == 1][c])], names=["a", "b"])
+    return overlap * (100 + PERCENT) >= PERCENT * (n[rows][:, None] + n[columns][None, :])
+
+
+def _tile_product(table: pa.Table) -> pa.Table:
+    """Links between a tile's rows (side 0) and columns (side 1)."""
+    side = table.column("side").to_numpy()
+    ids, n = table.column("job_id").to_numpy(), table.column("n").to_numpy()
+    rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    r, c = np.nonzero(_linked(*_flat(table.column("keys").combine_chunks()), n, rows, columns))
+    return pa.table([pa.array(ids[rows[r]]), pa.array(ids[columns[c]])], names=["a", "b"])
+
+
+def _any_of_one_id(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the same id as one: the rows, and where each id is first."""
+    _, first, back = np.unique(ids, return_index=True, return_inverse=True)
+    if len(first) == len(ids):
+        return linked[first], first
+    one = np.zeros((len(first), linked.shape[1]), bool)
+    np.logical_or.at(one, back, linked)
+    return one, first
+
+
+def _tile_counts(table: pa.Table) -> pa.Table:
+    """Of a tile of one group, how many logs each set's own links lead to. A tile without columns is a slice of the
+    group against itself."""
+    side = table.column("side").to_numpy()
+    ids, n, copies = [table.column(c).to_numpy() for c in ("job_id", "n", "copies")]
+    rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    itself = not len(columns)
+    columns = rows if itself else columns
+    linked = _linked(*_flat(table.column("keys").combine_chunks()), n, rows, columns)
+    linked, r = _any_of_one_id(linked, ids[rows])
+    linked, c = _any_of_one_id(linked.T, ids[columns])
+    linked, rows, columns = linked.T, rows[r], columns[c]
+    if itself:
+        linked[np.arange(len(rows)), np.arange(len(rows))] = False
+    name, count = ids[rows], linked @ copies[columns]
+    if not itself:
+        name, count = np.concatenate([name, ids[columns]]), np.concatenate([count, linked.T @ copies[rows]])
+    return pa.table([pa.array(name[count > 0]), pa.array(count[count > 0])], names=["job_id", "links"])
+
+
+def _counts_within(sets: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """job_id, links: how many logs each set links to among the sets of its own group.
+
+    A group is cut into slices of about TILE sets; each two slices meet in a tile, and a tile gives a row a
+    set at most, so no pairs are formed.
+    """
+    shape = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("slices"))
+    members = sets.join(groups, F.col("job_id") == F.col("node")).join(shape, "component")
+    copies = classes.select(F.col("first").alias("job_id"), "copies")
+    own = F.pmod(F.xxhash64("job_id"), F.col("slices")).cast("int")
+    rows = members.join(copies, "job_id").select(
+        "component", "job_id", "n", "copies", "keys", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
+    )
+    rows = rows.select(
+        "component", "job_id", "n", "copies", "keys", F.least("own", "other").alias("d"), F.greatest("own", "other").alias("a"),
+        (F.col("other") < F.col("own")).cast("int").alias("side"),
+    )
+    return rows.groupBy("component", "d", "a").applyInArrow(_tile_counts, "job_id bigint, links bigint")
+
+
+def _counts_between(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """job_id, links: how many logs each set links to by `links` (a, b)."""
+    pairs = links.distinct()
+    ways = pairs.select(F.col("a").alias("job_id"), F.col("b").alias("first")).union(pairs.select("b", "a"))
+    return ways.join(classes.select("first", "copies"), "first").groupBy("job_id").agg(F.sum("copies").alias("links"))
 
 
 def _links_between(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
@@ -317,7 +379,7 @@ def _links_between(sets: DataFrame, groups: DataFrame, folder: str) -> DataFrame
     return tiles.applyInArrow(_tile_product, "a bigint, b bigint")
 
 
-def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> DataFrame:
+def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log", counts: bool = False) -> DataFrame:
     """Job logs with a shingle similarity of 0.75 or more, as groups: job_id, n_shingles, component_id.
 
     The document by shingle incidence matrix is multiplied with its transpose in blocks, but only where
@@ -332,6 +394,9 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
     with the larger group, tile by tile. Every link is counted exactly (64-bit keys stand for shingles);
     component_id is the smallest job id that links lead to.
 
+    With `counts` there is also n_links, the number of logs that a log links to itself, copies included: (5) the
+    rows of a group of step 3 are multiplied with each other tile by tile, and only the counts leave a tile.
+
     NULL, empty and blank logs have no shingles and no links. Rows with the same job id give one row and
     link as any of them does. No rows give no rows; other columns are not looked at.
     """
@@ -348,7 +413,9 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
         folder, "logs",
     )
     some = every.where("n > 0")
-    classes = written(some.groupBy("n", "digest").agg(F.min("job_id").alias("first"), F.max("shared").alias("shared")), folder, "classes")
+    classes = written(some.groupBy("n", "digest").agg(
+        F.min("job_id").alias("first"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies")
+    ), folder, "classes")
     other = -(-F.col("n") * PERCENT / 100)
     needed = F.greatest(F.lit(1), F.ceil(F.ceil(other) * EXTRA_PERCENT / 100))
     rows = classes.where(F.col("shared") >= needed).select(F.col("first").alias("job_id"))
@@ -369,8 +436,12 @@ def link_logs(logs: DataFrame, job_id: str = "job_id", log: str = "log") -> Data
     final = components(links.union(more), folder, "groups")
 
     named = classes.join(final, classes["first"] == final["node"], "left").select(
-        "n", "digest", F.coalesce("component", "first").alias("component_id")
-    )
-    return every.join(named, ["n", "digest"], "left").select(
-        "job_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "job_id").alias("component_id")
+        "first", "n", "digest", "copies", F.coalesce("component", "first").alias("component_id")
     )
+    found = ["job_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "job_id").alias("component_id")]
+    if counts:
+        each = _counts_within(sets, groups, classes).unionByName(_counts_between(more, classes))
+        each = each.groupBy(F.col("job_id").alias("first")).agg(F.sum("links").alias("links"))
+        named = named.join(each, "first", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        found.append(F.coalesce("links", F.lit(0)).alias("n_links"))
+    return every.join(named, ["n", "digest"], "left").select(*found)

@@ -128,6 +128,19 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GR
 """
 
 
+@query
+def incidence_link_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What op6 gives, and how many documents each document links to itself."""
+    return _by_doc(jaccard.link_logs(_logs(spark, folder), counts=True))
+
+
+# The SQL of op6 and a count of each document's links.
+ORACLES["incidence_link_counts"] = ORACLES["op6_incidence_product"].replace(
+    "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,",
+    "SELECT d.doc_id, (SELECT count(*) FROM ways WHERE ways.a = d.doc_id) AS n_links, coalesce(n.n, 0) AS n_shingles,",
+)
+
+
 @query
 def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a WARC record, written and read back."""

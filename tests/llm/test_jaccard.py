@@ -69,3 +69,33 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (70, 60), (80, 80)]
     got = components(spark.createDataFrame(links, "a bigint, b bigint"), shared_folder(spark), "c").collect()
     assert {r.node: r.component for r in got} == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, 70: 50}
+
+
+def counts_by_hand(rows):
+    sets = {j: shingles(t) for j, t in rows}
+    both = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b}
+    linked = [a for (a, b), c in both.items() if c and 100 * c >= 75 * (len(sets[a]) + len(sets[b]) - c)]
+    return sorted((j, len(s), linked.count(j)) for j, s in sets.items())
+
+
+@pytest.mark.parametrize("seed, tile", [(1, 512), (2, 7)])
+def test_link_counts(spark, monkeypatch, seed, tile):
+    """Groups of copies and different near copies, in one tile and in several: every link of every log is counted."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = logs(seed)
+    got = jaccard.link_logs(frame(spark, rows), counts=True).collect()
+    assert sorted((r.job_id, r.n_shingles, r.n_links) for r in got) == counts_by_hand(rows)
+    assert sorted((r.job_id, r.n_shingles, r.component_id) for r in got) == groups_by_hand(rows)
+    assert sum(r.n_links > 1 for r in got) > 15
+
+
+def test_link_counts_of_chains_and_odd_rows(spark):
+    """Links in a group whose ends are not alike; an id that repeats is one log."""
+    w = [f"w{i}" for i in range(400)]
+    rows = [(i + 1, " ".join(w[4 * i : 4 * i + 100])) for i in range(60)]
+    got = jaccard.link_logs(frame(spark, rows), counts=True).collect()
+    assert sorted((r.job_id, r.n_shingles, r.n_links) for r in got) == counts_by_hand(rows)
+    near = " ".join(w[:100])
+    rows = [(1, near), (1, near), (2, near + " x"), (3, near + " y z"), (4, None), (5, near + " x")]
+    got = jaccard.link_logs(frame(spark, rows), counts=True).collect()
+    assert sorted((r.job_id, r.n_links) for r in got) == [(1, 3), (2, 3), (3, 3), (4, 0), (5, 3)]
