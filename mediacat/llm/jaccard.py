@@ -268,7 +268,7 @@ def _linked(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, rows: np.ndarray
             part[mine[mine >= 0], place[low:high][mine >= 0] - at] = 1
             parts.append(part)
         overlap += parts[0] @ parts[1].T
-    return overlap * (100 + PERCENT) >= PERCENT * (n[rows][:, None] + n[columns][None, :])
+    return overlap.astype(np.int64) * (100 + PERCENT) >= PERCENT * (n[rows][:, None] + n[columns][None, :])
 
 
 def _tile_product(table: pa.Table) -> pa.Table:

@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from mediacat.llm import blocks as B
@@ -99,3 +101,15 @@ def test_link_counts_of_chains_and_odd_rows(spark):
     rows = [(1, near), (1, near), (2, near + " x"), (3, near + " y z"), (4, None), (5, near + " x")]
     got = jaccard.link_logs(frame(spark, rows), counts=True).collect()
     assert sorted((r.job_id, r.n_links) for r in got) == [(1, 3), (2, 3), (3, 3), (4, 0), (5, 3)]
+
+
+@pytest.mark.parametrize("less, linked", [(0, 1), (1, 0)])
+def test_long_logs_at_the_threshold(less, linked):
+    """95,871 common shingles and sizes summing to 223,699 are 0.75 exactly; with one shingle less they are not."""
+    common, n = 95_871 - less, 223_699
+    sides = [np.arange(common), np.arange(common)]
+    tile = pa.table({
+        "side": [0, 1], "job_id": [1, 2], "n": pa.array([n // 2, n - n // 2], pa.int64()),
+        "keys": pa.array(sides, pa.list_(pa.int64())),
+    })
+    assert jaccard._tile_product(tile).num_rows == linked
