@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediacat.llm.shared import shared_folder, written
+
 TERM = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
@@ -52,6 +54,17 @@ def split_item(text: str | None) -> tuple[str, str]:
     return (" ".join(parts[:-1]) or text or "", parts[-1]) if parts else ("", "")
 
 
+@dataclass
+class Whole:
+    """What an index takes from all items, also where it holds only some: how many there are, their average
+    and largest length, and in how many of them a term is."""
+
+    n: int
+    average: float
+    longest: int
+    frequency: dict[str, int]
+
+
 @dataclass
 class Index:
     """Inverted index of items in BM25 impacts, each item's own score being 1.
@@ -71,16 +84,21 @@ class Index:
     longest: int
 
 
-def build_index(items: list[tuple[int, str | None, str | None]]) -> Index:
+def build_index(items: list[tuple[int, str | None, str | None]], whole: Whole | None = None) -> Index:
+    """The index of `items`; `whole` tells of all items where these are a part of them."""
     texts = [terms(q) + terms(a) for _, q, a in items]
     words = {w: i for i, w in enumerate(sorted(set().union(*texts)))}
-    n, average = len(items), max(1.0, sum(map(len, texts)) / max(1, len(texts)))
+    n = len(items)
+    length = np.array([len(t) for t in texts])
     tf = np.zeros((len(words), n), np.float32)
     for i, t in enumerate(texts):
         np.add.at(tf[:, i], [words[w] for w in t], 1)
     df = (tf > 0).sum(1)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    length = np.array([len(t) for t in texts])
+    if whole is None:
+        whole = Whole(n, sum(map(len, texts)) / max(1, n), int(length.max(initial=0)), dict(zip(words, df.tolist())))
+    df = np.array([whole.frequency[w] for w in words], np.int64)
+    idf = np.log1p((whole.n - df + 0.5) / (df + 0.5))
+    average = max(1.0, whole.average)
     impact = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
     impact = impact / np.maximum(impact.sum(0), 1e-9)
     starts = np.arange(0, n, BLOCK_ITEMS)
@@ -88,7 +106,7 @@ def build_index(items: list[tuple[int, str | None, str | None]]) -> Index:
     return Index(
         [i for i, _, _ in items], words, impact.astype(np.float32), block_max.astype(np.float32),
         block_max.max(1).astype(np.float32) if len(words) else np.zeros(0, np.float32),
-        [grams(terms(q)) for _, q, _ in items], [grams(terms(a)) for _, _, a in items], int(length.max(initial=0)),
+        [grams(terms(q)) for _, q, _ in items], [grams(terms(a)) for _, _, a in items], whole.longest,
     )
 
 
@@ -112,14 +130,14 @@ def retrieve(index: Index, words: list[str], threshold: float = THRESHOLD) -> li
     np.cumsum(index.most[known], out=run[1:])
     low, high = np.searchsorted(place, starts), np.searchsorted(place, starts + width)
     out = []
-    for p in np.flatnonzero(run[high] - run[low] >= threshold):
+    for p in np.flatnonzero(run[high] - run[low] >= threshold - 1e-4):
         own = np.unique(known[low[p] : high[p]])
-        if index.most[own].sum() < threshold:
+        if index.most[own].sum() < threshold - 1e-4:
             continue
         bounds = index.block_max[own].sum(0)
         for block in np.flatnonzero(bounds >= threshold - 1e-4):
             first = block * BLOCK_ITEMS
-            scores = index.impact[own, first : first + BLOCK_ITEMS].sum(0)
+            scores = index.impact[own, first : first + BLOCK_ITEMS].sum(0, dtype=np.float64)
             for i in np.flatnonzero(scores >= threshold):
                 out.append((int(starts[p]), int(starts[p] + width), first + int(i), float(scores[i])))
     return out
@@ -150,7 +168,8 @@ def find_leaks(
     `overlap` of the three-word runs of the item's question and of its answer.
 
     The index of at most CHUNK_ITEMS items goes to every task; more items are dealt by hash into chunks of
-    half that size, each a pass over the logs, so what is sent out does not grow with the item table. NULL and empty logs or items match
+    half that size, each a pass over the logs, so what is sent out does not grow with the item table. Weights and
+    passages come from all items, so a row does not depend on the chunk that its item is in. NULL and empty logs or items match
     nothing; repeated rows give a row each, repeated items one for each item row; other columns are not
     looked at. Nothing is shuffled.
     """
@@ -166,10 +185,35 @@ def indexes(items: DataFrame) -> Iterator[Index]:
     """Indexes over all items (id, question, answer), none of more than about CHUNK_ITEMS."""
     wanted = items.toDF("item_id", "question", "answer").withColumn("item_id", F.col("item_id").cast("bigint"))
     total = wanted.count()
-    chunks = 1 if total <= CHUNK_ITEMS else -(-total // (CHUNK_ITEMS // 2))
+    if total <= CHUNK_ITEMS:
+        yield build_index([tuple(r) for r in wanted.collect() if terms(r[1]) or terms(r[2])])
+        return
+    chunks = -(-total // (CHUNK_ITEMS // 2))
+    dealt = wanted.withColumn("chunk", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(chunks)).cast("int"))
+    length = dealt.mapInArrow(_lengths, "length bigint").where("length > 0")
+    n, words, longest = length.agg(F.count("length"), F.sum("length"), F.max("length")).first()
+    counts = dealt.mapInArrow(_chunk_terms, "chunk int, term string").groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = counts.groupBy("term").agg(F.collect_list("chunk").alias("chunks"), F.sum("df").alias("df"))
+    frequency = written(frequency, shared_folder(items.sparkSession), "frequency")
     for chunk in range(chunks):
-        mine = wanted.where(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(chunks)) == chunk)
-        yield build_index([tuple(r) for r in mine.collect() if terms(r[1]) or terms(r[2])])
+        mine = [tuple(r) for r in dealt.where(F.col("chunk") == chunk).drop("chunk").collect() if terms(r[1]) or terms(r[2])]
+        own = frequency.where(F.array_contains("chunks", chunk)).select("term", "df").collect()
+        yield build_index(mine, Whole(n, (words or 0) / max(1, n), longest or 0, {r.term: r.df for r in own}))
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([len(terms(q)) + len(terms(a)) for q, a in texts], pa.int64())], names=["length"])
+
+
+def _chunk_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunk of each item and every distinct term of it."""
+    for batch in batches:
+        got = [(c, t) for _, q, a, c in zip(*[c.to_pylist() for c in batch.columns]) for t in {*terms(q), *terms(a)}]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([c for c, _ in got], pa.int32()), pa.array([t for _, t in got], pa.string())], names=["chunk", "term"]
+        )
 
 
 def without_leaks(

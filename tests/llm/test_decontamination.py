@@ -69,3 +69,21 @@ def test_items_of_the_benchmark(spark):
     for i, t in texts.items():
         q, a = D.split_item(t)
         assert D.terms(got[i].question) == D.terms(q) and D.terms(got[i].answer) == D.terms(a)
+
+
+def test_chunks_change_no_figure(spark, monkeypatch):
+    """Items of different lengths, copied in part so that scores lie about the threshold: all columns are the same."""
+    rng = random.Random(5)
+    known = [(i, text(rng, rng.randrange(8, 90)), text(rng, rng.randrange(1, 9))) for i in range(70)]
+    tests = spark.createDataFrame([(i, q, a, "clash", "x") for i, q, a in known] + [(90, None, None, "", ""), (91, "", "", "", "")], ITEM)
+    rows = []
+    for i in range(210):
+        words = (known[i % 70][1] + " " + known[i % 70][2]).split()
+        part = words[int(len(words) * rng.uniform(0.2, 0.5)) :]
+        rows.append((i, text(rng, 120) + " " + " ".join(part) + " " + text(rng, 90)))
+    logs = frame(spark, rows)
+    whole = sorted(map(tuple, D.find_leaks(logs, tests).collect()))
+    assert 20 < len(whole) < 210
+    monkeypatch.setattr(D, "CHUNK_ITEMS", 30)
+    assert sorted(map(tuple, D.find_leaks(logs, tests).collect())) == whole
+    assert sorted(r.job_id for r in D.without_leaks(logs, tests).collect()) == sorted({j for j, _ in rows} - {r[0] for r in whole})
