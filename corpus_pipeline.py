@@ -42,7 +42,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay as they are."""
-    return decontamination.without_leaks(docs, benchmark_items(spark, sf_dir), "text")
+    return decontamination.without_leaks(docs, benchmark_items(spark, sf_dir), "text", split=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

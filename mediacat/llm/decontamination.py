@@ -48,6 +48,11 @@ def held(part: set[tuple[str, ...]], words: list[str]) -> float:
     return len(part & grams(words, len(next(iter(part))))) / len(part) if part else 1.0
 
 
+def text_grams(question: str | None, answer: str | None) -> set[tuple[str, ...]]:
+    """The runs of question and answer as one text."""
+    return grams(terms(question) + terms(answer))
+
+
 def split_item(text: str | None) -> tuple[str, str]:
     """Question and answer of an item given as one text: the last sentence answers the rest."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if terms(p)]
@@ -82,10 +87,12 @@ class Index:
     question: list[set]
     answer: list[set]
     longest: int
+    text: list[set] | None  # question and answer as one, where answers were split off
 
 
-def build_index(items: list[tuple[int, str | None, str | None]], whole: Whole | None = None) -> Index:
-    """The index of `items`; `whole` tells of all items where these are a part of them."""
+def build_index(items: list[tuple[int, str | None, str | None]], whole: Whole | None = None, split: bool = False) -> Index:
+    """The index of `items`; `whole` tells of all items where these are a part of them. split: the answers were split
+    off the items' texts."""
     texts = [terms(q) + terms(a) for _, q, a in items]
     words = {w: i for i, w in enumerate(sorted(set().union(*texts)))}
     n = len(items)
@@ -107,6 +114,7 @@ def build_index(items: list[tuple[int, str | None, str | None]], whole: Whole |
         [i for i, _, _ in items], words, impact.astype(np.float32), block_max.astype(np.float32),
         block_max.max(1).astype(np.float32) if len(words) else np.zeros(0, np.float32),
         [grams(terms(q)) for _, q, _ in items], [grams(terms(a)) for _, _, a in items], whole.longest,
+        [text_grams(q, a) for _, q, a in items] if split else None,
     )
 
 
@@ -149,7 +157,7 @@ def leaks_in(index: Index, text: str | None, threshold: float = THRESHOLD, overl
     best: dict[int, list] = {}
     for start, end, item, score in retrieve(index, words, threshold):
         q, a = held(index.question[item], words[start:end]), held(index.answer[item], words[start:end])
-        if q >= overlap and a >= overlap:
+        if (q >= overlap and a >= overlap) or (index.text and held(index.text[item], words[start:end]) >= overlap):
             found = best.setdefault(item, [0, start, score, q, a])
             found[0] += 1
             if score > found[2]:
@@ -160,12 +168,14 @@ def leaks_in(index: Index, text: str | None, threshold: float = THRESHOLD, overl
 def find_leaks(
     logs: DataFrame, items: DataFrame, job_id: str = "job_id", log: str = "log", item_id: str = "item_id",
     question: str = "question", answer: str = "answer", threshold: float = THRESHOLD, overlap: float = OVERLAP,
+    split: bool = False,
 ) -> DataFrame:
     """Which logs hold which test items: a row for each log and item, with the best passage's figures.
 
     Every log is cut into overlapping passages; each is a query against the items' index. Items that
     score `threshold` of their own score or more are checked word by word: a passage must hold at least
-    `overlap` of the three-word runs of the item's question and of its answer.
+    `overlap` of the three-word runs of the item's question and of its answer. With `split` the answers are not given
+    but split off the items' texts: there `overlap` of the runs of question and answer as one text is a leak too.
 
     The index of at most CHUNK_ITEMS items goes to every task; more items are dealt by hash into chunks of
     half that size, each a pass over the logs, so what is sent out does not grow with the item table. Weights and
@@ -175,18 +185,18 @@ def find_leaks(
     """
     rows = logs.select(F.col(job_id).cast("bigint").alias("job_id"), F.col(log).alias("log"))
     out = None
-    for index in indexes(items.select(item_id, question, answer)):
+    for index in indexes(items.select(item_id, question, answer), split):
         found = rows.mapInArrow(_finder(index, threshold, overlap), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
+def indexes(items: DataFrame, split: bool = False) -> Iterator[Index]:
     """Indexes over all items (id, question, answer), none of more than about CHUNK_ITEMS."""
     wanted = items.toDF("item_id", "question", "answer").withColumn("item_id", F.col("item_id").cast("bigint"))
     total = wanted.count()
     if total <= CHUNK_ITEMS:
-        yield build_index([tuple(r) for r in wanted.collect() if terms(r[1]) or terms(r[2])])
+        yield build_index([tuple(r) for r in wanted.collect() if terms(r[1]) or terms(r[2])], split=split)
         return
     chunks = -(-total // (CHUNK_ITEMS // 2))
     dealt = wanted.withColumn("chunk", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(chunks)).cast("int"))
@@ -198,7 +208,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
     for chunk in range(chunks):
         mine = [tuple(r) for r in dealt.where(F.col("chunk") == chunk).drop("chunk").collect() if terms(r[1]) or terms(r[2])]
         own = frequency.where(F.array_contains("chunks", chunk)).select("term", "df").collect()
-        yield build_index(mine, Whole(n, (words or 0) / max(1, n), longest or 0, {r.term: r.df for r in own}))
+        yield build_index(mine, Whole(n, (words or 0) / max(1, n), longest or 0, {r.term: r.df for r in own}), split)
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +228,7 @@ def _chunk_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_leaks(
     logs: DataFrame, items: DataFrame, log: str = "log", item_id: str = "item_id", question: str = "question",
-    answer: str = "answer", threshold: float = THRESHOLD, overlap: float = OVERLAP,
+    answer: str = "answer", threshold: float = THRESHOLD, overlap: float = OVERLAP, split: bool = False,
 ) -> DataFrame:
     """The rows of `logs` in which find_leaks has no item, as they are: all columns, repeated rows, NULL logs."""
     place, schema = logs.columns.index(log), logs.schema
@@ -231,7 +241,7 @@ def without_leaks(
 
         return clean
 
-    for index in indexes(items.select(item_id, question, answer)):
+    for index in indexes(items.select(item_id, question, answer), split):
         if index.ids:
             logs = logs.mapInArrow(cleaner(index), schema)
     return logs

@@ -96,7 +96,7 @@ def benchmark_items(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_bm25_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold benchmark items: one row for each document and item."""
-    return _by_doc(decontamination.find_leaks(_logs(spark, folder), benchmark_items(spark, folder)))
+    return _by_doc(decontamination.find_leaks(_logs(spark, folder), benchmark_items(spark, folder), split=True))
 
 
 @query

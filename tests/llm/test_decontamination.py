@@ -63,6 +63,23 @@ def test_leaks(spark, monkeypatch):
     assert D.find_leaks(logs.limit(0), tests).count() == 0 and D.find_leaks(logs, tests.limit(0)).count() == 0
 
 
+def test_copies_without_the_last_sentence(spark, monkeypatch):
+    """Where the last sentence only stands in for an answer, a copy that stops before it is a leak."""
+    rng = random.Random(7)
+    parts = [(i, " ".join(text(rng, 30).split()) + ".", "B" if i % 2 else "So it is " + text(rng, 4)) for i in range(40)]
+    tests = spark.createDataFrame([(i, q, a, "clash", "x") for i, q, a in parts], ITEM)
+    rows = [(i, text(rng, 100) + " " + parts[i][1] + " " + text(rng, 60)) for i in range(20)]
+    rows += [(100 + i, text(rng, 160)) for i in range(20)]
+    rows += [(200 + i, text(rng, 100) + " " + " ".join(parts[i][1].split()[:8])) for i in range(20)]
+    logs = frame(spark, rows)
+    want = [(i, i) for i in range(20)]
+    assert sorted((r.job_id, r.item_id) for r in D.find_leaks(logs, tests, split=True).collect()) == want
+    assert not {(1, 1), (3, 3)} & {(r.job_id, r.item_id) for r in D.find_leaks(logs, tests).collect()}
+    monkeypatch.setattr(D, "CHUNK_ITEMS", 16)
+    assert sorted((r.job_id, r.item_id) for r in D.find_leaks(logs, tests, split=True).collect()) == want
+    assert {r.job_id for r in D.without_leaks(logs, tests, split=True).collect()} == {j for j, _ in rows if j >= 100}
+
+
 def test_items_of_the_benchmark(spark):
     got = {r.item_id: r for r in benchmark_items(spark, "/root/testdata/sf0.001").collect()}
     texts = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
