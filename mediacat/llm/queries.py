@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import archives, decontamination, jaccard, licences, packing, passages, quality, sharding, suffixes, toxicity
+from mediacat.llm import (
+    archives, centroids, decontamination, exchanges, jaccard, licences, packing, passages, quality, sharding, suffixes, templates, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,3 +199,59 @@ def op10_factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
     machine = toxicity.learn_machine(logs, training_labels(spark, folder))
     scores = _by_doc(toxicity.score_logs(logs, machine))
     return scores.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_checkpointed_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations after damage, repaired by the cheapest edits."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    lines = exchanges.damaged(rows, "conv_id", "turn", "role", "text")
+    return exchanges.exchange_digests(exchanges.repair_exchanges(lines)).withColumnRenamed("job_id", "conv_id")
+
+
+@query
+def op12_incremental_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight clusters of the embeddings after ten rounds, in whole numbers."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    found = centroids.cluster_speeds(vectors, "vec_id", "embedding").withColumnRenamed("node_id", "vec_id")
+    print_of = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.withColumn("centroid_sha256", print_of).drop("centroid")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Each round as two tables: the nearest centroid of every vector, then the centroids' floors of means."""
+    near = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, v, list_min(list_transform(cs, lambda s: {{'d': list_sum(list_transform(range(1, 65), lambda i: (v[i] - s.c[i]) * (v[i] - s.c[i]))), 'j': s.j}})) AS m
+  FROM v, (SELECT list({{'j': j, 'c': c}} ORDER BY j) AS cs FROM c{r})
+)"""
+    move = """, t{n} AS (
+  SELECT m.j AS j, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) AS u(i) GROUP BY m.j, i
+), f{n} AS (
+  SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM t{n} GROUP BY j
+), c{n} AS MATERIALIZED (
+  SELECT c{r}.j, coalesce(f{n}.c, c{r}.c) AS c FROM c{r} LEFT JOIN f{n} ON f{n}.j = c{r}.j
+),"""
+    return "".join(near.format(r=r) + (move.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+
+
+# All distances anew in every round.
+ORACLES["op12_incremental_distances"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS j, v AS c FROM v ORDER BY j LIMIT 8
+),{_rounds_sql(10)}, e AS (
+  SELECT m.j AS j, CAST(sum(m.d) AS BIGINT) AS cluster_inertia FROM a10 GROUP BY m.j
+)
+SELECT vec_id, m.j AS cluster, CAST(m.d AS BIGINT) AS distance, cluster_inertia,
+  CAST((SELECT sum(cluster_inertia) FROM e) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN e ON e.j = m.j JOIN c10 ON c10.j = m.j
+"""
+
+
+@query
+def op13_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page by the template of its host."""
+    return templates.extract_main_text(spark.read.parquet(f"{folder}/pages.parquet"))
