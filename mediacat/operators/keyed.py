@@ -122,58 +122,53 @@ def sessions(df: DataFrame, key: str, ts_s: str, gap_s: int, bucket_s: int) -> D
     return inner.unionByName(joined)
 
 
-def _slice_of(bounds: Column, key: Column, buckets: int) -> Column:
+def _slice_of(bounds: list[int], key: Column) -> Column:
     """How many of the sorted bounds are <= key, by halving."""
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(buckets.bit_length()))])
+    held = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(bounds).bit_length()))])
 
     def halve(found: Column, step: Column) -> Column:
-        fits = (found + step <= F.size(bounds)) & (F.get(bounds, found + step - 1) <= key)
+        fits = (found + step <= len(bounds)) & (F.get(held, found + step - 1) <= key)
         return F.when(fits, found + step).otherwise(found)
 
-    return F.coalesce(F.aggregate(steps, F.lit(0), halve), F.lit(0))
+    return F.aggregate(steps, F.lit(0), halve) if bounds else F.lit(0)
 
 
 def page_of(
-    df: DataFrame, key: str, page: int, per_page: int, ascending: bool, buckets: int = 1024, levels: int = 2
+    df: DataFrame, key: str, page: int, per_page: int, ascending: bool, buckets: int = 256, fits: int = 100_000
 ) -> DataFrame:
     """One page of rows in the order of a unique integer `key`, however deep.
 
-    `per_page` is held to 1..100 and `page` to the pages there are. Rows fall into slices of about equal
-    counts, however ids cluster: approximate quantiles bound them, exact counts say which the page
-    touches. Those are sliced again, and only what is then left, about the `buckets`-th part of the
-    `buckets`-th part of all rows, is sorted.
+    `per_page` is held to 1..100 and `page` to the pages there are. Approximate quantiles cut the keys into slices
+    of about equal counts, however ids cluster; exact counts say between which two keys the page lies. That
+    range is cut again until it holds at most `fits` rows, and only those are sorted. A level is one aggregate for
+    the quantiles and one for the counts, both reduced before the shuffle. They run when this is called, and the
+    driver sees `buckets` numbers of each: so the rows come back by a plain range of keys, which a scan can use to
+    leave out whole files.
     """
     per_page = max(1, min(100, int(per_page)))
-    page = max(1, int(page))
-    order = F.col(key) if ascending else -F.col(key)
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    pages = F.greatest(F.lit(1), F.ceil(total / per_page)).cast("bigint")
-    rows = df.withColumns({"__order": order, "__first": (F.least(F.lit(page), pages) - 1) * per_page, "__before": F.lit(0).cast("bigint"), "__slice": F.lit(0)})
-    cuts = [i / buckets for i in range(1, buckets)]
-    for level in range(levels):
-        by = ["__slice", "__before"]
-        bounds = rows.groupBy(*by).agg(F.percentile_approx("__order", cuts, 10 * buckets).alias("__bounds"))
-        sliced = (
-            rows.join(bounds, by).withColumn("__sub", _slice_of(F.array_distinct("__bounds"), F.col("__order"), buckets))
-            .drop("__bounds")
+    kind = df.schema[key].dataType
+    order = F.col(key).cast("bigint") if ascending else -F.col(key).cast("bigint")
+    total = df.where(F.col(key).isNotNull()).count()
+    first = (min(max(1, int(page)), max(1, -(-total // per_page))) - 1) * per_page
+    inside, count, before = df.where(F.col(key).isNotNull()), total, 0
+    while count > fits:
+        cuts = [i / buckets for i in range(1, buckets)]
+        bounds = inside.agg(F.percentile_approx(order, cuts, 10 * buckets).alias("b")).first()["b"]
+        counts = inside.groupBy(_slice_of(sorted(set(bounds)), order).alias("s")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")
         )
-        counts = sliced.groupBy(*by, "__first", "__sub").agg(F.count(F.lit(1)).alias("__n"))
-        # At most `buckets` rows of each touched slice reach this window.
-        running = W.partitionBy(*by).orderBy("__sub").rowsBetween(W.unboundedPreceding, 0)
-        touched = (
-            counts.withColumn("__upto", F.col("__before") + F.sum("__n").over(running))
-            .withColumn("__start", F.col("__upto") - F.col("__n"))
-            .where((F.col("__upto") > F.col("__first")) & (F.col("__start") < F.col("__first") + per_page))
-            .select(*by, "__sub", "__start")
-        )
-        rows = (
-            sliced.join(touched, [*by, "__sub"]).drop("__slice", "__before")
-            .withColumnsRenamed({"__sub": "__slice", "__start": "__before"})
-        )
-    inside = W.partitionBy("__slice", "__before").orderBy("__order")
-    position = F.col("__before") + F.row_number().over(inside)
-    return (
-        rows.withColumn("position", position.cast("bigint"))
-        .where((F.col("position") > F.col("__first")) & (F.col("position") <= F.col("__first") + per_page))
-        .drop("__order", "__first", "__before", "__slice")
-    )
+        lows, highs, held, upto = [], [], 0, before
+        for r in sorted(counts.collect(), key=lambda r: r["s"]):  # `buckets` rows
+            if upto + r["n"] > first and upto < first + per_page:
+                before = before if lows else upto
+                held += r["n"]
+                lows.append(r["low"])
+                highs.append(r["high"])
+            upto += r["n"]
+        if held == count:
+            break
+        ends = sorted(n if ascending else -n for n in (lows[0], highs[-1]))
+        inside, count = inside.where(F.col(key).between(*[F.lit(n).cast(kind) for n in ends])), held
+    position = (F.lit(before) + F.row_number().over(W.orderBy(order))).cast("bigint")
+    return inside.withColumn("position", position).where((F.col("position") > first) & (F.col("position") <= first + per_page))

@@ -67,7 +67,7 @@ def test_pages(spark):
     done = sorted((i for i in ids if i % 2 == 0), reverse=True)
     assert page(view="done", page=2, per_page=50) == done[50:100]
     assert page(view="failed") == []
-    few = [r.id for r in keyed.page_of(jobs, "id", 4, 30, True, buckets=3).orderBy("position").collect()]
+    few = [r.id for r in keyed.page_of(jobs, "id", 4, 30, True, buckets=3, fits=40).orderBy("position").collect()]
     assert few == sorted(ids)[90:120]
     assert [r.id for r in ledger.list_jobs(jobs, ["queued"], 3).collect()] == active[:3]
     assert [r.id for r in ledger.list_jobs(jobs, None, 2).collect()] == sorted(ids)[-1:-3:-1]
@@ -518,7 +518,7 @@ def test_pages_of_clustered_ids(spark):
     for ascending in (True, False):
         order = sorted(ids, reverse=not ascending)
         for page in (1, 8, 37, 51, 9999):
-            rows = keyed.page_of(df, "id", page, 20, ascending, buckets=16).orderBy("position").collect()
+            rows = keyed.page_of(df, "id", page, 20, ascending, buckets=16, fits=25).orderBy("position").collect()
             start = (min(page, 51) - 1) * 20
             assert [r.id for r in rows] == order[start : start + 20] and rows[0].position == start + 1
 
