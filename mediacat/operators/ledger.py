@@ -87,12 +87,19 @@ def running_totals(completions: DataFrame) -> DataFrame:
     )
 
 
-def savings(jobs: DataFrame, by: list[str]) -> DataFrame:
-    """Finished jobs, bytes before and after, and whole percent saved, by any columns (library, codec, tier, encoder)."""
+def savings(jobs: DataFrame, by: list[str], subtotals: bool = False) -> DataFrame:
+    """Finished jobs, bytes before and after, and whole percent saved, by any columns (library, codec, tier, encoder).
+
+    subtotals: also for `by` without its last columns, and for all jobs; `summed` then has a bit for each
+    column that a row sums over, the last column's the lowest.
+    """
     before, after = F.col("before"), F.col("after")
+    done = jobs.where(F.col("state") == "done")
+    grouped = done.rollup(*by) if subtotals else done.groupBy(*by)
+    level = [F.grouping_id().cast("int").alias("summed")] if subtotals else []
     return (
-        jobs.where(F.col("state") == "done").groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("jobs"), F.sum("size_before").alias("before"), F.sum("size_after").alias("after"))
+        grouped
+        .agg(*level, F.count(F.lit(1)).alias("jobs"), F.sum("size_before").alias("before"), F.sum("size_after").alias("after"))
         .withColumn("percent", F.floor(F.try_divide((before - after).cast("double") * 100, before)).cast("bigint"))
     )
 

@@ -277,6 +277,13 @@ ORACLES: dict[str, str] = {
  when 'video_only' then concat('audio stays ',upper(want_audio),', video to ',upper(want_video))
  else concat('video to ',upper(want_video),', audio to ',upper(want_audio)) end) as reason, count(*) as files
  from decided group by 1""",
+    "processed_upserts": ctes("v_scan")
+    + """, seen as (select *, (scan_s-1700000000)//30%3 as n, row_number() over (partition by path, (scan_s-1700000000)//30%3
+   order by scan_s desc, size desc, library_id desc) as rn from v_scan),
+ noted as (select path, n, mtime_s, scan_s, size, case when n>0 or file_id%4<>0 then library_id+100*n end as library_id
+   from seen where rn=1)
+ select path, arg_max(mtime_s,n) as mtime_s, arg_max(scan_s,n) as scan_s, arg_max(size,n) as size,
+   arg_min(library_id,n) filter (where library_id is not null) as library_id from noted group by path""",
     "inventory_latest": ctes("v_files")
     + "select file_id, path, scan_s, size, height, video_codec, audio_codec, duration_s from v_files",
     "skip_reasons": DECIDED
@@ -437,6 +444,11 @@ ORACLES.update(
  cast(floor(cast(sum(size_before)-sum(size_after) as double)*100/cast(sum(size_before) as double)) as bigint) as percent
  from v_jobs j left join v_libraries l on l.library_id=j.library_id left join v_nodes n on n.node_id=j.node_id
  where state='done' group by 1,2,3""",
+        "savings_subtotals": ctes("v_jobs", "v_libraries")
+        + """select l.name as library, codec, cast(grouping(l.name, codec) as integer) as summed, count(*) as jobs,
+ cast(sum(size_before) as bigint) as before, cast(sum(size_after) as bigint) as after,
+ cast(floor(cast(sum(size_before)-sum(size_after) as double)*100/cast(sum(size_before) as double)) as bigint) as percent
+ from v_jobs j left join v_libraries l on l.library_id=j.library_id where state='done' group by rollup(l.name, codec)""",
         "savings_by_tier": ctes("v_jobs", "v_files")
         + f"""select {TIER} as tier, encoder, count(*) as jobs, cast(sum(size_before) as bigint) as before,
  cast(sum(size_after) as bigint) as after,
@@ -500,7 +512,7 @@ ORACLES.update(
         + f"""select 'all' as age, count(*) as n, cast(coalesce(sum(size),0) as bigint) as bytes from v_originals
  union all select 'old', count(*), cast(coalesce(sum(size),0) as bigint) from v_originals
  where archived_s<{NOW}-432000""",
-        "sweep_plan": ctes("v_originals", "v_inventory")
+        "sweep_plan": ctes("v_originals", "v_inventory").replace(" as (select", " as materialized (select")
         + f"""select o.job_id, case when a.path is null then 'forget' when coalesce(f.size,0)=0 then 'keep'
  else 'delete' end as verdict, case when a.path is not null and coalesce(f.size,0)<>0 then a.size else 0 end as freed,
  f.path is not null as replacement_ok from v_originals o left join v_inventory a on a.path=o.archived_path

@@ -16,6 +16,7 @@ from mediacat.operators import (
 )
 from mediacat.plans import scan_plan
 from mediacat.plans.views import Views
+from mediacat.sources.tables import KeyedTable, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +71,18 @@ def inventory_latest(v: Views) -> DataFrame:
     )
 
 
+@query
+def processed_upserts(v: Views) -> DataFrame:
+    """Files noted as handled in three batches; the library that is noted first stays."""
+    columns = "path string, mtime_s bigint, scan_s bigint, size bigint, library_id bigint"
+    table = KeyedTable(scratch_folder(v.spark), columns, ["path"], ["scan_s", "size"], ["library_id"])
+    for n in range(3):
+        table.upsert(v.scan().where(f"((scan_s - 1700000000) div 30) % 3 = {n}").selectExpr(
+            "path", "mtime_s", "scan_s", "size", f"case when {n} > 0 or file_id % 4 <> 0 then library_id + {100 * n} end as library_id"
+        ), n)
+    return table.read(v.spark)
+
+
 @query
 def skip_reasons(v: Views) -> DataFrame:
     """Rules that need no probe are tried first; only what passes them meets the probe rules."""
@@ -371,6 +384,13 @@ def savings_rollup(v: Views) -> DataFrame:
     )
 
 
+@query
+def savings_subtotals(v: Views) -> DataFrame:
+    """Savings by library and codec, with a row for each library and one for all."""
+    libs = v.inline("v_libraries").select(F.col("library_id").cast("bigint"), F.col("name").alias("library"))
+    return ledger.savings(v.jobs().join(libs, "library_id", "left"), ["library", "codec"], subtotals=True)
+
+
 @query
 def savings_by_tier(v: Views) -> DataFrame:
     """Bytes before and after by the source's resolution tier and the encoder used."""

@@ -6,8 +6,14 @@ executors half-way leaves the old version whole.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections import defaultdict
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediacat.operators.keyed import latest_per_key
 
@@ -51,20 +57,15 @@ def write_version(table: DataFrame, folder: str, version: int, partition_by: lis
     return target
 
 
-def upsert_batches(folder: str, keys: list[str], order: list[str], kept: list[str] | None = None):
-    """`foreachBatch` function that keeps a versioned table up to date from a stream.
-
-    The version is the batch id + 1, so a batch that is run again after a failure overwrites its
-    own output only. Version 0 is the table's starting state.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder.rstrip('/')}/v={batch_id}")
-        merged = upsert(old, batch, keys, order, kept)
-        merged.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/v={batch_id + 1}")
-
-    return write
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below `spark.checkpoint.dir`, which all executors share; a temporary one on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/mediacat-scratch"
+    return f"{base.rstrip('/')}/mediacat-{uuid.uuid4().hex}"
 
 
 def _below(spark: SparkSession, folder: str) -> list[str]:
@@ -74,57 +75,161 @@ def _below(spark: SparkSession, folder: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
 
 
-def _current_buckets(spark: SparkSession, folder: str, upto: int | None = None) -> dict[int, tuple[int, str]]:
-    """The newest finished version of each bucket, of those up to `upto`: bucket -> (version, path)."""
-    found: dict[int, tuple[int, str]] = {}
-    for name in _below(spark, folder):
-        version = int(name.removeprefix("v=")) if name.startswith("v=") else -1
-        wanted = version >= 0 and (upto is None or version <= upto)
-        inside = _below(spark, f"{folder}/{name}") if wanted else []
-        if "_SUCCESS" in inside:
-            for b in (int(i.removeprefix("b=")) for i in inside if i.startswith("b=")):
-                found[b] = max(found.get(b, (-1, "")), (version, f"{folder}/{name}/b={b}"))
-    return found
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@dataclass(frozen=True)
+class Run:
+    """Sorted out rows of batches low..high of one bucket: hash % 2**level = bucket."""
+
+    low: int
+    high: int
+    level: int
+    bucket: int
+    rows: int
+    path: str
 
 
-def read_buckets(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """The table that `upsert_buckets` keeps, as of its last finished batch."""
-    paths = [path for _, path in _current_buckets(spark, folder.rstrip("/")).values()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+LOG = "low bigint, high bigint, level int, bucket bigint, rows bigint, path string, credit bigint, at_level int"
 
 
-def upsert_buckets(
-    folder: str, keys: list[str], order: list[str], kept: list[str] | None = None, buckets: int = 64
-):
-    """`foreachBatch` function that keeps a table, cut into buckets by a hash of the key, up to date.
+def families(runs: list[Run]) -> list[list[Run]]:
+    """Runs by the coarsest bucket that covers them; a family shares no key with another one."""
+    roots: dict[tuple[int, int], list[Run]] = {}
+    for run in sorted(runs, key=lambda r: r.level):
+        root = next(((k, run.bucket % 2**k) for k in range(run.level) if (k, run.bucket % 2**k) in roots), (run.level, run.bucket))
+        roots.setdefault(root, []).append(run)
+    return list(roots.values())
 
-    A batch rewrites only the buckets that it has keys of, as `v=<batch id + 1>/b=<bucket>`; the files of
-    all others stay as they are. A bucket's rows are those of its newest version with a _SUCCESS mark, so
-    a batch that fails half-way changes nothing and its repetition overwrites its own output. Versions
-    that a bucket has left two or more behind are deleted. Bucket 0 .. `buckets` - 1 fix the layout: do
-    not change the number.
+
+def newest_to_merge(family: list[Run]) -> list[Run]:
+    """The newest runs of a family, back to the first that has more rows than all newer ones together.
+
+    So a row is rewritten at most once each time the rows behind it double, and a bucket holds
+    about as many runs as its rows have binary digits.
+    """
+    by_batch: dict[int, list[Run]] = defaultdict(list)
+    for run in family:
+        by_batch[run.high].append(run)
+    order = sorted(by_batch, reverse=True)
+    taken, size = list(by_batch[order[0]]), sum(r.rows for r in by_batch[order[0]])
+    for n, high in enumerate(order[1:], 1):
+        rows = sum(r.rows for r in by_batch[high])
+        if rows > size:
+            return taken if n > 1 else []
+        taken, size = taken + by_batch[high], size + rows
+    return taken if len(order) > 1 else []
+
+
+class KeyedTable:
+    """A table kept by key as a log: every batch adds delta files, which are merged bit by bit.
+
+    Rows lie in 2**level buckets by a hash of the key. A batch writes its own rows once, in the buckets it has
+    keys of, and then merges the newest runs of some buckets (`newest_to_merge`), those with the most runs first,
+    as far as its credit goes: `merge_rows` rows for each row written, what is not used is kept for later
+    batches. The level goes up by one when buckets hold over `bucket_rows` rows on average; older runs
+    keep their coarser buckets until they are merged, which splits them. Reading is one aggregate over all runs,
+    and none if no bucket has two.
+
+    Of rows with one key the newest batch counts, within a batch the latest by `order`; columns in `kept` stay as
+    they were once they have a value. Every batch ends with a list of runs, written last: a batch that fails
+    half-way changes nothing, one that is run again after it finished does nothing. Runs that neither this
+    list nor the one before it names are deleted, so a reader has the time of one batch to finish.
     """
-    folder = folder.rstrip("/")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets`
-        if not touched:
+    def __init__(
+        self, folder: str, schema: str | T.StructType, keys: list[str], order: list[str], kept: list[str] | None = None,
+        bucket_rows: int = 2_000_000, merge_rows: int = 4,
+    ):
+        self.folder, self.keys, self.order, self.kept = folder.rstrip("/"), keys, order, kept or []
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.stored = T.StructType([*self.schema.fields, T.StructField("__batch", T.LongType())])
+        self.bucket_rows, self.merge_rows = bucket_rows, merge_rows
+
+    def runs(self, spark: SparkSession, back: int = 0) -> tuple[int, int, int, list[Run]]:
+        """Batch number, credit, level and runs of the newest finished list, or of one `back` before it."""
+        lists = sorted(
+            (n for n in (int(x.removeprefix("v=")) for x in _below(spark, f"{self.folder}/lists") if x.startswith("v="))
+             if "_SUCCESS" in _below(spark, f"{self.folder}/lists/v={n}")), reverse=True,
+        )
+        if len(lists) <= back:
+            return 0, 0, 0, []
+        rows = spark.read.schema(LOG).json(f"{self.folder}/lists/v={lists[back]}").collect()
+        facts = next(r for r in rows if r["path"] is None)
+        runs = [Run(*[r[c] for c in ("low", "high", "level", "bucket", "rows", "path")]) for r in rows if r["path"] is not None]
+        return lists[back], facts["credit"], facts["at_level"], runs
+
+    def _bucket(self, level: int):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(2**level)).alias("b")
+
+    def _files(self, spark: SparkSession, runs: list[Run]) -> DataFrame:
+        return spark.read.schema(self.stored).parquet(*[r.path for r in runs])
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        """One row a key. Kept columns come from the oldest batch that has a value."""
+        rest = [c for c in self.schema.names if c not in self.keys]
+        newest = F.max_by(F.struct(*[c for c in rest if c not in self.kept], F.col("__batch")), "__batch").alias("__new")
+        oldest = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__batch"))).alias(c) for c in self.kept]
+        whole = rows.groupBy(*self.keys).agg(newest, *oldest)
+        names = [*self.schema.names, "__batch"]
+        return whole.select(*[F.col(c) if c in self.keys or c in self.kept else F.col("__new")[c].alias(c) for c in names])
+
+    def _write(self, rows: DataFrame, level: int, name: str) -> dict[int, int]:
+        """Rows by bucket below runs/`name`; how many each has."""
+        spark, path = rows.sparkSession, f"{self.folder}/runs/{name}"
+        rows.withColumn("b", self._bucket(level)).repartition("b").write.mode("overwrite").partitionBy("b").parquet(path)
+        written = spark.read.schema(T.StructType([*self.stored.fields, T.StructField("b", T.LongType())])).parquet(path)
+        return {r["b"]: r["count"] for r in written.groupBy("b").count().collect()}  # a row for each bucket
+
+    def upsert(self, batch: DataFrame, batch_id: int) -> None:
+        """Bring a batch in; `foreachBatch` can call it."""
+        spark, number = batch.sparkSession, batch_id + 1
+        done, credit, level, runs = self.runs(spark)
+        if done >= number:
             return
-        held = _current_buckets(spark, folder, upto=batch_id)
-        paths = [held[b][1] for b in touched if b in held]
-        old = spark.read.schema(batch.schema).parquet(*paths) if paths else batch.limit(0)
-        merged = upsert(old, batch, keys, order, kept).withColumn("b", bucket)
-        merged.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{folder}/v={batch_id + 1}")
-        for b in touched:
-            _drop_before(spark, folder, b, held[b][0] if b in held else 0)
-
-    return write
-
-
-def _drop_before(spark: SparkSession, folder: str, bucket: int, version: int) -> None:
-    for name in _below(spark, folder):
-        if name.startswith("v=") and int(name.removeprefix("v=")) < version:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/b={bucket}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fresh = latest_per_key(batch.select(*self.schema.names), self.keys, self.order)
+        counts = self._write(fresh.withColumn("__batch", F.lit(number).cast("bigint")), level, f"v={number}")
+        runs = runs + [Run(number, number, level, b, n, f"{self.folder}/runs/v={number}/b={b}") for b, n in counts.items()]
+        while sum(r.rows for r in runs) > self.bucket_rows * 2**level:
+            level += 1
+        credit += self.merge_rows * sum(counts.values())
+
+        chosen: list[tuple[Run, list[Run]]] = []
+        for family in sorted(families(runs), key=lambda f: -len({r.high for r in f})):
+            merge = newest_to_merge(family)
+            cost = sum(r.rows for r in merge)
+            if merge and cost <= credit:
+                chosen.append((family[0], merge))
+                credit -= cost
+        if chosen:
+            old = {r for _, merge in chosen for r in merge}
+            counts = self._write(self._merged(self._files(spark, list(old))), level, f"m={number}")
+            runs = [r for r in runs if r not in old]
+            for root, merge in chosen:
+                low, high = min(r.low for r in merge), max(r.high for r in merge)
+                own = [b for b in counts if b % 2**root.level == root.bucket]
+                runs += [Run(low, high, level, b, counts[b], f"{self.folder}/runs/m={number}/b={b}") for b in own]
+        self._list(spark, number, credit, level, runs)
+
+    def _list(self, spark: SparkSession, number: int, credit: int, level: int, runs: list[Run]) -> None:
+        rows = [(r.low, r.high, r.level, r.bucket, r.rows, r.path, None, None) for r in runs]
+        rows.append((None, None, None, None, None, None, credit, level))
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("overwrite").json(f"{self.folder}/lists/v={number}")
+        before, *_, held = self.runs(spark, back=1)
+        older, *_, gone = self.runs(spark, back=2)
+        used = {r.path for r in [*runs, *held]}
+        for path in {r.path for r in gone} - used:
+            _delete(spark, path)
+        if older:
+            _delete(spark, f"{self.folder}/lists/v={older}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The table after its last finished batch."""
+        *_, runs = self.runs(spark)
+        if not runs:
+            return spark.createDataFrame([], self.schema)
+        rows = self._files(spark, runs)
+        several = any(len({r.high for r in family}) > 1 for family in families(runs))
+        return (self._merged(rows) if several else rows).select(*self.schema.names)

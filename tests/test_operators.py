@@ -438,38 +438,75 @@ def test_upserts(spark, tmp_path):
     got = {r.id: (r.name, r.slots) for r in tables.upsert(old, new, ["id"], ["at"], kept=["slots"]).collect()}
     assert got == {1: ("A", 5), 2: ("y", 4), 3: ("c", 1)}
     assert tables.delete_keys(old, new.where("id = 1"), ["id"]).count() == 1
-    base = f"{tmp_path}/t"
-    tables.write_version(old, base, 0)
-    new.select("id", "at", "name", "slots").coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/in").writeStream.foreachBatch(
-        tables.upsert_batches(base, ["id"], ["at"], ["slots"])
-    ).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert {r.id: (r.name, r.slots) for r in spark.read.parquet(f"{base}/v=1").collect()} == got
-
-
-def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    tables.write_version(old, f"{tmp_path}/t", 0)
+    assert spark.read.parquet(f"{tmp_path}/t/v=0").count() == 2
+
+
+def test_keyed_table_equals_one_upsert_after_another(spark, tmp_path):
+    import random
+
+    rng, schema = random.Random(6), "id bigint, at bigint, name string, slots int"
+    table = tables.KeyedTable(f"{tmp_path}/t", schema, ["id"], ["at"], ["slots"], bucket_rows=60)
+    assert table.read(spark).count() == 0
+    want, written = {}, 0
+    for n in range(9):
+        ids = range(n * 40, n * 40 + 40) if n < 5 else rng.sample(range(200), 12)
+        rows = [(i, at, f"n{n}.{at}", rng.choice([None, n])) for i in ids for at in range(rng.randrange(1, 3))]
+        batch = frame(spark, rows, schema)
+        for _ in range(1 + (n == 6)):  # a batch that is run again
+            table.upsert(batch, n)
+        for i in {r[0] for r in rows}:
+            _, at, name, slots = max(r for r in rows if r[0] == i)
+            want[i] = (at, name, want[i][2] if i in want and want[i][2] is not None else slots)
+        written += len(set(ids))
+        got = {r.id: (r.at, r.name, r.slots) for r in table.read(spark).collect()}
+        assert got == want, n
+    done, credit, level, runs = table.runs(spark)
+    assert done == 9 and level >= 2 and len({r.level for r in runs}) >= 1
+    # Rewritten rows and what is left of the credit are what the batches earned.
+    assert 0 <= credit <= 4 * written
+    assert any(r.low < r.high for r in runs) and all(len({r.high for r in family}) < 9 for family in tables.families(runs))
+    empty = frame(spark, [], schema)
+    table.upsert(empty, 9)
+    assert table.read(spark).count() == len(want)
+
+
+def test_a_batch_writes_its_own_rows_and_what_its_credit_allows(spark, tmp_path):
     import os
 
-    base, schema = str(tmp_path / "t"), "id bigint, at bigint, name string, slots int"
-    write = tables.upsert_buckets(base, ["id"], ["at"], ["slots"], buckets=8)
-
-    def files():
-        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(base) for f in fs if f.startswith("part-")}
-
-    write(frame(spark, [(i, 1, f"n{i}", i) for i in range(40)], schema), 0)
-    first = files()
-    change = frame(spark, [(3, 2, "new", None), (3, 1, "older", 9)], schema)
-    write(change, 1)
-    write(change, 1)  # a repeated batch
-    assert {f: t for f, t in files().items() if f in first} == first
-    assert len({os.path.dirname(f) for f in set(files()) - set(first)}) == 1
-    rows = {r.id: (r.name, r.slots) for r in tables.read_buckets(spark, base, schema).collect()}
-    assert rows == {**{i: (f"n{i}", i) for i in range(40)}, 3: ("new", 3)}
-    write(frame(spark, [(3, 3, "last", 1)], schema), 2)
-    rows = tables.read_buckets(spark, base, schema).where("id = 3").collect()
-    assert [(r.name, r.slots) for r in rows] == [("last", 3)] and tables.read_buckets(spark, base, schema).count() == 40
-    assert len([f for f in set(files()) - set(first)]) == 2 and len(files()) == len(first) + 1
+    base, schema = str(tmp_path / "t"), "id bigint, at bigint, name string"
+    table = tables.KeyedTable(base, schema, ["id"], ["at"], bucket_rows=100, merge_rows=2)
+
+    def rows():
+        """Rows in every file below the table, by file."""
+        import pyarrow.parquet as pq
+
+        return {f"{d}/{f}": pq.read_metadata(f"{d}/{f}").num_rows for d, _, fs in os.walk(f"{base}/runs") for f in fs if f.endswith(".parquet")}
+
+    table.upsert(frame(spark, [(i, 1, "a") for i in range(2000)], schema), 0)
+    before, wrote, own = rows(), 0, 0
+    for n in range(1, 6):
+        table.upsert(frame(spark, [(i * 7 + n, 1, "b") for i in range(20)], schema), n)
+        now = rows()
+        wrote += sum(r for f, r in now.items() if f not in before)
+        own += 20
+        before = now
+    assert wrote <= 3 * own  # the 2000 rows were never touched
+    assert table.read(spark).where("name = 'b'").count() == len({i * 7 + n for n in range(1, 6) for i in range(20)})
+    lists = [x for x in os.listdir(f"{base}/lists") if x.startswith("v=")]
+    assert len(lists) <= 3
+
+
+def test_merges_take_the_newest_runs():
+    def run(batch, rows, level=1, bucket=0):
+        return tables.Run(batch, batch, level, bucket, rows, f"{batch}.{level}.{bucket}")
+
+    a, b, c, d = run(1, 100), run(2, 30), run(3, 20), run(4, 15)
+    assert tables.newest_to_merge([a, b, c, d]) == []
+    assert {r.high for r in tables.newest_to_merge([a, b, run(3, 20), run(4, 25)])} == {2, 3, 4}
+    assert tables.newest_to_merge([a]) == []
+    split = [run(1, 50, 1, 1), run(2, 10, 2, 1), run(2, 10, 2, 3), run(3, 9, 2, 2)]
+    assert sorted(len(f) for f in tables.families(split)) == [1, 3]
 
 
 def test_failed_jobs_all_have_a_row(spark):
