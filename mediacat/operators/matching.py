@@ -1,9 +1,9 @@
 """Fuzzy matching of parsed titles against a title catalogue.
 
-A catalogue title is a candidate when it has more than half of the query's words, a slip in each allowed, or
-is the query with other word breaks. To find those without comparing every pair, a query looks up only
-the rarer half of its words, and of each the forms that a slip leaves in common: a title that shared none of
-them could not reach the majority. Strings are compared once per distinct pair; years and popularity are
+A catalogue title is a candidate when twice the letter pairs it shares with the query are two fifths of both titles' (`SHARED`). To find
+those without comparing every pair, each side looks up only its rarest letter pairs, as many as it takes to be sure of
+meeting every candidate. The sequence ratio itself, which only Python has, is taken for those pairs alone whose
+letters allow a score above the floor, once for each distinct pair of strings; years and popularity are
 brought in afterwards from per-year summaries, so that repeated titles on either side do not multiply.
 """
 
@@ -24,56 +24,74 @@ from mediacat.functions.names import normalise
 @F.pandas_udf(DoubleType())
 def _ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series(
-        [difflib.SequenceMatcher(None, c, q).ratio() for c, q in zip(candidate, query)],
+        [difflib.SequenceMatcher(None, c, q).ratio() if c else 0.0 for c, q in zip(candidate, query)],
         dtype="float64",
     )
 
 
-def _variants(word: Column) -> Column:
-    """The word, and from five letters on all that it becomes by losing one: words one slip apart share one."""
-    places = F.sequence(F.lit(1), F.length(word))
-    lost = F.transform(
-        places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.length(word)))
+#: Shared letter pairs times this are at least all letter pairs of both titles.
+SHARED = 5
+BONUS = K.YEAR_SAME_BONUS + K.POPULARITY_CAP
+
+
+def _numbered(items: Column) -> Column:
+    """The items of a list, each with how many equal ones come before it: then equal lists of them are equal sets."""
+    return F.transform(
+        items, lambda x, i: F.concat(x, F.size(F.filter(F.slice(items, F.lit(1), i), lambda y: y == x)).cast("string"))
     )
-    return F.when(F.length(word) >= 5, F.array_distinct(F.concat(F.array(word), lost))).otherwise(F.array(word))
 
 
-def _near(a: Column, b: Column) -> Column:
-    """Equal, or one letter changed, missing, extra or swapped with its neighbour, in words of five or more."""
-    close = F.levenshtein(a, b) <= 2
-    return F.when(a == b, F.lit(True)).when(close, F.arrays_overlap(_variants(a), _variants(b))).otherwise(F.lit(False))
+def letter_pairs(text: Column) -> Column:
+    """Neighbouring letters of a title, blanks at both ends included, repeated ones apart."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return _numbered(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(2))))
 
 
-def candidate_pairs(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """Distinct (is_tv, q, t) where t has more than half of q's words, give or take a slip in each, or is q
-    with other word breaks (and a slip at most)."""
+def letters(text: Column) -> Column:
+    return _numbered(F.split(text, ""))
+
 
-    def words(text: str) -> Column:
-        return F.array_distinct(F.split(F.col(text), " "))
+def ratio_bound(a: Column, b: Column) -> Column:
+    """The most that the sequence ratio of two texts can be, from their `letters`: that of the best order."""
+    return F.size(F.array_intersect(a, b)) * 2.0 / (F.size(a) + F.size(b))
 
-    def squeezed(text: str) -> Column:
-        return F.replace(F.col(text), F.lit(" "), F.lit(""))
 
-    q = queries.select("is_tv", "q").distinct()
-    t = titles.select("is_tv", "t").distinct()
-    title_words = t.select("is_tv", "t", F.explode(words("t")).alias("w"))
-    frequency = title_words.groupBy("is_tv", "w").agg(F.count(F.lit(1)).alias("n"))
-    query_words = q.select(
-        "is_tv", "q", F.size(words("q")).alias("total"), F.explode(words("q")).alias("w")
-    ).join(frequency, ["is_tv", "w"], "left")
-    rarest = W.partitionBy("is_tv", "q").orderBy(F.coalesce(F.col("n"), F.lit(0)), "w")
-    probes = query_words.withColumn("__k", F.row_number().over(rarest)).where(
-        F.col("__k") <= F.ceil(F.col("total") / 2)
+def _rarest(titles: DataFrame, text: str, frequency: DataFrame) -> DataFrame:
+    """A row for each of a title's rarest letter pairs: of n, the n - ceil(n/4) + 1 that fewest catalogue titles have.
+
+    Two titles that share enough share at least a quarter of each one's pairs, so that the first of their
+    shared pairs, in the order of rarity, is among these on both sides.
+    """
+    own = [f"{text}_pairs", f"{text}_letters"]
+    pairs = titles.select("is_tv", text, *own, F.explode(own[0]).alias("p")).join(frequency, ["is_tv", "p"], "left")
+    counted = pairs.groupBy("is_tv", text).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p"))).alias("all"), *[F.first(c).alias(c) for c in own]
+    )
+    least = F.ceil(F.size("all") / (SHARED - 1)).cast("int")
+    return counted.select("is_tv", text, *own, F.explode(F.slice("all", F.lit(1), F.size("all") - least + 1)).alias("r")).select(
+        "is_tv", text, *own, "r.p"
     )
-    asked = probes.select("is_tv", "q", "w").unionByName(q.select("is_tv", "q", squeezed("q").alias("w")))
-    held = title_words.unionByName(t.select("is_tv", "t", squeezed("t").alias("w")))
 
-    def keyed(df: DataFrame, text: str) -> DataFrame:
-        return df.select("is_tv", text, F.explode(_variants(F.col("w"))).alias("v")).distinct()
 
-    shared = F.size(F.filter(words("q"), lambda a: F.exists(words("t"), lambda b: _near(a, b))))
-    found = keyed(asked, "q").join(keyed(held, "t"), ["is_tv", "v"]).select("is_tv", "q", "t").distinct()
-    return found.where((shared * 2 > F.size(words("q"))) | _near(squeezed("q"), squeezed("t")))
+def candidate_pairs(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """Distinct (is_tv, q, t) that share enough of their letter pairs, with `bound`, the most their ratio can be.
+
+    Rare pairs meet in an ordinary equi-join; what a frequent one brings together is split by AQE.
+    """
+
+    def listed(df: DataFrame, text: str) -> DataFrame:
+        c = F.col(text)
+        return df.select("is_tv", text).distinct().select("is_tv", text, letter_pairs(c).alias(f"{text}_pairs"), letters(c).alias(f"{text}_letters"))
+
+    asked, held = listed(queries, "q"), listed(titles, "t")
+    frequency = held.select("is_tv", F.explode("t_pairs").alias("p")).groupBy("is_tv", "p").agg(F.count(F.lit(1)).alias("n"))
+    met = _rarest(asked, "q", frequency).join(_rarest(held, "t", frequency), ["is_tv", "p"])
+    q, t = F.size("q_pairs"), F.size("t_pairs")
+    lists = [f"{x}_{kind}" for x in "qt" for kind in ("pairs", "letters")]
+    near = met.where(F.least(q, t) * SHARED >= q + t).groupBy("is_tv", "q", "t").agg(*[F.first(c).alias(c) for c in lists])
+    return near.where(F.size(F.array_intersect("q_pairs", "t_pairs")) * SHARED >= q + t).select(
+        "is_tv", "q", "t", ratio_bound(F.col("q_letters"), F.col("t_letters")).alias("bound")
+    )
 
 
 def _year_term(year: Column, want: Column) -> Column:
@@ -103,7 +121,11 @@ def match_titles(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
         "is_tv", normalise(F.col("title")).alias("t"), F.col("year").cast("int").alias("cyear"),
         F.coalesce(F.col("popularity"), F.lit(0)).cast("double").alias("pop"), "title_id", "title",
     )
-    scored = candidate_pairs(queries, entries).withColumn("ratio", _ratio("t", "q"))
+    # Candidates that cannot reach the floor still say that there is one of the year; their ratio counts as none.
+    hopeful = F.col("bound") + BONUS >= K.MATCH_FLOOR - 1e-9
+    # The explode keeps the bound out of the Python function's arguments, where it could not be evaluated.
+    judged = candidate_pairs(queries, entries).withColumn("c", F.explode(F.array(F.when(hopeful, F.col("t")).otherwise(""))))
+    scored = judged.withColumn("ratio", _ratio("c", "q")).drop("c", "bound")
 
     # The only entry of a title and year that can win is the most popular one.
     rank = F.struct("pop", (-F.col("title_id")).alias("neg"), "title_id", "title")

@@ -18,6 +18,41 @@ def _state_count(view: str) -> str:
     return f"count(*) filter (where state in {_list(K.JOB_VIEWS[view])}) as {view}"
 
 
+# Longest matching blocks of each pair of titles, again and again to the left and right of what is found: the earliest
+# in the title, then the earliest in the query. All pairs of titles and queries are held to the candidates' rule.
+MATCHES = """
+with recursive named as (select p_partkey as file_id, {title} as title,
+   cast(case when p_partkey%3=1 then 1950+p_partkey%75 end as integer) as year, p_partkey%3=0 as is_tv,
+   case when p_partkey%3=0 then 1+p_partkey%9 end as season, case when p_partkey%3=0 then 1+p_partkey%20 end as episode from part),
+ wanted as (select distinct lower(title) as q, year, is_tv from named),
+ entries as (select p_partkey%2=1 as is_tv, lower(p_name) as t, 1950+p_partkey%75 as cyear, cast(p_size as double) as pop,
+   p_partkey as title_id, p_name as title from part),
+ texts as (select distinct is_tv, q as s from wanted union select distinct is_tv, t from entries),
+ grams as (select is_tv, s, substr(' '||s||' ', i, 2) as g, row_number() over (partition by is_tv, s, substr(' '||s||' ', i, 2)) as k
+   from texts, unnest(range(1, length(s)+2)) as u(i)),
+ shared as (select a.is_tv, a.s as q, b.s as t, count(*) as n from grams a join grams b using (is_tv, g, k) group by 1,2,3),
+ near as (select * from shared where 5*n >= length(q)+length(t)+2 and (is_tv,q) in (select is_tv,q from wanted)
+   and (is_tv,t) in (select is_tv,t from entries)),
+ parts as (select distinct q, t, t as a, q as b, 0 as k from near
+   union all
+   select q, t, case when side=0 then substr(a,1,i-1) else substr(a,i+n) end,
+     case when side=0 then substr(b,1,strpos(b,substr(a,i,n))-1) else substr(b,strpos(b,substr(a,i,n))+n) end, case when side=0 then n else 0 end
+   from (select *, -best.i as i, best.n as n from (select *, list_max(list_transform(range(1,length(a)+1), lambda i:
+       {{'n': list_max(list_filter(range(0,length(a)-i+2), lambda n: contains(b, substr(a,i,n)))), 'i': -i}})) as best from parts where a<>'' and b<>'')),
+     (values (0),(1)) as s(side) where n > 0),
+ ratios as (select q, t, 2.0*cast(sum(k) as double)/(length(q)+length(t)) as ratio from parts group by q, t),
+ scored as (select w.q, w.year, w.is_tv, e.*exclude(is_tv), r.ratio
+     + case when w.year is null then 0.0 when e.cyear=w.year then 0.15 when abs(e.cyear-w.year)=1 then 0.05 else -0.20 end
+     + least(e.pop/1000, 0.05) as score, coalesce(e.cyear=w.year, false) as same
+   from wanted w join near n on n.q=w.q and n.is_tv=w.is_tv join ratios r on r.q=n.q and r.t=n.t join entries e on e.t=n.t and e.is_tv=w.is_tv),
+ ranked as (select *, row_number() over (partition by q, year, is_tv order by score desc, pop desc, title_id) as rn from
+   (select *, max(same) over (partition by q, year, is_tv) as any_same from scored) where is_tv or year is null or same or not any_same),
+ matches as (select q, year, is_tv, title_id, title as match_title, cast(cyear as integer) as match_year,
+   cast(h + case when x-h>0.5 or x-h=0.5 and h%2=1 then 1 else 0 end as double)/100 as confidence
+   from (select *, floor(x) as h from (select *, 100*cast(cast(least(score,1.0) as varchar) as decimal(30,20)) as x from ranked))
+   where rn=1 and score >= 0.62)
+"""
+
 NAME = "lower(regexp_replace(path,'^.*/',''))"
 EXT = "lower(regexp_replace(path,'^.*[.]',''))"
 TIER = "case when height>=1600 then 'uhd' when height>=1000 then 'fullhd' when height>=700 then 'hd' else 'sd' end"
@@ -561,6 +596,13 @@ ORACLES.update(
  cast(case when p_partkey%3=0 then 1+p_partkey%9 end as integer) as season,
  cast(case when p_partkey%3=0 then 1+p_partkey%20 end as integer) as episode,
  p_partkey%3=0 as is_tv, p_partkey%3<>2 as confident from part""",
+        "title_matches": MATCHES.format(title=TITLE) + "select * from matches",
+        "enriched_names": MATCHES.format(title=TITLE)
+        + """select n.file_id, coalesce(match_title, n.title) as title, coalesce(match_year, n.year) as year,
+ cast(title_id as varchar) as tmdb, case when n.is_tv then cast(title_id+100000 as varchar) end as tvdb,
+ case when title_id is not null and season=2 and episode=5 then concat('Part ', match_title) end as episode_title,
+ title_id is not null as looked_up
+ from named n left join matches m on m.q=lower(n.title) and m.year is not distinct from n.year and m.is_tv=n.is_tv""",
         "rename_plan": ctes("v_libraries", "v_naming", "v_files", "v_names")
         + f""", named as (select n.file_id, n.name, l.*exclude(name), g.*exclude(library_id), {TITLE} as title,
    p_partkey%3 as kind from v_names n join part on p_partkey=n.file_id

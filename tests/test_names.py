@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -80,16 +81,18 @@ def norm(text):
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", text.lower())).strip()
 
 
+def shared_pairs(a, b):
+    """Twice the shared letter pairs over all of both."""
+    one, two = ([f" {x} "[i : i + 2] for i in range(len(x) + 1)] for x in (a, b))
+    return 2 * sum((Counter(one) & Counter(two)).values()) / (len(one) + len(two))
+
+
 def brute_force(wanted, catalogue):
     """Every query against every title, one at a time."""
     out = {}
     for title, year, tv in set(wanted):
         q = norm(title)
-        words = set(q.split(" "))
-        hits = [
-            c for c in catalogue
-            if c[4] == tv and 2 * len(words & set(norm(c[1]).split(" "))) > len(words)
-        ]
+        hits = [c for c in catalogue if c[4] == tv and shared_pairs(q, norm(c[1])) >= 0.4]
         if year and not tv:
             hits = [c for c in hits if c[2] == year] or hits
         best, best_score = None, 0.0
@@ -127,6 +130,22 @@ def test_matching_equals_brute_force(spark):
     assert len(got) > 60 and all(0.62 <= r.confidence <= 1.0 for r in got)
 
 
+def test_candidates_lose_no_pair_and_few_ratios(spark):
+    """Prefixes against all pairs; nine tenths of all pairs with a ratio over the floor are candidates."""
+    rng = random.Random(5)
+    words = "the red blue old man sea night of star lost king queen road return island winter river".split()
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(250)} | {"a", "aa", "aaaaaaa", "b"})
+    schema = "is_tv boolean, {} string"
+    q, t = (spark.createDataFrame([(True, x) for x in texts], schema.format(c)) for c in "qt")
+    got = {(r.q, r.t) for r in matching.candidate_pairs(q, t).collect()}
+    want = {(a, b) for a in texts for b in texts if shared_pairs(a, b) >= 0.4}
+    assert got == want and len(got) < 0.25 * len(texts) ** 2
+    over = {(a, b) for a in texts for b in texts if difflib.SequenceMatcher(None, b, a).ratio() >= 0.62}
+    assert len(over & got) >= 0.9 * len(over)
+    rows = q.join(t, "is_tv").select("q", "t", matching.ratio_bound(*[matching.letters(F.col(c)) for c in "tq"]).alias("bound")).collect()
+    assert all(r.bound >= difflib.SequenceMatcher(None, r.t, r.q).ratio() - 1e-12 for r in rows)
+
+
 def test_titles_with_slips_are_found(spark):
     """A slip in a word, a missing word, other word breaks: what comparing with every title finds."""
     rng = random.Random(11)
