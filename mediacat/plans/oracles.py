@@ -682,6 +682,26 @@ ORACLES.update(
  g as (select *, case when t-lag(t) over (partition by node_id order by t)<=600 then 0 else 1 end as fresh from e),
  n as (select *, sum(fresh) over (partition by node_id order by t rows unbounded preceding) as run from g)
  select node_id, min(t) as session_start, max(t) as session_end, count(*) as events from n group by node_id, run""",
+        "streamed_reports": ctes("v_progress", "v_jobs")
+        + """, e as (select p.*, j.state as held, last_value(case when kind<>'progress' then kind end ignore nulls) over
+   (partition by job_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before
+   from v_progress p left join v_jobs j on j.id=p.job_id),
+ c as (select *, kind='progress' and case when before is not null then before='started' else coalesce(held in ('leased','running'), true) end as accepted from e),
+ l as (select *, last_value(case when kind='started' then 0.0 when accepted then progress end ignore nulls) over
+   (partition by job_id order by ts, event_id rows between unbounded preceding and 1 preceding) as last from c)
+ select job_id, count(*) filter (where accepted) as accepted, count(*) filter (where not accepted) as refused,
+   max(cast(floor(epoch(ts)) as bigint)) filter (where accepted and progress>coalesce(last,0.0)) as progress_s
+ from l where kind='progress' group by 1""",
+        "streamed_sessions": ctes("v_progress")
+        + """, e as (select node_id, cast(floor(epoch(ts)) as bigint) as t from v_progress),
+ g as (select *, case when t-lag(t) over (partition by node_id order by t)<=600 then 0 else 1 end as fresh from e),
+ n as (select *, sum(fresh) over (partition by node_id order by t rows unbounded preceding) as run from g)
+ select node_id, min(t) as session_start, max(t) as session_end, count(*) as events from n group by node_id, run""",
+        "streamed_savings": ctes("v_jobs").replace("coalesce(f_size, cast(floor(o_totalprice*10000) as bigint))", "cast(floor(o_totalprice*10000) as bigint)")
+        + f"""select {DAY} as day, count(*) as files, {_bigint_sum('size_before')} as before, {_bigint_sum('size_after')} as after
+ from v_jobs where state='done' group by 1""",
+        "streamed_requests": ctes("v_scan", "v_jobs")
+        + f"select path, count(distinct path) as asked from v_scan where path not in (select path from v_jobs where state in {ACTIVE}) group by 1",
         "daily_savings": ctes("v_jobs")
         + f"""select {DAY} as day, count(*) as files, {_bigint_sum('size_before')} as before,
  {_bigint_sum('size_after')} as after,

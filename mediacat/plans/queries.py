@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from mediacat.operators import (
     audit, keyed, ledger, logs, matching, nodes, originals, outcomes, progress, scan, tracks,
 )
 from mediacat.plans import scan_plan
-from mediacat.plans.views import Views
+from mediacat.plans.views import JOBS, SCAN, Views
 from mediacat.sources.tables import KeyedTable, scratch_folder
+from mediacat.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -887,3 +889,68 @@ def daily_savings(v: Views) -> DataFrame:
     )
     saved = F.col("before") - F.col("after")
     return daily.withColumn("percent", _percent(saved, F.col("before")))
+
+
+# ---- streams, run over what there is -----------------------------------------
+
+
+@contextmanager
+def _streaming(v: Views) -> Iterator[str]:
+    """A new folder, and the state store that the processors need for the time being."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(key, None)
+    v.spark.conf.set(key, streams.STATE_STORE)
+    try:
+        yield scratch_folder(v.spark)
+    finally:
+        v.spark.conf.set(key, before) if before else v.spark.conf.unset(key)
+
+
+@query
+def streamed_reports(v: Views) -> DataFrame:
+    """Reports that the job tracker takes and refuses, and when progress last moved; it starts from the ledger."""
+    spoken_of = v.progress().select(F.col("job_id").alias("id")).distinct()
+    ledger_ = v.jobs(sizes=False).select("id", "state", F.lit(0.0).alias("progress")).join(spoken_of, "id", "left_semi")
+    with _streaming(v) as folder:
+        tracked = streams.track_jobs(v.progress_stream(), ledger=ledger_)
+        streams.run_through(tracked, folder, "reports")
+    return v.spark.read.parquet(f"{folder}/reports").where("event in ('report', 'refused')").groupBy("job_id").agg(
+        F.count_if(F.col("event") == "report").alias("accepted"), F.count_if(F.col("event") == "refused").alias("refused"),
+        F.max(F.unix_timestamp("progress_at")).alias("progress_s"),
+    )
+
+
+@query
+def streamed_sessions(v: Views) -> DataFrame:
+    """Spells in which nodes were heard from, as the stream has them at its end. Its times count whole seconds."""
+    beats = v.progress_stream().select("node_id", F.date_trunc("second", "ts").alias("ts"))
+    with _streaming(v) as folder:
+        streams.run_through(
+            # Spells whose gap is just 600 s are one, as in the stream itself.
+            streams.node_sessions(beats, gap_s=600), folder, "sessions", "complete",
+            lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/sessions"),
+        )
+    return v.spark.read.parquet(f"{folder}/sessions").select(
+        "node_id", *[F.unix_timestamp(c).alias(c) for c in ("session_start", "session_end")], "events"
+    )
+
+
+@query
+def streamed_savings(v: Views) -> DataFrame:
+    """Files and bytes by day of completion, from a stream kept in a table by day."""
+    orders = v.stream("orders").withColumn("f_size", F.lit(None).cast("bigint")).selectExpr(*[f"{e} as {c}" for c, e in JOBS.items()])
+    done = orders.where("state = 'done'").select(F.timestamp_seconds(F.col("created_s") + 3600).alias("finished_at"), "size_before", "size_after")
+    with _streaming(v) as folder:
+        table = KeyedTable(f"{folder}/savings", "day timestamp, files bigint, before bigint, after bigint", ["day"], ["files"])
+        streams.run_through(streams.daily_savings(done), folder, "daily", "update", table.upsert)
+    days = table.read(v.spark)
+    return days.select(F.floor(F.unix_timestamp("day") / 86400).cast("bigint").alias("day"), "files", "before", "after")
+
+
+@query
+def streamed_requests(v: Views) -> DataFrame:
+    """Paths asked for that have no active job, each once."""
+    asked = v.stream("lineitem").selectExpr(f"{SCAN['path']} as path", "timestamp_seconds(1700000000) as ts")
+    with _streaming(v) as folder:
+        streams.run_through(streams.not_active(streams.first_requests(asked), v.jobs(sizes=False)), folder, "requests")
+    return v.spark.read.parquet(f"{folder}/requests").groupBy("path").agg(F.count(F.lit(1)).alias("asked"))

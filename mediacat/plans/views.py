@@ -385,6 +385,13 @@ class Views:
     def progress(self) -> DataFrame:
         return self.table("events").selectExpr(*_columns(PROGRESS))
 
+    def stream(self, name: str) -> DataFrame:
+        """A given table as a stream; its file or folder is found by pattern, as streams read folders."""
+        return self.spark.readStream.schema(self.table(name).schema).option("recursiveFileLookup", True).parquet(f"{self.folder}/{name}.parquet*")
+
+    def progress_stream(self) -> DataFrame:
+        return self.stream("events").selectExpr(*_columns({**PROGRESS, "ts": "cast(ts as timestamp)"}))
+
     def plines(self) -> DataFrame:
         return self.table("events").selectExpr(*_columns(PLINES))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from mediacat.functions.constants import ACTIVE_STATES, LEASE_S
 
 #: How long a finished job's state and a path's last size are kept, in seconds.
 KEEP_S = 86_400
+#: Rows that a processor gives out at a time.
+CHUNK = 10_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _REPORT = (
@@ -46,7 +49,9 @@ class JobTracker(StatefulProcessor):
 
     Emits a row per accepted report ('report') and refused one ('refused'), and one each time the
     lease runs out ('lease_expired') or progress stands still for too long ('stalled'). A job that has
-    ended is forgotten `keep_s` after its last event, until when late reports are refused.
+    ended is forgotten `keep_s` after its last event, until when late reports are refused. Jobs that the ledger
+    given at the start has in another state than leased or running are refused too, until they are started again;
+    jobs that it does not have are taken as running.
     """
 
     def __init__(self, lease_s: int = LEASE_S, stall_s: int = 1800, keep_s: int = KEEP_S):
@@ -56,30 +61,35 @@ class JobTracker(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", _STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """What the ledger knows of the job before the first event."""
+        row, now = initialState.iloc[0], self._blank()
+        active = row["state"] in ("leased", "running")
+        now.update(state="running" if active else str(row["state"]))
+        if active and pd.notna(row["progress"]):
+            now["progress"] = float(row["progress"])
+        self.state.update(tuple(now.values()))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self._load()
-        # Rows of one job within one micro-batch: give the source a rate limit (maxFilesPerTrigger and the like).
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for row in batch.itertuples():
-            at = row.ts.value // 1000
+        now, out, at = self._load(), [], 0
+        for at, kind, progress, size_now in _in_order(rows):
             out += self._silences(key[0], now, at)
-            if row.kind == "started":
+            if kind == "started":
                 now.update(state="running", progress=0.0, seen_us=at, lease_told=False, stall_told=False)
-            elif row.kind == "complete":
+            elif kind == "complete":
                 now["state"] = "done"
-            elif row.kind == "fail":
+            elif kind == "fail":
                 now["state"] = "failed"
             elif now["state"] != "running":
                 out.append(self._row(key[0], "refused", at, now))
             else:
-                if row.progress > now["progress"]:
+                if progress > now["progress"]:
                     now.update(progress_us=at, stall_told=False)
-                now.update(
-                    progress=float(row.progress), seen_us=at, lease_told=False,
-                    size_now=int(row.size_now) if pd.notna(row.size_now) else None,
-                )
+                now.update(progress=progress, seen_us=at, lease_told=False, size_now=size_now)
                 out.append(self._row(key[0], "report", at, now))
+            if len(out) >= CHUNK:
+                yield _frame(out)
+                out = []
         self._store(now, at)
         yield _frame(out)
 
@@ -96,12 +106,15 @@ class JobTracker(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _load(self) -> dict:
+    @staticmethod
+    def _blank() -> dict:
         names = [part.split()[0] for part in _STATE.split(", ")]
-        if self.state.exists():
-            return dict(zip(names, self.state.get()))
         return dict(zip(names, ("running", 0.0, None, None, None, False, False)))
 
+    def _load(self) -> dict:
+        now = self._blank()
+        return dict(zip(now, self.state.get())) if self.state.exists() else now
+
     def _deadlines(self, now: dict) -> list[tuple[int, str, str]]:
         """When the running job would be given up on: (time, event, flag)."""
         if now["state"] != "running":
@@ -136,31 +149,66 @@ class JobTracker(StatefulProcessor):
 
     @staticmethod
     def _row(job_id: int, event: str, at_us: int, now: dict) -> tuple:
-        moved = now["progress_us"]
-        return (
-            job_id, event, pd.Timestamp(at_us, unit="us"), now["state"], now["progress"],
-            None if moved is None else pd.Timestamp(moved, unit="us"), now["size_now"],
+        return (job_id, event, at_us, now["state"], now["progress"], now["progress_us"], now["size_now"])
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str, float, int | None]]:
+    """A job's events of one micro-batch by time: microseconds, kind, progress, size.
+
+    They come in pieces and in no order. Only plain columns of numbers are kept of each piece, 41 bytes an event,
+    so that a job with a million events in a batch takes as many megabytes as the batch's other jobs do rows.
+    """
+    kinds: dict[str, int] = {}
+    parts = []
+    for piece in rows:
+        for kind in piece["kind"].unique():
+            kinds.setdefault(kind, len(kinds))
+        parts.append(
+            (
+                piece["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), piece["event_id"].to_numpy(np.int64),
+                piece["kind"].map(kinds).to_numpy(np.int8), piece["progress"].to_numpy(np.float64),
+                piece["size_now"].fillna(0).to_numpy(np.int64), piece["size_now"].notna().to_numpy(),
+            )
         )
+    at, ids, kind, progress, size, known = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    names = list(kinds)
+    order = np.lexsort((ids, at))
+    for start in range(0, len(order), CHUNK):
+        own = order[start : start + CHUNK]
+        columns = [c[own].tolist() for c in (at, kind, progress, size, known)]
+        for a, k, p, s, there in zip(*columns):
+            yield a, names[k], p, s if there else None
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [part.split()[0] for part in _REPORT.split(", ")]
     frame = pd.DataFrame(rows, columns=names)
-    frame["at"] = pd.to_datetime(frame["at"])
-    frame["progress_at"] = pd.to_datetime(frame["progress_at"])
+    for c in ("at", "progress_at"):
+        frame[c] = pd.to_datetime(frame[c].astype("Int64"), unit="us")
     frame["size_now"] = frame["size_now"].astype("Int64")
     return frame
 
 
 def track_jobs(
-    events: DataFrame, lease_s: int = LEASE_S, stall_s: int = 1800, lateness: str = "1 minute", keep_s: int = KEEP_S
+    events: DataFrame, lease_s: int = LEASE_S, stall_s: int = 1800, lateness: str = "1 minute", keep_s: int = KEEP_S,
+    ledger: DataFrame | None = None,
 ) -> DataFrame:
-    """Progress, refusals, lost leases and stalls of a stream of events."""
+    """Progress, refusals, lost leases and stalls of a stream of events.
+
+    ledger: id, state and progress of the jobs known when the stream starts for the first time (later starts go
+    on from the checkpoint). Each becomes a state; leave out jobs that ended too long ago to be reported on.
+    """
+    known = None
+    if ledger is not None:
+        known = ledger.select(
+            F.col("id").cast("bigint").alias("job_id"), "state", F.col("progress").cast("double").alias("progress")
+        ).groupBy("job_id")
     return (
         events.withWatermark("ts", lateness)
         .groupBy("job_id")
         .transformWithStateInPandas(
-            JobTracker(lease_s, stall_s, keep_s), outputStructType=_REPORT, outputMode="Append", timeMode="EventTime"
+            JobTracker(lease_s, stall_s, keep_s), outputStructType=_REPORT, outputMode="Append", timeMode="EventTime", initialState=known
         )
     )
 
@@ -198,14 +246,15 @@ class SizeWatch(StatefulProcessor):
         self.seen = handle.getValueState("size", "size bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["scan_s", "size"])
-        before = self.seen.get()[0] if self.seen.exists() else None
-        out = []
-        for row in batch.itertuples():
-            out.append((key[0], int(row.scan_s), int(row.size), before == row.size))
-            before = int(row.size)
-        self.seen.update((before,))
-        yield pd.DataFrame(out, columns=["path", "scan_s", "size", "stable"])
+        pieces = [(p["scan_s"].to_numpy(np.int64), p["size"].to_numpy(np.int64)) for p in rows]
+        scan_s, size = (np.concatenate(c) for c in zip(*pieces))
+        order = np.lexsort((size, scan_s))
+        scan_s, size = scan_s[order], size[order]
+        stable = np.append(self.seen.exists() and self.seen.get()[0] == size[0], size[1:] == size[:-1])
+        self.seen.update((int(size[-1]),))
+        for at in range(0, len(size), CHUNK):
+            own = slice(at, at + CHUNK)
+            yield pd.DataFrame({"path": key[0], "scan_s": scan_s[own], "size": size[own], "stable": stable[own].astype(bool)})
 
     def close(self) -> None:
         pass
@@ -257,3 +306,16 @@ def split_refused(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted and refused rows of `track_jobs`."""
     refused = F.col("event") == "refused"
     return reports.where(~refused), reports.where(refused)
+
+
+def run_through(df: DataFrame, folder: str, name: str, mode: str = "append", write=None) -> None:
+    """Run a stream over what there is now and end: into Parquet at `folder`/`name`, or batch by batch into `write`.
+
+    Checkpoints are at `folder`/checkpoints/`name`, so that the next call goes on with what has come since.
+    """
+    out = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoints/{name}").trigger(availableNow=True)
+    out = out.foreachBatch(write) if write else out.format("parquet").option("path", f"{folder}/{name}")
+    query = out.start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()

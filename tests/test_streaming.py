@@ -160,3 +160,89 @@ def test_repeats_are_dropped(spark, folders):
     got = run(spark, S.not_active(S.first_requests(src), jobs), folders, "firsts")
     busy = jobs.where("state in ('queued','leased','running')").select("path").distinct()
     assert got.count() == asks.select("path").distinct().join(busy, "path", "left_anti").count()
+
+
+def test_jobs_that_the_ledger_has_ended_are_refused(spark, tmp_path):
+    from datetime import datetime
+
+    ledger = spark.createDataFrame(
+        [(1, "cancelled", 0.0), (2, "running", 50.0), (3, "leased", None), (4, "queued", 0.0)], "id bigint, state string, progress double"
+    )
+
+    def batch(n, rows):
+        events = spark.createDataFrame(
+            [(10 * n + i, job, 0, datetime.fromisoformat(f"2024-01-01 {at}"), kind, p, 1) for i, (job, at, kind, p) in enumerate(rows)],
+            "event_id bigint, job_id bigint, node_id bigint, ts timestamp, kind string, progress double, size_now bigint",
+        )
+        events.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        S.run_through(S.track_jobs(src, ledger=ledger), str(tmp_path), "out")
+        return sorted((r.job_id, r.event, r.state, r.progress_at is not None) for r in spark.read.parquet(f"{tmp_path}/out").where("event in ('report', 'refused')").collect())
+
+    first = [
+        (1, "refused", "cancelled", False), (2, "report", "running", False), (3, "report", "running", True), (4, "refused", "queued", False),
+        (5, "report", "running", True),
+    ]
+    assert batch(0, [(j, "10:00", "progress", 40.0) for j in range(1, 6)]) == first
+    later = [(1, "10:01", "started", 0.0), (1, "10:02", "progress", 1.0), (4, "10:02", "progress", 1.0)]
+    assert batch(1, later) == sorted([*first, (1, "report", "running", True), (4, "refused", "queued", False)])
+
+
+class Store:
+    """What a processor needs of Spark: one value and timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, *_):
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    listTimers = lambda self: list(self.timers)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_job_with_a_million_events_in_one_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, piece = 1_000_000, 10_000
+    rng = np.random.default_rng(3)
+    order = rng.permutation(n)
+
+    def pieces():
+        for at in range(0, n, piece):
+            i = order[at : at + piece]
+            yield pd.DataFrame({
+                "ts": pd.to_datetime(i * 10**6, unit="us"), "event_id": i, "kind": np.where(i == n - 5, "complete", "progress"),
+                "progress": i / n * 100, "size_now": pd.array(i, dtype="Int64"),
+            })
+
+    store = Store()
+    tracker = S.JobTracker()
+    tracker.init(store)
+    tracemalloc.start()
+    counts, last = {}, None
+    for frame in tracker.handleInputRows((7,), pieces(), None):
+        assert len(frame) <= S.CHUNK + 2
+        for event, k in frame["event"].value_counts().items():
+            counts[event] = counts.get(event, 0) + k
+        last = frame if len(frame) else last
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == {"report": n - 5, "refused": 4} and last["progress"].iloc[-1] == (n - 6) / n * 100
+    assert peak < 250e6
+    assert store.value[0] == "done" and len(store.timers) == 1
+
+    watch = S.SizeWatch()
+    watch.init(Store())
+    scans = (pd.DataFrame({"path": "p", "scan_s": order[at : at + piece], "size": order[at : at + piece] // 2}) for at in range(0, n, piece))
+    stable = pd.concat(watch.handleInputRows(("p",), scans, None))
+    assert len(stable) == n and stable["stable"].sum() == n // 2 and stable["scan_s"].is_monotonic_increasing
