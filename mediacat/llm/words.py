@@ -8,7 +8,6 @@ import numpy as np
 
 U = np.uint64
 _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93, 2: 0xC2B2AE3D27D4EB4F, 3: 0xA0761D6478BD642F}
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,26 +17,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below n at least."""
-    have = _POWERS.get(lane)
-    if have is None or len(have[0]) < n:
-        base = _BASE[lane] | 1
-        back, out = pow(base, -1, 2**64), []
-        for b in (base, back):
-            powers = np.full(n + n // 16, b, U)
-            powers[0] = 1
-            out.append(np.cumprod(powers))
-        _POWERS[lane] = have = (out[0], out[1])
-    return have
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i below n."""
+    powers = np.full(n, base, U)
+    powers[:1] = 1
+    return np.cumprod(powers)
+
+
+#: The powers below STEP of each lane's base and of its inverse; all others are a product with one of every STEP-th.
+STEP = 1024
+_LOW = {lane: (_powers(b | 1, STEP), _powers(pow(b | 1, -1, 2**64), STEP)) for lane, b in _BASE.items()}
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """Fingerprint of values[start:end] for each start and end; the same wherever the run stands."""
-    up, down = _powers(len(values) + 1, lane)
+    """Fingerprint of values[start:end] for each start and end; the same wherever the run stands.
+
+    Nothing of the size of `values` is kept from call to call.
+    """
+    base, (up, down), steps = _BASE[lane] | 1, _LOW[lane], len(values) // STEP + 1
     sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    every = _powers(pow(base, STEP, 2**64), steps)
+    np.cumsum(values * (every[:, None] * up).ravel()[: len(values)], out=sums[1:])
+    back = _powers(pow(base, -STEP, 2**64), steps)[starts // STEP] * down[starts % STEP]
+    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(U))
 
 
 LOWER = np.arange(256, dtype=np.uint8)
