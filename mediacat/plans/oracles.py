@@ -682,6 +682,18 @@ ORACLES.update(
  g as (select *, case when t-lag(t) over (partition by node_id order by t)<=600 then 0 else 1 end as fresh from e),
  n as (select *, sum(fresh) over (partition by node_id order by t rows unbounded preceding) as run from g)
  select node_id, min(t) as session_start, max(t) as session_end, count(*) as events from n group by node_id, run""",
+        "probed_files": ctes("v_files")
+        + """, k as (select *, not (file_id%17=0 or file_id%19=0) as known, not (file_id%17=0 or file_id%19=0 or file_id%23=0) as whole from v_files)
+ select path, case when whole then size when known then 0 end as size,
+   case when whole then duration_s+cast(0.5 as double) when known then cast(0 as double) end as duration_s,
+   case when whole then video_bitrate when known then 0 end as bitrate,
+   case when whole then case when file_id%2=0 and video_bitrate-128000<>0 then video_bitrate-128000 else greatest(0, video_bitrate-192000) end
+     when known then 0 end as video_bitrate,
+   case when whole then video_codec end as video_codec, case when known then case when whole then bit_depth else 8 end end as bit_depth,
+   case when whole then height end as height, case when whole then audio_codec when known then '' end as audio from k""",
+        "decoded_nodes": """select s_suppkey as id, case when s_suppkey%4<2 then '' else concat('enc',s_suppkey%7,',libx265') end as encoders,
+ cast(case when s_suppkey%3=0 then 0 else 1 end as bigint) as mounts, case when s_suppkey%3<>0 then concat('/media/lib',s_suppkey%5) end as server,
+ case when s_suppkey%5>1 then greatest(s_suppkey%100+cast(0.5 as double), 20) end as fastest from supplier""",
         "streamed_reports": ctes("v_progress", "v_jobs")
         + """, e as (select p.*, j.state as held, last_value(case when kind<>'progress' then kind end ignore nulls) over
    (partition by job_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before

@@ -16,7 +16,8 @@ from mediacat.operators import (
     audit, keyed, ledger, logs, matching, nodes, originals, outcomes, progress, scan, tracks,
 )
 from mediacat.plans import scan_plan
-from mediacat.plans.views import JOBS, SCAN, Views
+from mediacat.plans.views import DOCUMENT, JOBS, NODE_TEXTS, SCAN, Views
+from mediacat.sources import readers
 from mediacat.sources.tables import KeyedTable, scratch_folder
 from mediacat.streaming import jobs as streams
 
@@ -891,6 +892,36 @@ def daily_savings(v: Views) -> DataFrame:
     return daily.withColumn("percent", _percent(saved, F.col("before")))
 
 
+# ---- JSON as it is stored ------------------------------------------------------
+
+
+def _stored(v: Views, table: DataFrame, name: str) -> str:
+    folder = f"{scratch_folder(v.spark)}/{name}"
+    table.write.parquet(folder)
+    return folder
+
+
+@query
+def probed_files(v: Views) -> DataFrame:
+    """Probe documents as stored, some broken, some NULL, some empty, in the shape that the rules read."""
+    docs = v.files().selectExpr("path", f"{DOCUMENT} as document")
+    probed = readers.probe_documents(v.spark.read.parquet(_stored(v, docs, "documents")))
+    out = readers.probe_summary(probed).withColumn("audio", F.array_join("audio_codecs", ","))
+    return out.select("path", "size", "duration_s", "bitrate", "video_bitrate", "video_codec", "bit_depth", "height", "audio")
+
+
+@query
+def decoded_nodes(v: Views) -> DataFrame:
+    """A table of nodes as stored: lists and figures as JSON text, unreadable ones as empty as missing ones."""
+    rows = v.table("supplier").selectExpr("s_suppkey as id", *[f"{text} as {c}" for c, text in NODE_TEXTS.items()])
+    nodes_ = readers.state_table(v.spark, _stored(v, rows, "nodes"), "id")
+    speeds = F.map_values(F.coalesce("benchmarks", F.create_map().cast("map<string,double>")))
+    return nodes_.select(
+        "id", F.array_join("encoders", ",").alias("encoders"), F.size("mounts").cast("bigint").alias("mounts"),
+        F.try_element_at(F.col("mounts.server"), F.lit(1)).alias("server"), F.array_max(speeds).alias("fastest"),
+    )
+
+
 # ---- streams, run over what there is -----------------------------------------
 
 

@@ -212,6 +212,22 @@ BENCH_RUNS = {
     ),
 }
 
+#: A file's probe document: every 17th is broken, every 19th missing, every 23rd empty; even files name their video's rate.
+DOCUMENT = (
+    "case when file_id%17=0 then concat('{\"format\": {', path) when file_id%19=0 then null when file_id%23=0 then '{}' else concat("
+    "'{\"format\":{\"size\":\"',cast(size as varchar(20)),'\",\"duration\":\"',cast(duration_s as varchar(20)),'.5\",\"bit_rate\":\"',"
+    "cast(video_bitrate as varchar(20)),'\"},\"streams\":[{\"index\":0,\"codec_type\":\"video\",\"codec_name\":\"',video_codec,'\",\"height\":',"
+    "cast(height as varchar(5)),case when file_id%2=0 then concat(',\"bit_rate\":\"',cast(video_bitrate-128000 as varchar(20)),'\"') else '' end,"
+    "',\"pix_fmt\":\"yuv420p',case when bit_depth=10 then '10le' else '' end,'\"},{\"index\":1,\"codec_type\":\"audio\",\"codec_name\":\"',audio_codec,"
+    "'\"}]}') end"
+)
+#: A node's JSON columns, unreadable or missing on some.
+NODE_TEXTS = {
+    "encoders": "case s_suppkey%4 when 0 then null when 1 then '[oops' else concat('[\"enc',cast(s_suppkey%7 as varchar(3)),'\",\"libx265\"]') end",
+    "mounts": "case s_suppkey%3 when 0 then '' else concat('[{\"server\":\"/media/lib',cast(s_suppkey%5 as varchar(3)),'\",\"local\":\"/mnt\"}]') end",
+    "benchmarks": "case s_suppkey%5 when 0 then 'null' when 1 then '{{{' else concat('{\"a\":',cast(s_suppkey%100 as varchar(5)),'.5,\"b\":20}') end",
+}
+
 INLINE = {
     "v_libraries": """(values
  (0,'lib0','/media/lib0','/out/lib0','archive',0,22,1),
