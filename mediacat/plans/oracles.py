@@ -641,8 +641,8 @@ ORACLES.update(
  cast(arg_max(line_no%9,line_no) filter (where line_no%5=2) as double) as speed from v_plines group by 1""",
         "failure_causes": CAUSES + "select job_id, cause_1, cause_2, audio_related, exit_code from causes",
         "failure_messages": CAUSES
-        + """select concat(case exit_code when -1094995529 then 'FFmpeg gave up — the data in the file wasn''t valid'
- when -28 then 'FFmpeg gave up — the disk is full' else concat('FFmpeg exited ',cast(exit_code as varchar)) end, ': ',
+        + """select concat(case exit_code when -1094995529 then 'FFmpeg failed, invalid data in the input'
+ when -28 then 'FFmpeg failed, no disk space left' else concat('FFmpeg ended with code ',cast(exit_code as varchar)) end, ': ',
  case when cause_1 is null then coalesce(last_line,'no output') when cause_2 is null then cause_1 else concat(cause_1,' — ',cause_2) end,
  case when audio_related then ' (an audio track could not be decoded: copying the audio unchanged shows whether the rest is sound)' else '' end)
  as message, count(*) as jobs from causes group by 1""",

@@ -344,10 +344,10 @@ def test_failure_text(spark):
     rows = [(j, n, line, 1) for j, ls in logs_.items() for n, line in enumerate(ls)]
     lines = frame(spark, rows, "job_id int, line_no int, line string, returncode bigint")
     got = {r.job_id: r.message for r in logs.failure_messages(logs.failure_causes(lines)).collect()}
-    assert got[1].startswith("FFmpeg exited 1: audio track 2: Error sending") and "copying the audio unchanged" in got[1]
-    assert got[2] == "FFmpeg exited 1: Error opening output files: nothing — No such file here"
-    assert got[3] == "FFmpeg exited 1: just chatter"
-    assert got[4] == "FFmpeg exited 1: Invalid a — Invalid b"
+    assert got[1].startswith("FFmpeg ended with code 1: audio track 2: Error sending") and "copying the audio unchanged" in got[1]
+    assert got[2] == "FFmpeg ended with code 1: Error opening output files: nothing — No such file here"
+    assert got[3] == "FFmpeg ended with code 1: just chatter"
+    assert got[4] == "FFmpeg ended with code 1: Invalid a — Invalid b"
     many = frame(spark, [(1, n, f"error {n}", 1) for n in range(400)], "job_id int, line_no int, line string, returncode bigint")
     assert logs.failure_causes(many).first().cause_1 == "error 0"
     assert logs.failure_causes(logs.log_lines(many, tail=300)).first().cause_1 == "error 100"

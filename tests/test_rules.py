@@ -246,8 +246,8 @@ def test_log_lines(spark):
         L.clean_line(F.lit("[af#0:1 @ 0x2] Error sending")), L.clean_line(F.lit("[vf#0:0 @ 00a1] x")),
         L.clean_line(F.lit("[matroska @ 0x1] Bad")), L.clean_line(F.lit("[out#0/matroska @ 0x1] Bad")),
         L.clean_line(F.lit("plain")),
-    ) == ["FFmpeg gave up — the data in the file wasn't valid", "FFmpeg exited 1",
-          "FFmpeg gave up — an argument was rejected", "audio track 2: Error sending", "video track 1: x", "Bad",
+    ) == ["FFmpeg failed, invalid data in the input", "FFmpeg ended with code 1",
+          "FFmpeg failed, bad argument", "audio track 2: Error sending", "video track 1: x", "Bad",
           "[out#0/matroska @ 0x1] Bad", "plain"]
     up = lambda line, d=100.0: L.progress_update(F.lit(line), F.lit(d).cast("double"))
     got = values(spark, up("out_time_ms=50000000\n"), up("out_time_ms=999000000"), up("out_time_ms=5", None),
