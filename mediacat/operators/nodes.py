@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mediacat.functions import constants as K
 from mediacat.functions import paths
-from mediacat.operators.scan import root_depths
+from mediacat.operators.containment import below_folders
 
 
 def _families(encoders: Column) -> Column:
@@ -31,21 +31,23 @@ def _outer_roots(mounts: Column) -> Column:
     )
 
 
-def _root_rows(nodes: DataFrame) -> DataFrame:
-    return nodes.select(F.explode(_outer_roots(F.col("mounts"))).alias("root"))
-
-
 def _streamable(codec: Column, size: Column) -> Column:
     """Worth sending over the network: not a copy, and large or of unknown size."""
     known = F.coalesce(size, F.lit(0))
     return (codec != "copy") & ((known == 0) | (known >= K.REMOTE_MIN_BYTES))
 
 
+def _all_counts(held: Column) -> Column:
+    """Nodes counted at any of the nested folders, and the first of them."""
+    total = F.aggregate(held, F.lit(0).cast("bigint"), lambda n, r: n + r["value"]["n"])
+    return F.struct(total.alias("n"), F.array_min(F.transform(held, lambda r: r["value"]["first"])).alias("first"))
+
+
 def eligible_nodes(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Queued jobs with how many nodes could take them, and the first of those.
 
     Nodes are counted per (codec, mounted folder) and per codec before they meet the jobs, so the
-    work is one lookup per job and folder depth rather than one row per job and node. The outer
+    work is one lookup per job rather than one row per job and node. The outer
     mounts of a node never contain each other, so the counts add up.
     Needs id, path, codec, size_before; nodes: node_id, encoders, mounts.
     """
@@ -56,24 +58,12 @@ def eligible_nodes(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_root = (
         able.select("node_id", "codec", F.explode(_outer_roots(F.col("mounts"))).alias("root"))
         .groupBy("codec", "root")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
+        .agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first")).alias("value"))
     )
     out = jobs.withColumn("__path", paths.unify_slashes(F.col("path"))).join(by_codec, "codec", "left")
-    depths = root_depths(_root_rows(nodes), "root")
-    for d in depths:
-        side = by_root.where(paths.depth(F.col("root")) == d).select(
-            F.col("codec"), F.col("root").alias(f"__r{d}"), F.col("n").alias(f"__n{d}"),
-            F.col("first").alias(f"__f{d}"),
-        )
-        out = out.withColumn(f"__r{d}", paths.ancestor_at(F.col("__path"), d)).join(
-            side, ["codec", f"__r{d}"], "left"
-        )
-    local = F.lit(0)
-    for d in depths:
-        local = local + F.coalesce(F.col(f"__n{d}"), F.lit(0))
-    # greatest/least need two arguments and skip NULL.
-    null_id = F.lit(None).cast(nodes.schema["node_id"].dataType)
-    local_first = F.least(null_id, null_id, *[F.col(f"__f{d}") for d in depths])
+    out = below_folders(out, by_root, _all_counts, "__near", "__path", ["codec"])
+    local = F.coalesce(F.col("__near.n"), F.lit(0))
+    local_first = F.col("__near.first")
     stream = _streamable(F.col("codec"), F.col("size_before"))
     return out.select(
         "id",
@@ -106,24 +96,21 @@ def next_job_per_node(jobs: DataFrame, nodes: DataFrame, active: DataFrame) -> D
     queued = jobs.where(F.col("state") == "queued").select(
         "id", "codec", "size_before", paths.unify_slashes(F.col("path")).alias("path")
     )
-    wanted = roots.select("codec", "root").distinct()
-    local = None
-    for d in root_depths(_root_rows(nodes), "root"):
-        level = (
-            queued.select("id", "codec", paths.ancestor_at(F.col("path"), d).alias("root"))
-            .groupBy("codec", "root")
-            .agg(F.min("id").alias("id"))
-            .join(wanted, ["codec", "root"], "left_semi")
-        )
-        local = level if local is None else local.unionByName(level)
+    wanted = roots.select("codec", "root").distinct().withColumn("value", F.lit(True))
+    local = (
+        below_folders(queued, wanted, lambda held: F.transform(held, lambda r: r["root"]), "__roots", "path", ["codec"])
+        .select("id", "codec", F.explode("__roots").alias("root"))
+        .groupBy("codec", "root")
+        .agg(F.min("id").alias("id"))
+    )
     stream = (
         queued.where(_streamable(F.col("codec"), F.col("size_before")))
         .groupBy("codec")
         .agg(F.min("id").alias("id"))
     )
-    offers = able.join(stream, "codec").select("node_id", "id")
-    if local is not None:
-        offers = offers.unionByName(roots.join(local, ["codec", "root"]).select("node_id", "id"))
+    offers = able.join(stream, "codec").select("node_id", "id").unionByName(
+        roots.join(local, ["codec", "root"]).select("node_id", "id")
+    )
     best = offers.groupBy("node_id").agg(F.min("id").alias("id"))
     chosen = best.join(ready.select("node_id", "mounts"), "node_id").join(
         jobs.select("id", "path"), "id"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions import paths
-from mediacat.operators.scan import root_depths
+from mediacat.operators.containment import below_folders
 
 
 def summary(originals: DataFrame) -> DataFrame:
@@ -90,17 +90,10 @@ def archived_source(jobs: DataFrame, libraries: DataFrame, originals: DataFrame,
 
     # Inventory below an originals folder, reduced to one path per folder and file name. Folders
     # may be nested, so a file counts for each of them that contains it.
-    homes = libs.where("__archives").select("__home").distinct()
-    per_depth = []
-    for d in root_depths(homes, "__home"):
-        at = homes.where(paths.depth(F.col("__home")) == d)
-        per_depth.append(
-            there.withColumn("__home", paths.ancestor_at(F.col("path"), d)).join(at, "__home", "left_semi")
-        )
-    # Where no library archives, nothing is below an originals folder.
-    below_home = there.select("path", F.lit(None).cast("string").alias("__home")).where(F.lit(False))
-    for more in per_depth:
-        below_home = below_home.unionByName(more.select("path", "__home"))
+    homes = libs.where("__archives").select(F.col("__home").alias("root")).distinct().withColumn("value", F.lit(True))
+    below_home = below_folders(
+        there, homes, lambda held: F.transform(held, lambda r: r["root"]), "__homes"
+    ).select("path", F.explode("__homes").alias("__home"))
     searched = below_home.groupBy("__home", paths.file_name(F.col("path")).alias("__name")).agg(
         F.min("path").alias("__searched")
     )

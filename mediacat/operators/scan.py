@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mediacat.functions import constants as K
 from mediacat.functions import names, paths, rules
+from mediacat.operators.containment import below_folders
 
 
 def media_only(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -16,12 +17,6 @@ def media_only(listing: DataFrame, path: str = "path") -> DataFrame:
     return listing.where(paths.is_video(p) & ~paths.in_skip_dir(p))
 
 
-def root_depths(libraries: DataFrame, root: str) -> list[int]:
-    """Distinct depths of library folders, deepest first: a handful of integers."""
-    rows = libraries.select(paths.depth(_trimmed(F.col(root))).alias("d")).distinct().collect()
-    return sorted((r.d for r in rows if r.d is not None), reverse=True)
-
-
 def _trimmed(root: Column) -> Column:
     return F.regexp_replace(root, "/+$", "")
 
@@ -30,39 +25,17 @@ def owning_library(
     files: DataFrame, libraries: DataFrame, order: str = "name", path: str = "path",
     root: str = "watch_path",
 ) -> DataFrame:
-    """Files with `library_id` of the first library (by `order`) whose folder contains them.
+    """Files with `library_id` of the first library (by `order`) whose folder contains them, NULL where none does.
 
-    Containment is an equality on the ancestor at each depth at which a library folder lies, so
-    the file list is never shuffled for it, never exploded, and never compared with every library.
-    The first library among nested folders is worked out on the library side beforehand.
+    The first among nested folders is worked out on the library side; see `containment.below_folders` for
+    how files find it. No job runs while this is built, and the file list is read once.
     """
-    roots = libraries.select(
-        _trimmed(F.col(root)).alias("root"), F.struct(F.col(order).alias("place"), "library_id").alias("lib")
-    )
-    depths = root_depths(libraries, root)
-    same = roots.groupBy("root").agg(F.min("lib").alias("lib"))
-
-    # Best library among a folder itself and the library folders above it.
-    best = same
-    for d in depths:
-        above = same.select(F.col("root").alias(f"r{d}"), F.col("lib").alias(f"l{d}"))
-        best = best.join(above, paths.ancestor_at(F.col("root"), d) == F.col(f"r{d}"), "left")
-    best = best.select(
-        "root", F.least(F.col("lib"), F.col("lib"), *[F.col(f"l{d}") for d in depths]).alias("lib")
-    )
-
-    out = files
-    for d in depths:
-        side = best.where(paths.depth(F.col("root")) == d).select(
-            F.col("root").alias(f"__r{d}"), F.col("lib").alias(f"__l{d}")
-        )
-        out = out.join(side, paths.ancestor_at(F.col(path), d) == F.col(f"__r{d}"), "left")
-    # With no library at all there is no depth to look at.
-    none = F.lit(None).cast(roots.schema["lib"].dataType)
-    deepest = F.coalesce(none, *[F.col(f"__l{d}") for d in depths])
-    return out.withColumn("library_id", deepest["library_id"]).drop(
-        *[f"__{x}{d}" for d in depths for x in "rl"]
+    roots = (
+        libraries.select(_trimmed(F.col(root)).alias("root"), F.struct(F.col(order).alias("place"), "library_id").alias("lib"))
+        .groupBy("root").agg(F.min("lib").alias("value"))
     )
+    first = below_folders(files, roots, lambda held: F.array_min(F.transform(held, lambda r: r["value"])), "__owner", path)
+    return first.withColumn("library_id", F.col("__owner.library_id")).drop("__owner")
 
 
 def not_processed(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -92,6 +65,20 @@ def not_stuck(files: DataFrame, jobs: DataFrame) -> DataFrame:
     return files.join(stuck, (F.col("path") == F.col("__p")) & (F.col("size") == F.col("__s")), "left_anti")
 
 
+def ledger_marks(jobs: DataFrame) -> DataFrame:
+    """What a scan asks of the ledger, one row a path: `stuck_size` of its newest unresolved job, and `busy`.
+
+    `stuck` tells whether there is such a job, as its size may be NULL.
+    """
+    stuck = F.max(F.when(F.col("state").isin(K.STUCK_STATES), F.struct("id", "size_before")))
+    return (
+        jobs.where(F.col("state").isin([*K.STUCK_STATES, *K.ACTIVE_STATES]))
+        .groupBy("path")
+        .agg(stuck.alias("__s"), F.max(F.col("state").isin(K.ACTIVE_STATES)).alias("busy"))
+        .select("path", F.col("__s").isNotNull().alias("stuck"), F.col("__s.size_before").alias("stuck_size"), "busy")
+    )
+
+
 def stuck_files(files: DataFrame, jobs: DataFrame) -> DataFrame:
     """Files held back by an unresolved job, with that job."""
     return files.join(latest_stuck(jobs), "path").where(F.col("size") == F.col("job_size"))

@@ -30,24 +30,26 @@ def scan_libraries(
     earlier scans, for files too young to count as settled.
 
     Work already done drops out first; the probe table is met only by files that are complete
-    and pass the rules a listing can answer.
+    and pass the rules a listing can answer. Every table is met by path alone, and the ledger in one aggregate, so
+    that the listing is shuffled once.
     """
     files = scan.owning_library(scan.media_only(listing), libraries.where("enabled"))
-    files = scan.not_stuck(scan.not_processed(files, processed), jobs)
-    files = files.join(libraries.drop("name", "watch_path", "enabled"), "library_id")
-
+    files = scan.not_processed(files.where(F.col("library_id").isNotNull()), processed)
+    files = files.join(scan.ledger_marks(jobs), "path", "left")
+    held = F.col("stuck") & (F.col("size") == F.col("stuck_size"))
+    files = files.where(~F.coalesce(held, F.lit(False))).drop("stuck", "stuck_size").withColumnRenamed("busy", "__busy")
     settled = scan.is_settled(F.col("mtime_s"), now_s)
     if stable is not None:
         files = files.join(stable.select("path", "stable"), "path", "left")
         settled = settled | F.coalesce(F.col("stable"), F.lit(False))
+    files = files.join(libraries.drop("name", "watch_path", "enabled"), "library_id")
+
     cheap = rules.skip_reason(F.col("path"), F.col("size"), F.col("filters"))
     files = files.withColumn("settled", settled).withColumn(
         "__look", F.col("settled") & cheap["code"].isNull()
     )
     found = probes.select(F.col("path").alias("__probe"), *PROBE_COLUMNS)
-    busy = jobs.where(F.col("state").isin(K.ACTIVE_STATES)).select("path").distinct()
-    wanted = (F.col("path") == F.col("__probe")) & F.col("__look")
-    df = files.join(found, wanted, "left").join(busy.withColumn("__busy", F.lit(True)), "path", "left")
+    df = files.join(found, (F.col("path") == F.col("__probe")) & F.col("__look"), "left")
     df = scan.decide(df)
     right = (F.col("plan.action") == "skip") & F.col("skip_matching")
     outcome = (
