@@ -21,6 +21,10 @@ ARCHIVE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+MEMBER_OR_VERSION = re.compile(re.escape(GZIP) + b"|" + VERSION.pattern)
+HEAD_END = re.compile(rb"\r\n\r\n")
+SIGN_BYTES = 10
+WINDOW = 4 << 20
 LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 RECORDS = (
@@ -67,25 +71,68 @@ def _key(text: str) -> str:
     return unquote(text.strip().removeprefix("<urn:lookup:").removesuffix(">"), errors="surrogatepass")
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, int]:
-    """The record at data[at:] and where it ends; ValueError says which check it failed."""
-    if not VERSION.match(data, at):
+class _Window:
+    """Bytes of an open file by their place; WINDOW of them, or one longer record, are held at a time."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size = file, file.size()
+        self.base, self.held = 0, b""
+
+    def _offset(self, at: int, n: int) -> int:
+        """Where `at` lies in what is held, after reading what of its next n bytes is not."""
+        n = max(0, min(n, self.size - at))
+        if at < self.base or at + n > self.base + len(self.held):
+            self.base, self.held = at, self.file.read_at(max(n, min(WINDOW, self.size - at)), at)
+        return at - self.base
+
+    def come_to(self, at: int) -> None:
+        """Hold a sixteenth of a window from `at` on, so that a header is not read in two halves."""
+        self._offset(at, WINDOW // 16)
+
+    def bytes(self, at: int, n: int) -> bytes:
+        if at >= self.size:
+            return b""
+        start = self._offset(at, n)
+        return self.held[start : start + n]
+
+    def peek(self, at: int, n: int) -> bytes:
+        """As `bytes`, for a place to which the reading may not come: what is held stays."""
+        if self.base <= at and at + n <= self.base + len(self.held):
+            return self.bytes(at, n)
+        return self.file.read_at(min(n, self.size - at), at) if at < self.size else b""
+
+    def find(self, sign: re.Pattern, at: int) -> int:
+        """Where the next `sign` (of at most SIGN_BYTES) begins, the file's end if there is none."""
+        while at < self.size:
+            start = self._offset(at, SIGN_BYTES)  # may read, so before what is held is looked at
+            hit = sign.search(self.held, start)
+            if hit:
+                return self.base + hit.start()
+            end = self.base + len(self.held)
+            if end >= self.size:
+                break
+            at = max(at + 1, end - SIGN_BYTES + 1)
+        return self.size
+
+
+def _parse(source: _Window, at: int) -> tuple[dict, int]:
+    """The record at `at` and where it ends; ValueError says which check it failed."""
+    if not VERSION.match(source.bytes(at, SIGN_BYTES)):
         raise ValueError("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
+    head_end = source.find(HEAD_END, at)
+    if head_end >= source.size:
         raise ValueError("header does not end")
-    head = data[at : head_end + 2]
     fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in source.bytes(at, head_end + 2 - at).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
             fields[name.strip().lower()] = value.strip()
     if not fields.get("content-length", "").isdigit():
         raise ValueError("no content length")
     start, end = head_end + 4, head_end + 4 + int(fields["content-length"])
-    if data[end : end + 4] != b"\r\n\r\n":
+    if source.peek(end, 4) != b"\r\n\r\n":
         raise ValueError("block does not end where its length says")
-    block = data[start:end]
+    block = source.bytes(start, end - start)
     want = fields.get("warc-block-digest", "")
     if want.startswith("sha256:") and want[7:] != digest(block):
         raise ValueError("block digest differs")
@@ -108,58 +155,60 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at data[at:], checked, and where it ends."""
-    if not data.startswith(GZIP, at):
-        raise ValueError("no gzip member")
-    inflate, out, pos = zlib.decompressobj(31), [], at
+def _member_at(source: _Window, at: int) -> tuple[bytes, int]:
+    """The gzip member at `at`, checked, and where it ends; it must begin as a record does."""
+    inflate, out, pos = zlib.decompressobj(31), bytearray(), at
     try:
-        while not inflate.eof and pos < len(data):
-            out.append(inflate.decompress(data[pos : pos + (1 << 20)]))
-            pos += 1 << 20
+        while not inflate.eof and pos < source.size:
+            part = source.bytes(pos, 1 << 16)
+            out += inflate.decompress(part)
+            pos += len(part)
+            if len(out) >= SIGN_BYTES and not VERSION.match(out):
+                raise ValueError("no record in a gzip member")
     except zlib.error as e:
         raise ValueError("gzip member is damaged") from e
     if not inflate.eof:
         raise ValueError("gzip member is cut short")
-    return b"".join(out), min(pos, len(data)) - len(inflate.unused_data)
+    return bytes(out), pos - len(inflate.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
+def salvage(archive: bytes | pa.NativeFile, members: bool = True) -> Iterator[tuple[int, int, dict]]:
     """(start, end, record) of all records of an archive in order; a quarantined gap has kind 'gap' and a reason.
 
-    Compressed archives hold a record in each gzip member, others records one after another. Where a
-    check fails, the next place that reads as a whole record is looked for, from one byte further on;
-    what lies between is the gap.
+    A record stands by itself or in a gzip member, also in turns; all records of a member have the member's
+    start and end, and what is unreadable in a member that holds others is a gap with its place. Where a check
+    fails, the next gzip member or version line, whichever comes first, that reads as a whole record
+    is looked for, from one byte further on; what lies between is the gap. The file is read in windows:
+    held are WINDOW bytes, the longest record and the longest member, whatever the length of the archive. A length that damage
+    made larger is checked by the four bytes at its end before the block is read.
     """
+    source = _Window(pa.BufferReader(archive) if isinstance(archive, bytes) else archive)
+    sign = MEMBER_OR_VERSION if members else VERSION
     at, gap, why = 0, None, ""
-    packed = GZIP in data[:3] or (not VERSION.match(data) and data.find(GZIP) >= 0)
-    while at < len(data):
+    while at < source.size:
+        source.come_to(at)
         try:
-            if packed:
-                inside, end = _member_at(data, at)
-                found, used = _parse(inside, 0)
-                if used != len(inside):
-                    raise ValueError("more than a record in a member")
+            if members and source.bytes(at, len(GZIP)) == GZIP:
+                inside, end = _member_at(source, at)
+                found = [r for _, _, r in salvage(inside, members=False)]
+                if all(r["kind"] == "gap" for r in found):
+                    raise ValueError(found[0]["reason"] if found else "no record in a gzip member")
             else:
-                found, end = _parse(data, at)
+                one, end = _parse(source, at)
+                found = [one]
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            if packed:
-                at = data.find(GZIP, at + 1)
-            else:
-                sign = VERSION.search(data, at + 1)
-                at = sign.start() if sign else -1
-            if at < 0:
-                at = len(data)
+            at = source.find(sign, at + 1)
             continue
         if gap is not None:
             yield gap, at, {"kind": "gap", "reason": why}
             gap = None
-        yield at, end, found
+        for r in found:
+            yield at, end, r
         at = end
     if gap is not None:
-        yield gap, len(data), {"kind": "gap", "reason": why}
+        yield gap, source.size, {"kind": "gap", "reason": why}
 
 
 def _repeats(lookups: DataFrame, folder: str) -> DataFrame:
@@ -234,7 +283,7 @@ def read_archives(archives: DataFrame, path: str = "path") -> DataFrame:
     A row for each record: path, start and end (bytes in the file), kind (response, revisit or another
     WARC type), key, url, payload_bytes and payload_digest (of the full payload, also for revisits),
     refers_to, value. A stretch that fails its checks is a row of kind 'gap' with a reason; the records
-    after it are read. An empty file has no rows. A file is read by one task.
+    after it are read. An empty file has no rows. A file is read by one task, in windows (see `salvage`).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,16 +292,15 @@ def read_archives(archives: DataFrame, path: str = "path") -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 fs, place = FileSystem.from_uri(name)
-                with fs.open_input_stream(place, compression=None) as f:
-                    data = f.read()
-                rows = []
-                for start, end, found in salvage(data):
-                    rows.append({"path": name, "start": start, "end": end} | found)
-                    if len(rows) == 500:
+                with fs.open_input_file(place) as f:
+                    rows = []
+                    for start, end, found in salvage(f):
+                        rows.append({"path": name, "start": start, "end": end} | found)
+                        if len(rows) == 500:
+                            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                            rows = []
+                    if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return archives.select(F.col(path).alias("path")).mapInArrow(read, RECORDS)
 
