@@ -214,9 +214,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
 
     Hierarchical best fit. Items are dealt to nodes of about NODE_ITEMS; each node packs its own and
     lets go of bins that lack at most SLACK ids. The others go up as items, a bin being one item of
-    its filled length, to fewer nodes, until a round has one node or frees nothing more: then the
-    bins are what they are. A node's work is bounded whatever the input, and no round needs the one
-    before once it is written.
+    its filled length, to fewer nodes, until a round has one node. Where a round of several nodes takes less than a tenth
+    away, bins over half full stay as they are, as no two of them fit together; those up to half full, at most one
+    a node, still go up to meet. A node's work is bounded whatever the input, and no round needs the
+    one before once it is written.
 
     Whole pieces fill a sequence alone. Repeated rows are packed each; no rows, no sequences.
     """
@@ -239,11 +240,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
             folder, f"round{round_no}",
         )
         left = bins.where(~F.col("full")).count()
-        if nodes == 1 or left > 0.9 * count:
+        if nodes == 1:
             done.append(bins)
             break
-        done.append(bins.where("full"))
-        waiting, round_no = bins.where(~F.col("full")).select("filled", "parts"), round_no + 1
+        up = ~F.col("full")
+        if left > 0.9 * count:
+            up = F.col("filled") * 2 <= capacity
+            left = bins.where(up).count()
+        done.append(bins.where(~up))
+        waiting, round_no = bins.where(up).select("filled", "parts"), round_no + 1
     sequences = done[0]
     for d in done[1:]:
         sequences = sequences.unionByName(d)

@@ -67,3 +67,12 @@ def test_pack_logs(spark, monkeypatch):
     assert len(by_sequence) <= -(-total // 64) + 4
     empty = P.pack_pieces(P.token_pieces(logs.limit(0), tokenizer_file()))
     assert empty.count() == 0
+
+
+def test_bins_of_all_nodes_up_to_half_full_meet(spark, monkeypatch):
+    """Hardly anything fits together in a round, and still the few small pieces of different nodes share sequences."""
+    monkeypatch.setattr(P, "NODE_ITEMS", 40)
+    sizes = [60] * 400 + [45] * 12
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], P.PIECES)
+    got = P.pack_pieces(pieces, 100).collect()
+    assert len(got) == 412 and len({r.sequence_id for r in got}) == 406
